@@ -1,3 +1,96 @@
-"""DuckDB SQL of the operators' queries."""
+"""DuckDB SQL of the operators' queries that SQL can express; the others are tested against plain versions."""
 
-SQL: dict[str, str] = {}
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_SPACED = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x20\x09-\x0D]+')"
+_PLAIN = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def _record(html: str) -> str:
+    parts = [f"strlen({f})::VARCHAR || ':' || {f}" for f in ("coalesce(page_id::VARCHAR, '')", "coalesce(url, '')", f"coalesce({html}, '')")]
+    return " || ".join(parts)
+
+
+_CUT = "CASE WHEN page_id % 97 = 13 THEN left(html, length(html) - 1) ELSE html END"
+
+SQL: dict[str, str] = {
+    "op1_exact_dedup": """
+WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY 1)
+SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY text_sha256, doc_id) = 1 AND doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+FROM d JOIN g USING (text_sha256)""",
+    "op2_merkle_fixity": f"""
+WITH a AS (SELECT page_id AS id, sha256({_record("html")}) AS h, count(*) AS c, any_value(strlen(coalesce(url, '')) + strlen(coalesce(html, ''))) AS bytes FROM pages GROUP BY page_id, {_record("html")}),
+b AS (SELECT page_id AS id, sha256({_record(_CUT)}) AS h, count(*) AS c FROM pages GROUP BY page_id, {_record(_CUT)}),
+own AS (SELECT *, floor(id / 64)::BIGINT AS node, sum(bytes * c) OVER (ORDER BY id, h) - bytes * c AS spot FROM a),
+la AS (SELECT node, id, min(spot) AS spot, list((h, c) ORDER BY h) AS hs FROM own GROUP BY 1, 2),
+lb AS (SELECT id, list((h, c) ORDER BY h) AS hs FROM b GROUP BY 1),
+bad AS (SELECT la.node, la.id, la.spot FROM la JOIN lb ON la.id = lb.id WHERE la.hs <> lb.hs),
+n AS (SELECT node, sum(bytes * c)::BIGINT AS bytes, sum(c)::BIGINT AS n, min(spot)::BIGINT AS first_offset FROM own GROUP BY node),
+d AS (SELECT node, count(*) AS n_damaged, string_agg(id || ':' || spot || ':corrupt', ',' ORDER BY id) AS damaged FROM bad GROUP BY node)
+SELECT node, first_offset, n, bytes, coalesce(n_damaged, 0) AS n_damaged, coalesce(damaged, '') AS damaged, n_damaged IS NULL AS intact FROM n LEFT JOIN d USING (node)""",
+    "op5_fair_mix": f"""
+WITH RECURSIVE rows_ AS (
+  SELECT doc_id, source, len({_SPACED})::BIGINT AS size, ('0x' || md5('mix:' || coalesce(doc_id::VARCHAR, ''))[1:12])::BIGINT AS place FROM documents
+),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_docs FROM rows_ GROUP BY source),
+w AS (SELECT *, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight, source_size * 3.0::DOUBLE AS cap, (sum(source_size) OVER ())::BIGINT AS budget FROM s),
+l AS (
+  SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+),
+t AS (SELECT *, CASE WHEN budget = 0 THEN 0.0 ELSE least(cap, coalesce((arg_min(level, cap / weight) FILTER (level * weight <= cap) OVER ()) * weight, cap)) END AS target FROM l),
+k AS (
+  SELECT r.*, t.source_size, t.target, t.budget, sum(r.size) OVER (PARTITION BY r.source ORDER BY r.place, r.doc_id, r.size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM rows_ r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+),
+c AS (SELECT k.*, copy, (upto + (copy - 1) * source_size) / target AS finish FROM k, (SELECT unnest([1, 2, 3]) AS copy) WHERE size > 0 AND copy <= ceil(target / source_size) + 1),
+q AS (SELECT *, sum(size) OVER (ORDER BY finish, source IS NULL, source, place, doc_id, size ROWS UNBOUNDED PRECEDING) AS drawn FROM c),
+took AS (SELECT source, doc_id, place, upto, count(*) AS copies FROM q WHERE drawn <= budget GROUP BY ALL)
+SELECT k.doc_id, k.size, k.source_size, k.target, (k.size * coalesce(took.copies, 0))::BIGINT AS taken FROM k
+LEFT JOIN took ON k.source IS NOT DISTINCT FROM took.source AND k.doc_id IS NOT DISTINCT FROM took.doc_id AND k.place = took.place AND k.upto = took.upto""",
+    "op6_decontamination": f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_PLAIN} AS w FROM documents),
+i AS (SELECT item_id, {_PLAIN} AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, w[p:p + least(10, len(w)) - 1] AS g FROM (SELECT *, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS p FROM i WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT len(g) AS n FROM win),
+pos AS (SELECT r, p, n, w[p:p + n - 1] AS g FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT r, p, n, item_id FROM pos JOIN win USING (g)),
+words AS (SELECT DISTINCT r, unnest(range(p, p + n)) AS at FROM hit),
+nw AS (SELECT r, count(*) AS n_hit FROM words GROUP BY r),
+ni AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN nw USING (r) LEFT JOIN ni USING (r)""",
+    "op9_url_filters": rf"""
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>') || regexp_extract_all(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')) AS tag
+  FROM pages WHERE contains(url, '://')
+),
+links AS (
+  SELECT url, coalesce(nullif(regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)) AS link FROM tags
+),
+edges AS (
+  SELECT DISTINCT split_part(url, '#', 1) AS a, split_part(CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN split_part(url, '//', 1) || link WHEN starts_with(link, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || link END, '#', 1) AS b FROM links
+),
+both_ AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
+u AS (SELECT DISTINCT split_part(coalesce(url, ''), '#', 1) AS url FROM pages UNION SELECT a FROM both_),
+h AS (SELECT url, {_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
+rules(decision, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+met AS (SELECT url, decision, rh || rp AS rule FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+best AS (SELECT url, arg_max(rule, (length(rule), decision = 'allow')) AS rule, arg_max(decision, (length(rule), decision = 'allow')) AS decision FROM met GROUP BY url),
+alias AS (SELECT r.a AS url, min(decision) AS told FROM reach r JOIN best ON best.url = r.b GROUP BY r.a)
+SELECT page_id, host, path, rule, coalesce(decision, told, 'allow') AS verdict FROM pages
+JOIN h ON h.url = split_part(coalesce(pages.url, ''), '#', 1) LEFT JOIN best ON best.url = h.url LEFT JOIN alias ON alias.url = h.url""",
+    "op10_ngram_jaccard": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+linked AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+both_ AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
+least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least_.b, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON least_.a = d.doc_id""",
+}
