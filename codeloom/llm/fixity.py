@@ -47,7 +47,9 @@ class MerkleTree:
             low = self.levels[-1].agg(F.min("node").alias("lo"), F.max("node").alias("hi")).first()
             if low["lo"] is None or low["lo"] == low["hi"]:
                 break
-            up = self.levels[-1].groupBy(F.floor(F.col("node") / fanout).alias("up"))
+            # ids of both signs meet in one root
+            above = F.lit(0) if (low["lo"], low["hi"]) == (-1, 0) else F.floor(F.col("node") / fanout)
+            up = self.levels[-1].groupBy(above.cast("long").alias("up"))
             up = up.agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("all"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
             line = F.array_join(F.transform("all", lambda r: F.concat_ws(":", r["node"], r["hash"])), "\n")
             self.levels.append(stage(up.select(F.col("up").alias("node"), F.sha2(line, 256).alias("hash"), "bytes", "n"), "merkle-level"))
@@ -67,7 +69,8 @@ def differing(a: MerkleTree, b: MerkleTree) -> DataFrame | None:
         if k >= len(a.levels) or k >= len(b.levels):
             continue  # trees of different heights meet at the highest level that both have
         x, y = (t.levels[k].select("node", "hash") for t in (a, b))
-        if open_nodes is not None:
+        # below a root, all nodes are its children
+        if open_nodes is not None and k + 1 < min(len(a.levels), len(b.levels)) - 1:
             up = open_nodes.withColumnRenamed("node", "_up")
             x, y = (t.join(up, F.floor(F.col("node") / a.fanout) == F.col("_up"), "left_semi") for t in (x, y))
         met = x.withColumnRenamed("hash", "_x").join(y.withColumnRenamed("hash", "_y"), "node", "full")
