@@ -20,7 +20,7 @@ def stream_files(spark: SparkSession, folder: str) -> DataFrame:
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
     ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
     kinds = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    files = raw.select("path", F.try_element_at(kinds, ext).alias("language"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    files = raw.select("path", F.try_element_at(kinds, ext).alias("language"), F.decode("content", "UTF-8").alias("content"))
     files = files.filter(F.col("language").isNotNull() & not_skipped(F.col("path")))
     return files.select("path", "language", F.pmod(F.xxhash64("path"), F.lit(1 << 30)).alias("file_ord"), F.regexp_replace("content", "^﻿", "").alias("content"))
 
