@@ -170,13 +170,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     langs = sorted(counts)
     share = spark.createDataFrame([(k, int((1 << 30) * min(1.0, sample_docs / len(langs) / n))) for k, n in counts.items()], "lang string, below long")
     chosen = learn.join(F.broadcast(share), "lang").filter(F.col("place") < F.col("below")).select("text", "lang", "place")
-    sample = chosen.mapInArrow(_vectors, "lang string, ids array<int>, shares array<float>, place long").orderBy("place", "lang", "ids").limit(2 * sample_docs).collect()
+    sample = chosen.mapInArrow(_vectors, "lang string, ids array<int>, shares array<float>, place long").orderBy("place", "lang", "ids").limit(2 * sample_docs).toArrow()
     found = learn.select("text").mapInArrow(_frequencies, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIM + 1)
     for r in found:
         df[r["slot"]] = r["n"]
     idf = np.log((1 + df[DIM]) / (1 + df[:DIM])) + 1.0
-    rows = [(np.array(r["ids"]), np.array(r["shares"], np.float64), langs.index(r["lang"])) for r in sample]
+    rows = [(np.array(i.values), np.array(v.values, np.float64), langs.index(k.as_py())) for k, i, v in zip(*(sample.column(c) for c in ("lang", "ids", "shares")), strict=True)]
     rows = [(i, v * idf[i] * _SCALE, k) for i, v, k in rows]
     fit, held = [r for k, r in enumerate(rows) if k % 5], [r for k, r in enumerate(rows) if not k % 5]
     w, b = ftrl(fit or held, len(langs))

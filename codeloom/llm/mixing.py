@@ -47,9 +47,9 @@ def source_targets(sizes: DataFrame, weights: list[float], max_repeats: float =
     # sources before this one, in the order in which they reach their caps, are full
     full = F.coalesce(F.sum("cap").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     open_weight = F.sum("weight").over(filling.rowsBetween(0, Window.unboundedFollowing))
-    level = ranked.withColumn("level", (F.col("budget") - full) / open_weight)
+    level = ranked.withColumn("level", (F.col("budget") - full) / open_weight).withColumn("turn", F.row_number().over(filling))
     # the water level is that of the first source which does not reach its cap
-    level = level.withColumn("water", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(everything)["level"])
+    level = level.withColumn("water", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct("turn", "level"))).over(everything)["level"])
     target = F.when(F.col("budget") == 0, 0.0).otherwise(F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))))
     return level.select("source", "source_size", "source_docs", "budget", target.alias("target"))
 

@@ -36,9 +36,10 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS source_docs F
 w AS (SELECT *, [5.0::DOUBLE, 2, 1][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS weight, source_size * 3.0::DOUBLE AS cap, (sum(source_size) OVER ())::BIGINT AS budget FROM s),
 l AS (
   SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
+    / sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level,
+    row_number() OVER (ORDER BY cap / weight, source IS NULL, source) AS turn FROM w
 ),
-t AS (SELECT *, CASE WHEN budget = 0 THEN 0.0 ELSE least(cap, coalesce((arg_min(level, cap / weight) FILTER (level * weight <= cap) OVER ()) * weight, cap)) END AS target FROM l),
+t AS (SELECT *, CASE WHEN budget = 0 THEN 0.0 ELSE least(cap, coalesce((arg_min(level, turn) FILTER (level * weight <= cap) OVER ()) * weight, cap)) END AS target FROM l),
 k AS (
   SELECT r.*, t.source_size, t.target, t.budget, sum(r.size) OVER (PARTITION BY r.source ORDER BY r.place, r.doc_id, r.size ROWS UNBOUNDED PRECEDING) AS upto
   FROM rows_ r JOIN t ON r.source IS NOT DISTINCT FROM t.source

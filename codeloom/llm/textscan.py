@@ -137,8 +137,11 @@ def shingles(words: Words, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, np.uint64)), np.array(at, np.int64)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20):
-    """Slices of a batch with about ``limit`` bytes of text each (a longer row stands alone)."""
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 19):
+    """Slices of a batch with about ``limit`` bytes of text each (a longer row stands alone).
+
+    Scanning takes some tens of bytes of memory per byte of a slice, so slices are small.
+    """
     col = batch.column(batch.schema.get_field_index(column))
     if not batch.num_rows:
         return
@@ -148,3 +151,5 @@ def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20):
         end = max(begin + 1, int(np.searchsorted(at, at[begin] + limit, side="right")) - 1)
         yield batch.slice(begin, end - begin)
         begin = end
+    del col, at
+    pa.default_memory_pool().release_unused()
