@@ -29,7 +29,7 @@ class MerkleTree:
     """Levels of one replica: ``records`` (id, hash, copies, bytes, start), and ``levels[k]`` (node, hash).
 
     A level is written to the shared folder when it is made. Offsets are running sums of record
-    sizes: within a range, over the ranges' sums.
+    sizes: within a range, and over siblings from the root down.
     """
 
     def __init__(self, records: DataFrame, width: int = 64, fanout: int = 16):
@@ -43,13 +43,15 @@ class MerkleTree:
         first = own.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("id", "hash", line.alias("line")))).alias("all"), F.sum(F.col("bytes") * F.col("copies")).alias("bytes"), F.sum("copies").alias("n"))
         first = first.select("node", F.sha2(F.array_join(F.col("all.line"), "\n"), 256).alias("hash"), "bytes", "n")
         self.levels = [stage(first, "merkle-ranges")]
+        self.above: list[Column] = []  #: by level, a node's parent
         while True:
             low = self.levels[-1].agg(F.min("node").alias("lo"), F.max("node").alias("hi")).first()
             if low["lo"] is None or low["lo"] == low["hi"]:
                 break
             # ids of both signs meet in one root
             above = F.lit(0) if (low["lo"], low["hi"]) == (-1, 0) else F.floor(F.col("node") / fanout)
-            up = self.levels[-1].groupBy(above.cast("long").alias("up"))
+            self.above.append(above.cast("long"))
+            up = self.levels[-1].groupBy(self.above[-1].alias("up"))
             up = up.agg(F.sort_array(F.collect_list(F.struct("node", "hash"))).alias("all"), F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
             line = F.array_join(F.transform("all", lambda r: F.concat_ws(":", r["node"], r["hash"])), "\n")
             self.levels.append(stage(up.select(F.col("up").alias("node"), F.sha2(line, 256).alias("hash"), "bytes", "n"), "merkle-level"))
@@ -59,6 +61,16 @@ class MerkleTree:
         found = self.levels[-1].first()
         return found["hash"] if found else None
 
+    def ranges(self) -> DataFrame:
+        """(node, bytes, n, first_offset) of the ranges: offsets go down the tree, over siblings only."""
+        running = Window.partitionBy("_up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        found = self.levels[-1].select("node", "bytes", "n", F.lit(0).cast("long").alias("first_offset"))
+        for level, above in zip(self.levels[-2::-1], self.above[::-1], strict=True):
+            up = found.select(F.col("node").alias("_up"), F.col("first_offset").alias("_base"))
+            own = level.withColumn("_up", above).join(up, "_up")
+            found = own.select("node", "bytes", "n", (F.col("_base") + F.coalesce(F.sum("bytes").over(running), F.lit(0))).alias("first_offset"))
+        return found
+
 
 def differing(a: MerkleTree, b: MerkleTree) -> DataFrame | None:
     """Ranges (column node) whose hashes differ, found from the roots down; None if the roots agree."""
@@ -84,8 +96,7 @@ def audit(a: MerkleTree, b: MerkleTree) -> DataFrame:
     ``damaged``: of the records that differ, id:offset:status joined by commas, status one of corrupt,
     missing (replica b lacks it) and extra (only b has it).
     """
-    running = Window.partitionBy(F.lit(1)).orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
-    nodes = a.levels[0].select("node", "bytes", "n").withColumn("first_offset", F.coalesce(F.sum("bytes").over(running), F.lit(0)))
+    nodes = a.ranges()
     found = differing(a, b)
     if found is None:
         return nodes.select("node", "first_offset", "n", "bytes", F.lit(0).cast("long").alias("n_damaged"), F.lit("").alias("damaged"), F.lit(True).alias("intact"))
