@@ -416,3 +416,13 @@ def test_trie_probe(seed):
     x = sets[0]
     got = sorted(ngram_join.Trie(sets).probe(x, 60))
     assert got == [i for i, y in enumerate(sets) if 100 * len(set(x) & set(y)) >= 60 * len(set(x) | set(y))]
+
+
+def test_trie_walks_a_shorter_set_after_skipped_ones():
+    import numpy as np
+
+    x = np.arange(100, dtype=np.uint64) * np.uint64(1000)
+    held = [[0, *range(7, 12)], [0, *range(7, 47)], [0, *range(7, 100)]]  # the first is left, the second skipped; the third shares more with the second than with the first
+    sets = [np.array([1000 * i for i in own] + [1000 * own[-1] + 1 + i for i in range(more)], np.uint64) for own, more in zip(held, (114, 79, 6), strict=True)]
+    assert [len(s) for s in sets] == [120, 120, 100]
+    assert list(ngram_join.Trie(sets).probe(x, 75)) == [2]
