@@ -54,8 +54,8 @@ def op7_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = token_counts.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
-    return token_counts.count_tokens(read(spark, sf_dir, "documents"), vocabulary)
+    model = token_counts.load_model(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), model)
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,9 @@
-"""Token counts of a unigram tokenizer without making its tokens.
+"""Token counts of a SentencePiece model by its own rules, and of a unigram vocabulary without making its tokens.
 
-An Aho-Corasick automaton over the vocabulary enumerates all pieces that end at each character; dynamic
+A model (``load_model``) may be of any kind; its own encoder counts. Scores of a BPE model are ranks of
+merges, not log probabilities, so no best path over its pieces gives its tokens.
+
+A unigram vocabulary (``Vocabulary``): an Aho-Corasick automaton over the vocabulary enumerates all pieces that end at each character; dynamic
 programming carries the best score and its number of pieces. Ties go as in the tokenizer: of equal
 scores the path whose last piece starts first wins, and the piece for an unknown character (least
 score minus 10) only if it scores strictly more than any piece that ends there. Unknown characters in
@@ -47,6 +50,28 @@ def load_pieces(path: str, byte_fallback: bool = True) -> Vocabulary:
     return Vocabulary(tuple(own), byte_fallback, min(s for _, s in own))
 
 
+@dataclass(frozen=True)
+class Model:
+    """A serialized SentencePiece model."""
+
+    proto: bytes
+
+
+def load_model(path: str) -> Model:
+    with open(path, "rb") as f:
+        return Model(f.read())
+
+
+class ModelCounter:
+    def __init__(self, model: Model):
+        import sentencepiece
+
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=model.proto)
+
+    def count(self, text: str | None) -> int:
+        return len(self.processor.encode(text)) if text else 0
+
+
 class Counter:
     def __init__(self, vocabulary: Vocabulary):
         self.unknown = vocabulary.least - UNKNOWN_PENALTY
@@ -108,20 +133,20 @@ class Counter:
         return sum(map(self.segment, _SEGMENT.findall(flat)))
 
 
-def counter(spark: SparkSession, vocabulary: Vocabulary):
+def counter(spark: SparkSession, vocabulary: Vocabulary | Model):
     """A UDF of text: its number of tokens. The vocabulary, of a fixed size, is sent to all tasks."""
     sent = spark.sparkContext.broadcast(vocabulary)
-    made: list[Counter] = []
+    made: list[Counter | ModelCounter] = []
 
     @F.arrow_udf("long")
     def count(text: pa.Array) -> pa.Array:
         if not made:
-            made.append(Counter(sent.value))
+            made.append(ModelCounter(sent.value) if isinstance(sent.value, Model) else Counter(sent.value))
         return pa.array([made[0].count(t.as_py()) for t in text], pa.int64())
 
     return count
 
 
-def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: Vocabulary | Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and n_tokens of every document."""
     return docs.select(F.col(id_col).alias("doc_id"), counter(docs.sparkSession, vocabulary)(F.col(text_col)).alias("n_tokens"))

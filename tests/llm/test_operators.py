@@ -301,6 +301,18 @@ def test_token_counts_of_a_public_vocabulary(spark, odd, empty):
     assert token_counts.count_tokens(empty, plain).count() == 0
 
 
+def test_op8_counts_the_tokens_of_the_model(spark, odd, tmp_path):
+    import sentencepiece
+
+    from codeloom.llm import queries
+
+    docs = odd.union(spark.createDataFrame([(100 + i, t, *odd_rows()[0][2:]) for i, t in enumerate(["  a  b ", " ", "▁a▁", "<s> </s><unk>", "a\nb\tc", "Überraschung 漢字"])], SCHEMA))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    model = sentencepiece.SentencePieceProcessor(model_file=f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    got = sorted(((r.doc_id, r.n_tokens) for r in queries.op8_token_counts(spark, str(tmp_path)).collect()), key=key)
+    assert got == sorted(((r.doc_id, len(model.encode(r.text)) if r.text else 0) for r in docs.collect()), key=key)
+
+
 # -- 9 url filters ---------------------------------------------------------
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
