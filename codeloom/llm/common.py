@@ -15,28 +15,32 @@ _MADE: dict[str, SparkSession] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, a laptop) a temporary one is set.
+    Where the session names none a temporary one is set, on a laptop (master ``local``) only: on a
+    cluster a machine-local folder would lose what other machines read.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver's Python ends."""
+    """A fresh path in the shared folder, below the application's id; removed when the driver's Python ends."""
     if not _MADE:
         atexit.register(_remove)
-    path = f"{shared_dir(spark)}/codeloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/codeloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     _MADE[path] = spark
     return path
 
 
 def _remove() -> None:
-    for path, spark in _MADE.items():
+    for path, spark in list(_MADE.items()):
         try:
             drop_path(spark, path)
         except Exception:  # the JVM has ended before; the folder is the scheduler's to clear
@@ -54,7 +58,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        path = getattr(table, "_staged_path", None)
+        if path and _MADE.pop(path, None):
+            drop_path(table.sparkSession, path)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import stage
+from codeloom.llm.common import free, stage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -19,8 +19,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Links from a node to itself make it known; nulls are dropped; repeated links change nothing.
     """
-    links = links.select("a", "b").dropna().distinct()
-    links = stage(links, "links")
+    links = stage(links.select("a", "b").dropna().distinct(), "links")
     result = None
     while True:
         both = links.union(links.select("b", "a"))
@@ -29,17 +28,21 @@ def components(links: DataFrame) -> DataFrame:
         while True:  # pointer jumping: the distance to the root halves
             up = parent.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
             jumped = stage(parent.join(up, F.col("root") == F.col("_n")).select("node", F.col("_r").alias("root"), (F.col("_r") != F.col("root")).alias("moved")), "parents")
-            parent = jumped.select("node", "root")
-            if jumped.filter("moved").isEmpty():
+            free(parent)
+            parent, moved = jumped, jumped.filter("moved")
+            if moved.isEmpty():
                 break
         if result is None:
-            result = parent
+            result = stage(parent.select("node", "root"), "components")
         else:
             up = parent.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-            result = stage(result.join(up, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")), "components")
+            before, result = result, stage(result.join(up, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root")), "components")
+            free(before)
         left = parent.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         right = parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         rest = links.join(left, "a").join(right, "b").filter("ra <> rb")
-        links = stage(rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        before, links = links, stage(rest.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "links")
+        free(before, parent)
         if links.isEmpty():
+            free(links)
             return result

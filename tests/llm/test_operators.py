@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -390,15 +391,14 @@ def test_ngram_join_near_copies(spark, seed):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_ngram_join_large_groups(spark, seed, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SMALL", 3)
+def test_ngram_join_large_groups(spark, seed):
     rng = random.Random(seed)
     rows = []
     for g in range(3):
         base = prose(2000 + g, 60)
         rows += [(1000 * g + k, edited(base, rng.choice([1, 1, 2, 3]), rng)) for k in range(40)]
     same_groups(spark, rows)
-    same_groups(spark, rows, max_common=0)
+    same_groups(spark, rows, max_common=0, block_shingles=400)  # clusters in several blocks
 
 
 def test_one_of_each(spark, odd, empty):
@@ -418,23 +418,61 @@ def test_one_of_repeated_rows(spark):
     assert sorted(r.doc_id for r in ngram_join.one_of_each(docs).collect()) == [1, 3]
 
 
+def linked(x, y, percent):
+    return 100 * len(set(x) & set(y)) >= percent * len(set(x) | set(y))
+
+
+def near_sets(rng, families=4, members=25):
+    """Families of near copies over a small universe, in which paths are shared and lengths differ."""
+    sets = []
+    for _ in range(families):
+        base = rng.sample(range(400), rng.randint(4, 60))
+        for _ in range(members):
+            own = [v for v in base if rng.random() > 0.12] + rng.sample(range(400), rng.randint(0, 1 + len(base) // 6))
+            sets.append(np.array(sorted(set(own)) or [1], np.uint64))
+    return sets
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_trie_probe(seed):
-    import numpy as np
+    rng = random.Random(seed)
+    sets = [np.array(sorted(rng.sample(range(30), rng.randint(1, 20))), np.uint64) for _ in range(60)]
+    for own, percent in ((sets, 60), (near_sets(rng), 75)):
+        trie = ngram_join.Trie(own)
+        for x in own[::7]:
+            assert sorted(trie.order[p] for p in trie.probe(x, percent)) == [i for i, y in enumerate(own) if linked(x, y, percent)]
+
 
+@pytest.mark.parametrize("seed", range(12))
+def test_block_links_span_the_components(seed):
     rng = random.Random(seed)
-    universe = range(30)
-    sets = [np.array(sorted(rng.sample(universe, rng.randint(1, 20))), np.uint64) for _ in range(60)]
-    x = sets[0]
-    got = sorted(ngram_join.Trie(sets).probe(x, 60))
-    assert got == [i for i, y in enumerate(sets) if 100 * len(set(x) & set(y)) >= 60 * len(set(x) | set(y))]
+    sets = near_sets(rng)
+    n = len(sets)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if linked(sets[i], sets[j], 75)]
+
+    def least(links):
+        own = list(range(n))
+        for _ in range(n):
+            before = list(own)
+            for a, b in links:
+                own[a] = own[b] = min(own[a], own[b])
+            if own == before:
+                return own
+
+    links = list(ngram_join.Block(list(range(n)), list(range(n)), sets, 75).links())
+    assert least(links) == least(pairs)
+    assert len(links) == n - len(set(least(pairs)))
+    # one half as a block, the other half asks
+    half = ngram_join.Block(list(range(0, n, 2)), list(range(0, n, 2)), sets[::2], 75)
+    asked = [x for i in range(1, n, 2) for x in half.ask(i, i, sets[i])]
+    assert set(asked) <= {(i, j) for i, j in pairs} | {(j, i) for i, j in pairs}
+    assert {i for i, _ in asked} == {x for p in pairs if (p[0] + p[1]) % 2 for x in p if x % 2}
 
 
 def test_trie_walks_a_shorter_set_after_skipped_ones():
-    import numpy as np
-
     x = np.arange(100, dtype=np.uint64) * np.uint64(1000)
     held = [[0, *range(7, 12)], [0, *range(7, 47)], [0, *range(7, 100)]]  # the first is left, the second skipped; the third shares more with the second than with the first
     sets = [np.array([1000 * i for i in own] + [1000 * own[-1] + 1 + i for i in range(more)], np.uint64) for own, more in zip(held, (114, 79, 6), strict=True)]
     assert [len(s) for s in sets] == [120, 120, 100]
-    assert list(ngram_join.Trie(sets).probe(x, 75)) == [2]
+    trie = ngram_join.Trie(sets)
+    assert [trie.order[p] for p in trie.probe(x, 75)] == [2]
