@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -186,6 +188,41 @@ def test_mix_comes_near_its_targets(spark):
     assert total - 60 <= sum(taken.values()) <= total
 
 
+def plain_mix(rows, seed="mix", repeats=3):
+    """{row index: copies}, by sorting the whole queue."""
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(B.spaces(t))
+    goal, rank = B.targets(sizes), {s: k for k, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    queue = []
+    for s in sizes:
+        own = sorted((int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:12], 16), i, len(B.spaces(t)), k) for k, (i, t, x) in enumerate(rows) if x == s)
+        upto = 0
+        for _, _, n, k in own:
+            upto += n
+            queue += [((upto + c * sizes[s]) / goal[s], rank[s], upto, n, k) for c in range(repeats) if n and c + 1 <= math.ceil(goal[s] / sizes[s]) + 1]
+    drawn, copies = 0, Counter()
+    for *_, n, k in sorted(queue):
+        drawn += n
+        if drawn > sum(sizes.values()):
+            break
+        copies[k] += 1
+    return copies
+
+
+@pytest.mark.parametrize("few", [50_000, 5])
+def test_mix_takes_the_head_of_the_queue(spark, monkeypatch, few):
+    """Sources of sizes like 13,500, 4,000 and 42,500: the last is over five times its target."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    monkeypatch.setattr(mixing, "BINS", 7 if few == 5 else 1024)
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    rows = [(i, "w " * (1 + i % 3), "a" if i < 135 else "b" if i < 175 else None) for i in range(600)]
+    want = plain_mix(rows)
+    got = mixing.fair_mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id: r.copies for r in got} == {i: want[i] for i in range(600)}
+    assert max(r.source_size / r.target for r in got) > 4
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_targets(spark, seed):
     rng = random.Random(seed)
