@@ -120,6 +120,46 @@ def base_scores(rows, folds=5, held=1):
     return out
 
 
+def suffix_scores(rows, divergence, weights, share):
+    """log10 probability of each row by the suffix tree over words, place by place."""
+    learn = [(["<", "<", *spaces(t), "\n"]) for i, t in rows if rest(i) != 1]
+    everything = Counter(w for _, t in rows for w in [*spaces(t), "\n"])
+    counts = Counter(w for own in learn for w in own[2:])
+    n, v, total = sum(counts.values()), len(counts), sum(everything.values())
+    p0 = lambda w: (counts[w] + 0.5) / (n + 0.5 * (v + 1))
+    most = (share * total + 0.5) / (n + 0.5 * (v + 1))
+    test0 = lambda w: p0(w) if everything[w] >= share * total or w == "\n" else most
+    follows = [defaultdict(Counter), defaultdict(Counter)]
+    for own in learn:
+        for k in range(2, len(own)):
+            follows[0][own[k - 1]][own[k]] += 1
+            follows[1][own[k - 2], own[k - 1]][own[k]] += 1
+    weight = [{}, {}]
+
+    def p(w, before, nearest, root, depth):
+        out = root(w)
+        for level, context in list(enumerate((nearest, (before, nearest))))[:depth]:
+            if context in weight[level]:
+                own = follows[level][context]
+                out = (own[w] + weight[level][context] * out) / (sum(own.values()) + weight[level][context])
+        return out
+
+    for level in range(2):
+        for context, own in follows[level].items():
+            before, nearest = context if level else (None, context)
+            many = sum(own.values())
+            parent = {w: p(w, before, nearest, test0, level) for w in own}
+            gains = {x: sum(c * math.log((c - 1 + x * parent[w]) / ((many - 1 + x) * parent[w])) for w, c in own.items()) for x in weights}
+            best = max(weights, key=gains.get)
+            if gains[best] >= divergence:
+                weight[level][context] = best
+    out = []
+    for _, t in rows:
+        own = ["<", "<", *spaces(t), "\n"]
+        out.append(sum(math.log10(p(own[k], own[k - 2], own[k - 1], p0, 2)) for k in range(2, len(own))))
+    return out
+
+
 def targets(sizes, weights=(5, 2, 1), cap=3):
     """{source: target} by resharing the excess until none is above its cap."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

@@ -283,23 +283,67 @@ def test_rare_words_meet_their_counts_in_the_shuffle(spark, odd, monkeypatch):
     assert got == sorted((round(s, 6), k) for _, k, _, s in B.base_scores(ROWS))
 
 
-def test_suffix_tree_is_a_distribution_and_prefers_what_it_knows(spark):
-    import numpy as np
-    import pyarrow as pa
+def same_scores(spark, rows, frequent):
+    got = suffix_lm.score_corpus(spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, n string")).collect()
+    want = B.suffix_scores(rows, suffix_lm.DIVERGENCE, suffix_lm.WEIGHTS, frequent)
+    assert {r.doc_id: r.score for r in got} == pytest.approx({i: s for (i, _), s in zip(rows, want, strict=True)}, rel=1e-6, abs=1e-5)
+    return got
 
-    rows = [(i, prose(i, 200)) for i in range(60)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    runs = docs.select("text", F.lit(True).alias("learn")).mapInArrow(suffix_lm._gather, "kind int, key long, n long, everywhere long")
-    tree = suffix_lm.build_tree(runs.filter("kind = 0").groupBy("key").agg(F.sum("n").alias("n")))
-    p = 10.0 ** tree.logp.astype(float)
-    seen = [s for s in range(257) if tree.code[s]]
-    total = p[:, [tree.code[s] for s in seen]].sum(axis=1) + p[:, 0] * (257 - len(seen))
-    assert np.allclose(total, 1, atol=1e-4) and len(tree.logp) > 50
-    text = prose(500, 50)
-    own, mixed = tree.score(pa.array([text, "".join(random.Random(1).sample(text, len(text)))]))
-    assert own > 0.6 * mixed and own < 0
-    # texts are scored alike alone and in a batch, and white space is one space
-    assert np.allclose(tree.score(pa.array(["", text, "  a\t\nb ", None])), [*tree.score(pa.array([""])), own, *tree.score(pa.array(["a b"])), *tree.score(pa.array([""]))], rtol=1e-5)
+
+def phrases(seed, n, docs=120):
+    """Words that follow each other by rule half of the time, so that there is something to learn."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(docs):
+        own = [rng.choice(vocabulary)]
+        while len(own) < rng.randint(1, n):
+            own.append(vocabulary[(7 * vocabulary.index(own[-1]) + len(own) % 2) % 40] if rng.random() < 0.6 else rng.choice(vocabulary))
+        rows.append((i, " ".join(own) + (f" only{i}" if i % 3 else "")))
+    return [*rows, (1000, ""), (1001, None), (1002, rows[5][1]), (1003, "again " * 300)]
+
+
+@pytest.mark.parametrize("share", [2e-6, 0.002])
+def test_suffix_tree_against_a_plain_one(spark, monkeypatch, share):
+    monkeypatch.setattr(suffix_lm, "P_WORD", share)
+    rows = phrases(1, 60)
+    got = same_scores(spark, rows, share)
+    held = [r for r in got if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held) + 10
+
+
+def test_small_batches_give_the_same_scores(spark, monkeypatch):
+    rows = phrases(2, 30, 60)
+    monkeypatch.setattr(suffix_lm, "BATCH", 200)
+    monkeypatch.setattr(suffix_lm, "BATCH_DOCS", 7)
+    same_scores(spark, rows, suffix_lm.P_WORD)
+
+
+def test_a_word_in_classes_stays_a_distribution():
+    """Whatever the context, the next symbols' probabilities sum to one with that of the unknown word."""
+    n, v = 90, 3
+    words = suffix_lm.Words(np.array([10, 20], np.uint64), np.array([5, 60, 25]), n, v, 0.0)
+    assert abs(words.p[1:].sum() + 0.5 / (n + 0.5 * (v + 1)) - 1) < 1e-9
+    rng = np.random.default_rng(3)
+    symbol = rng.choice([0, 1, 2], 90, p=[0.1, 0.6, 0.3])
+    context = (symbol + rng.integers(0, 2, 90)) % 3
+    # one place more of each context and symbol, that is not learned, asks for all probabilities
+    context, symbol = np.append(context, np.repeat(np.arange(3), 3)), np.append(symbol, np.tile(np.arange(3), 3))
+    learned = np.append(np.ones(90), np.zeros(9))
+    p = words.p[1:][symbol]
+    a, b = suffix_lm._deeper(context, symbol, 3, learned, np.zeros(99), np.ones(99), p)
+    total = (a + b * p)[90:].reshape(3, 3).sum(axis=1) + b[90::3] * (1 - words.p[1:].sum())
+    assert np.allclose(total, 1) and (a > 0).any()
+
+
+def test_split_words_score_all_places(spark, monkeypatch):
+    monkeypatch.setattr(suffix_lm, "CLASS", 20)
+    monkeypatch.setattr(suffix_lm, "PART", 50)
+    rows = phrases(3, 60)
+    got = {r.doc_id: r for r in suffix_lm.score_corpus(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.n_tokens for i, r in got.items()} == {i: len(B.spaces(t)) + 1 for i, t in rows}
+    held = [r for r in got.values() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
 # -- 8 token counts --------------------------------------------------------
