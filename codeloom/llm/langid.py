@@ -3,11 +3,13 @@
 Features are runs of one to three characters of the lower-cased text, every run of non-letters being
 one space, hashed to 2**15 columns; tf is the share of the text's n-grams, idf comes from all training
 documents. Weights are learned with follow-the-regularised-leader (proximal, per coordinate, L1 and
-L2); a part of the sample that is not trained on sets the softmax temperature.
+L2); a part of the sample that is not trained on sets the softmax temperature, with labels smoothed by
+1 / (rows + 2), so that a part without errors does not make every score 1.
 
 Only the classifier's rows are a sample: ``sample_docs`` documents, the same share of each language, the
 first by a hash of the id. Document frequencies cover every training document and every prediction
-the whole text.
+the whole text. Every language of the training documents is learned; more than ``max_langs`` of them (a wrong
+column, say) are an error.
 
 Defined cases: null text or no letter: ``und`` with score 0; nothing to learn from: ``und`` for all;
 repeated rows and ties: the same prediction, equal probabilities go to the first language in order.
@@ -110,13 +112,18 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: i
 
 
 def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature of least log loss, by golden-section search over its logarithm."""
-    if not len(labels):
+    """The temperature of least log loss, by golden-section search over its logarithm.
+
+    Labels are smoothed: 1 / (rows + 2) of each goes to the other classes.
+    """
+    n, classes = logits.shape
+    if not n or classes < 2:
         return 1.0
+    goal = np.full(logits.shape, 1 / (n + 2) / (classes - 1))
+    goal[np.arange(n), labels] = 1 - 1 / (n + 2)
 
     def loss(t: float) -> float:
-        p = _softmax(logits / math.exp(t))[np.arange(len(labels)), labels]
-        return float(-np.log(np.maximum(p, 1e-12)).mean())
+        return float(-(goal * np.log(np.maximum(_softmax(logits / math.exp(t)), 1e-300))).sum(axis=1).mean())
 
     lo, hi, ratio = math.log(0.05), math.log(20.0), (math.sqrt(5) - 1) / 2
     for _ in range(40):
@@ -156,17 +163,19 @@ def _vectors(batches):
             )
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 3000, max_langs: int = 500, folds: int = 5) -> Model | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 3000, max_langs: int = 2000, folds: int = 5) -> Model | None:
     """Learn from documents with a language whose crc32 of the id modulo ``folds`` is not 0.
 
-    ``sample_docs`` bounds the classifier's rows, ``max_langs`` its classes (the most frequent).
+    ``sample_docs`` bounds the classifier's rows; more languages than ``max_langs`` raise an error.
     """
     spark = docs.sparkSession
     learn = docs.filter((remainder(id_col, folds) != 0) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     learn = learn.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.lit("lang"), id_col), F.lit(1 << 30)).alias("place"))
-    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    counts = {r["lang"]: r["count"] for r in learn.groupBy("lang").count().limit(max_langs + 1).collect()}
     if not counts:
         return None
+    if len(counts) > max_langs:
+        raise ValueError(f"more than {max_langs} languages in {lang_col}")
     langs = sorted(counts)
     share = spark.createDataFrame([(k, int((1 << 30) * min(1.0, sample_docs / len(langs) / n))) for k, n in counts.items()], "lang string, below long")
     chosen = learn.join(F.broadcast(share), "lang").filter(F.col("place") < F.col("below")).select("text", "lang", "place")
@@ -219,10 +228,14 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return got.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
-def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """The documents, all columns, with a language (not ``und``) and a score of ``min_score`` at least."""
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.4, langs: list[str] | None = None) -> DataFrame:
+    """The documents, all columns, with a language (not ``und``, of ``langs`` if given) and a score of ``min_score`` at least.
+
+    The score is a calibrated probability; text in no learned language has one near that of a guess.
+    """
     from codeloom.llm.common import fresh
 
     (name,) = fresh(docs, "langid")
     judged = docs.withColumn(name, predictor(model)(F.col(text_col)))
-    return judged.filter((F.col(name)["lang"] != UNKNOWN) & (F.col(name)["score"] >= min_score)).select(*docs.columns)
+    known = F.col(name)["lang"] != UNKNOWN if langs is None else F.col(name)["lang"].isin(*langs)
+    return judged.filter(known & (F.col(name)["score"] >= min_score)).select(*docs.columns)

@@ -12,6 +12,8 @@ def _record(html: str) -> str:
 
 _CUT = "CASE WHEN page_id % 97 = 13 THEN left(html, length(html) - 1) ELSE html END"
 
+_BARE = r"regexp_replace({}, '(?s)^(.*?://[^#]*)#.*$', '\1')"
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
@@ -69,19 +71,29 @@ WITH RECURSIVE tags AS (
 links AS (
   SELECT url, coalesce(nullif(regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), ''), regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>;]+)', 1)) AS link FROM tags
 ),
-edges AS (
-  SELECT DISTINCT split_part(url, '#', 1) AS a, split_part(CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN split_part(url, '//', 1) || link WHEN starts_with(link, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || link END, '#', 1) AS b FROM links
+split_ AS (
+  SELECT url, link, regexp_extract(link, '(?s)^([^?#]*)', 1) AS t, regexp_extract(link, '(?s)^[^?#]*(.*)$', 1) AS query, coalesce(nullif(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), ''), '/') AS here FROM links WHERE link <> ''
+),
+merged AS (SELECT *, CASE WHEN t = '' THEN here WHEN starts_with(t, '/') THEN t ELSE regexp_extract(here, '(?s)^(.*/)', 1) || t END AS m FROM split_),
+walked AS (
+  SELECT *, list_reduce(list_prepend('', string_split(m, '/')[2:]), lambda up, step: CASE WHEN step = '..' THEN regexp_replace(up, '/[^/]*$', '') WHEN step = '.' THEN up ELSE up || '/' || step END)
+    || CASE WHEN regexp_matches(m, '/\.\.?$') THEN '/' ELSE '' END AS path FROM merged
+),
+full_ AS (
+  SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with(link, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || link
+    ELSE regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || path || query END AS goal FROM walked
 ),
+edges AS (SELECT DISTINCT {_BARE.format("url")} AS a, {_BARE.format("goal")} AS b FROM full_),
 both_ AS (SELECT a, b FROM edges WHERE b IS NOT NULL UNION SELECT b, a FROM edges WHERE b IS NOT NULL),
 reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
-u AS (SELECT DISTINCT split_part(coalesce(url, ''), '#', 1) AS url FROM pages UNION SELECT a FROM both_),
+u AS (SELECT DISTINCT {_BARE.format("coalesce(url, '')")} AS url FROM pages UNION SELECT a FROM both_),
 h AS (SELECT url, {_LOWER.format("regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM u),
 rules(decision, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
 met AS (SELECT url, decision, rh || rp AS rule FROM h JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
 best AS (SELECT url, arg_max(rule, (length(rule), decision = 'allow')) AS rule, arg_max(decision, (length(rule), decision = 'allow')) AS decision FROM met GROUP BY url),
 alias AS (SELECT r.a AS url, min(decision) AS told FROM reach r JOIN best ON best.url = r.b GROUP BY r.a)
 SELECT page_id, host, path, rule, coalesce(decision, told, 'allow') AS verdict FROM pages
-JOIN h ON h.url = split_part(coalesce(pages.url, ''), '#', 1) LEFT JOIN best ON best.url = h.url LEFT JOIN alias ON alias.url = h.url""",
+JOIN h ON h.url = {_BARE.format("coalesce(pages.url, '')")} LEFT JOIN best ON best.url = h.url LEFT JOIN alias ON alias.url = h.url""",
     "op10_ngram_jaccard": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
 sh AS (

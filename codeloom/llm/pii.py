@@ -10,7 +10,9 @@ Base kinds: email, ip (parts at most 255), card (14 to 19 digits passing Luhn),
 digits); a proposal that fails its check is dropped, without a second try inside it. Kinds the method
 adds: iban (mod-97 is 1) and ssn (three groups of digits without a checksum, so that it needs a
 context word nearby). Scores: base of the kind, plus 0.3 for a passed checksum, plus 0.2 for a context
-word of the kind in the 40 code points before the span; added kinds stay from a score of 0.6.
+word of the kind in the 40 code points before the span or after it, whatever spans lie there; added kinds stay
+from a score of 0.6. Pieces are worked off in chunks, so that a text's cost does not grow with the square of its
+matches.
 
 Defined cases: null and empty texts have no spans; repeated rows are judged each; other columns are
 ignored.
@@ -44,6 +46,8 @@ CONTEXT = {
 }
 KEEP_FROM = 0.6
 WINDOW = 40
+#: Pieces of a chunk: even, so that each chunk begins outside a match.
+CHUNK = 64
 _OPEN, _CLOSE, _PLAIN = "\x01", "\x02", "\x03"
 
 
@@ -74,25 +78,44 @@ def confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, kind: str) -> Column:
-    """array<struct<start, end, text, before>> of the kind's confirmed matches."""
-    marked = F.regexp_replace(text, PATTERN[kind], f"{_OPEN}$0{_CLOSE}")
-    parts = F.split(marked, f"[{_OPEN}{_CLOSE}]", -1)
-    empty = F.array().cast("array<struct<start:int,end:int,text:string,before:string>>")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.lit(False).alias("inside"), empty.alias("out"))
+def parts_of(text: Column, kind: str) -> Column:
+    """The text cut at the kind's proposals: what is before, the first match, what is between, the second, and so on."""
+    return F.split(F.regexp_replace(text, PATTERN[kind], f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
+
+
+def spans_of(parts: Column, kind: str) -> Column:
+    """array<struct<start, end, before, after>> of the kind's confirmed matches; ``parts`` is a column of ``parts_of``."""
+    empty = F.array().cast("array<struct<start:int,end:int,nth:int>>")
+    count = F.floor((F.size(parts) + (CHUNK - 1)) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(parts, k * CHUNK + 1, CHUNK))
+    lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, part: n + F.length(part)))
 
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("text"), F.lower(F.right(acc["last"], F.lit(WINDOW))).alias("before"))
-        out = F.when(acc["inside"] & confirmed(kind, part), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.alias("at"), part.alias("last"), (~acc["inside"]).alias("inside"), out.alias("out"))
+        span = F.struct(acc["at"].alias("start"), end.alias("end"), acc["nth"].alias("nth"))
+        out = F.when((acc["nth"] % 2 == 1) & confirmed(kind, part), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct(end.alias("at"), (acc["nth"] + 1).alias("nth"), out.alias("out"))
+
+    def spans(chunk: Column, k: Column) -> Column:
+        at = F.aggregate(F.slice(lengths, 1, k), F.lit(0), lambda a, n: a + n)
+        return F.aggregate(chunk, F.struct(at.alias("at"), (k * CHUNK).alias("nth"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    # every second piece is a match, so twice the window's pieces hold it
+    reach = 2 * WINDOW
+
+    def with_context(s: Column) -> Column:
+        first = F.greatest(F.lit(0), s["nth"] - reach)
+        before = F.array_join(F.transform(F.slice(parts, first + 1, s["nth"] - first), lambda p: F.right(p, F.lit(WINDOW))), "")
+        after = F.array_join(F.transform(F.slice(parts, s["nth"] + 2, reach), lambda p: F.left(p, F.lit(WINDOW))), "")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(F.right(before, F.lit(WINDOW))).alias("before"), F.lower(F.left(after, F.lit(WINDOW))).alias("after"))
 
-    found = F.aggregate(parts, start, step, lambda acc: acc["out"])
-    return F.when(F.size(parts) > 1, found).otherwise(empty)
+    found = F.transform(F.flatten(F.transform(chunks, spans)), with_context)
+    return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<struct<start:int,end:int,before:string,after:string>>"))
 
 
 def scored(kind: str, span: Column) -> Column:
-    near = span["before"].rlike(r"(?:^|[^a-z])(?:" + "|".join(CONTEXT[kind]) + ")")
+    word = r"(?:^|[^a-z])(?:" + "|".join(CONTEXT[kind]) + ")"
+    near = span["before"].rlike(word) | span["after"].rlike(word)
     return F.round(F.lit(PRIOR[kind] + (0.3 if kind in CHECKSUM else 0.0)) + F.when(near, 0.2).otherwise(0.0), 2)
 
 
@@ -109,9 +132,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per document: doc_id and ``found``, an array of (start, rank, kind, end, score), in order."""
     text = F.translate(F.coalesce(text_col, F.lit("")), _OPEN + _CLOSE, _PLAIN + _PLAIN)
     work = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
+    work = work.select("doc_id", *[parts_of(F.col("text"), kind).alias(f"parts_{kind}") for kind in KINDS])
+    work = work.select("doc_id", *[spans_of(F.col(f"parts_{kind}"), kind).alias(f"raw_{kind}") for kind in KINDS])
     kinds = []
     for kind in KINDS:
-        work = work.withColumn(f"raw_{kind}", spans_of(F.col("text"), kind))
         rows = F.transform(f"raw_{kind}", _row_of(kind))
         kinds.append(rows if kind in BASE else F.filter(rows, lambda r: r["score"] >= KEEP_FROM))
     return work.select("doc_id", F.array_sort(F.concat(*kinds)).alias("found"))

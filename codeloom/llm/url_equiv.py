@@ -9,8 +9,8 @@ anywhere in the component takes precedence, then a block; a url that nothing rea
 Rules are sent to all tasks up to ``SEND_RULES``, and joined by host suffix in a shuffle beyond.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, no rule and no edges, and
-is allowed; null pages have no edges; relative links are taken from the page's host, other forms of
-link are ignored; a hub of many aliases costs partial minima only.
+is allowed; null pages have no edges; relative links are resolved against the page's url, other schemes without
+a host (mailto: and the like) are ignored; a hub of many aliases costs partial minima only.
 """
 
 from __future__ import annotations
@@ -35,8 +35,25 @@ def path_of(url: Column) -> Column:
 
 
 def plain(url: Column) -> Column:
-    """The url without its fragment, which no server sees."""
-    return F.regexp_replace(url, r"(?s)#.*$", "")
+    """The url without its fragment, which no server sees; host and path stay as they are."""
+    return F.regexp_replace(url, r"(?s)^(.*?://[^#]*)#.*$", "$1")
+
+
+def resolved(url: Column, link: Column) -> Column:
+    """The absolute url of a page's link, null if it leads to no host."""
+    root = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
+    here = F.coalesce(F.nullif(path_of(url), F.lit("")), F.lit("/"))
+    to, query = F.regexp_extract(link, r"(?s)^([^?#]*)", 1), F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
+    merged = F.when(to == "", here).when(to.startswith("/"), to).otherwise(F.concat(F.regexp_extract(here, r"(?s)^(.*/)", 1), to))
+    steps = F.slice(F.split(merged, "/", -1), 2, 1 << 30)
+    up = lambda at, step: F.when(step == "..", F.regexp_replace(at, r"/[^/]*$", "")).when(step == ".", at).otherwise(F.concat(at, F.lit("/"), step))
+    path = F.concat(F.aggregate(steps, F.lit(""), up), F.when(merged.rlike(r"/\.\.?$"), "/").otherwise(""))
+    return (
+        F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(link.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), link))
+        .otherwise(F.concat(root, path, query))
+    )
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -46,10 +63,10 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
         F.regexp_extract_all(F.col(html_col), F.lit(r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"), 0),
     )
     rows = pages.filter(F.col(url_col).contains("://")).select(F.col(url_col).alias("url"), F.explode(tags).alias("tag"))
-    link = F.coalesce(F.nullif(F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    root = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    link = F.when(link.contains("://"), link).when(link.startswith("//"), F.concat(F.regexp_extract("url", r"(?s)^(.*?:)//", 1), link)).when(link.startswith("/"), F.concat(root, link))
-    return rows.select(plain(F.col("url")).alias("a"), plain(link).alias("b")).filter("a is not null and b is not null").distinct()
+    link = F.coalesce(F.nullif(F.regexp_extract("tag", r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1), F.lit("")), F.nullif(F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1), F.lit("")))
+    links = rows.select("url", link.alias("link")).filter("link is not null")
+    links = links.select(plain(F.col("url")).alias("a"), plain(resolved(F.col("url"), F.col("link"))).alias("b"))
+    return links.filter("b is not null").distinct()
 
 
 def decide(urls: DataFrame, rules: DataFrame) -> DataFrame:

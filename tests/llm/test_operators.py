@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from collections import Counter, defaultdict
+from urllib.parse import urljoin
 
 import numpy as np
 import pytest
@@ -116,11 +118,28 @@ def test_pii_added_kinds_and_scores(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     spans = {r.doc_id: r.spans for r in pii.pii_report(df).collect()}
     assert spans[10] == "iban:6:33,iban:37:59"
-    assert spans[11] == "ssn:10:21"
+    assert spans[11] == "ssn:10:21,ssn:26:37"  # the word is within 40 code points of both
     scores = {r.doc_id: r.scores for r in pii.pii_report(df).collect()}
     assert scores[10].split(",")[0].endswith(":1.0") and scores[2].split(",")[0].startswith("card:0:19:0.8")
 
 
+def test_pii_context_reaches_over_other_spans(spark, odd, empty):
+    texts = [
+        "ssn 123-45-6789, 123-45-6788", "123-45-6789 is my ssn", "123-45-6789" + "." * 40 + " ssn", "ssn" + "." * 50 + "123-45-6789", "ssn " + " ".join(f"123-45-{6000 + i}" for i in range(200)),
+        " ".join(f"a{i}@b.c ssn 123-45-{6000 + i}" for i in range(300)),
+    ]
+    rows = [(i, t, "x", None) for i, t in enumerate(texts)]
+    spans = {r.doc_id: r.spans for r in pii.pii_report(spark.createDataFrame(rows, "doc_id long, text string, found string, parts_ssn string")).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for m in re.finditer(r"(?<![0-9-])123-45-[0-9]{4}(?![0-9-])", t):
+            near = [t[max(0, m.start() - 40) : m.start()], t[m.end() : m.end() + 40]]
+            want += [f"ssn:{m.start()}:{m.end()}"] * any(re.search("(?:^|[^a-z])ssn", x) for x in near)
+        assert [x for x in spans[i].split(",") if x.startswith("ssn")] == want
+    assert pii.pii_report(empty).count() == 0
+    assert pii.pii_report(odd).count() == len(ROWS)
+
+
 # -- 4 language ID ---------------------------------------------------------
 def test_language_id_learns_and_judges(spark):
     rng = random.Random(5)
@@ -138,6 +157,11 @@ def test_language_id_learns_and_judges(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
     kept = langid.accepted(docs, model)
     assert kept.columns == docs.columns and {r.doc_id for r in docs.subtract(kept).collect()} == {1000, 1001}
+    foreign = spark.createDataFrame([(1, "Ελληνικά γράμματα", None), (2, "the house and the water", None), (3, "der und für wärme", None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in langid.accepted(foreign, model).collect()] == [2, 3]
+    assert [r.doc_id for r in langid.accepted(foreign, model, langs=["de"]).collect()] == [3]
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(docs, max_langs=2)
 
 
 def test_language_id_without_data(odd, empty):
@@ -154,7 +178,9 @@ def test_calibration_and_sparsity():
 
     logits = np.array([[4.0, 0], [4, 0], [0, 4], [4, 0]])
     t = langid.temperature(logits, np.array([0, 0, 1, 1]))
-    assert abs(1 / (1 + np.exp(-4 / t)) - 0.75) < 0.01
+    assert abs(1 / (1 + np.exp(-4 / t)) - (0.75 * 5 / 6 + 0.25 / 6)) < 0.01  # labels are smoothed by a sixth
+    sure = langid.temperature(np.array([[4.0, 0], [0, 4]] * 50), np.array([0, 1] * 50))
+    assert abs(1 / (1 + np.exp(-4 / sure)) - 101 / 102) < 0.001
     w, _ = langid.ftrl([(np.array([1, 2]), np.array([1.0, 1e-6]), 0), (np.array([3]), np.array([1.0]), 1)] * 20, 2)
     assert w[1, 0] > 0 > w[1, 1] and not w[2].any() and not w[9].any()
 
@@ -427,6 +453,32 @@ def test_decisions_pass_to_aliases(spark):
     assert [got[i].reason for i in range(1, 8)] == ["alias", "alias", "alias", "alias", "alias", "rule", "default"]
 
 
+def test_the_host_is_that_of_the_whole_url(spark):
+    got = judged(spark, [(1, "a#b://sub.example.org/es/x", ""), (2, "x://sub.example.org/es/x#y://z.com/de/", ""), (3, "a#b", "")])
+    assert [(got[i].host, got[i].rule, got[i].verdict) for i in (1, 2, 3)] == [("sub.example.org", "example.org/es/", "block")] * 2 + [("", None, "allow")]
+
+
+def test_links_relative_to_the_path(spark):
+    canon = '<html><link href="{}" rel="canonical">'
+    pairs = [
+        ("http://a.net/x/y?q=1", "z"), ("http://a.net/x/y", "../z/./w?k=/../m#f"), ("http://a.net", "z"), ("http://a.net/x/y?q", "?p=2"), ("http://a.net/x/", "./"), ("http://a.net/x/y/z", ".."),
+        ("http://a.net/x", "mailto:me"), ("http://a.net/x", "../../.."), ("http://a.net/x", "z?to=http://b.org/"),
+    ]
+    pages = spark.createDataFrame([(i, u, canon.format(x)) for i, (u, x) in enumerate(pairs)], "page_id long, url string, html string")
+    want = {(u, urljoin(u, x).split("#")[0]) for u, x in pairs if not x.startswith("mailto")}
+    assert {(r.a, r.b) for r in url_equiv.alias_edges(pages).collect()} == want
+
+
+def test_url_filters_of_odd_tables(spark):
+    assert judged(spark, []) == {}
+    schema = "page_id long, url string, html string, alias string, root string, decision string, a string"
+    canon = '<link rel="canonical" href="http://b.com/de/1">'
+    rows = [(1, "http://a.net/1", canon, "x", "y", "block", "z")] * 3 + [(None, None, None, None, None, None, None)] * 2
+    rules = spark.createDataFrame(RULES, "decision string, host string, path string")
+    got = url_equiv.judge_pages(spark.createDataFrame(rows, schema), rules).collect()
+    assert Counter((r.page_id, r.verdict, r.reason) for r in got) == {(1, "block", "alias"): 3, (None, "allow", "default"): 2}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
