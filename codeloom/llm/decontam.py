@@ -6,9 +6,13 @@ documents (here a shingle is a word). Documents look up their words among the wi
 a match at offset k of a window fixes where the window would start, which must lie in the document,
 and leave room for the window's length; then all of the window's words are compared.
 
-The windows of a block of items are broadcast; a block's text is at most ``block_chars`` characters
-(a longer item stands alone). A larger benchmark is worked off block by block over all documents, and
-what is found so far is carried along, so no size of the benchmark changes results.
+The windows of a block of items are broadcast: the block's word hashes, and for each distinct window where
+it is in them and whose it is, so equal windows of many items are looked for once. A block's text is at most
+``block_chars`` characters (a longer item stands alone), some 30 bytes each as sent. A larger benchmark is
+worked off block by block over all documents, and what is found so far is carried along, so no size of
+the benchmark changes results; each block reads the documents twice.
+
+Words are compared by 64-bit hashes.
 
 Defined cases: null texts have no words; items without words have no windows; repeated item ids count
 once; repeated documents are judged each; an empty benchmark hits nothing.
@@ -24,20 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import stage
-from codeloom.llm.textscan import PUNCT, Words, pieces, words_of
+from codeloom.llm.textscan import PUNCT, Words, mix, pieces, words_of
 
 
 @dataclass
 class Block:
-    """Windows of some items, ordered by their prefix word."""
+    """Distinct windows of some items, ordered by their prefix word."""
 
     items: list[str]
-    item: np.ndarray  #: window -> index of its item
-    words: np.ndarray  #: window x size, hashes (0 after its end)
+    words: np.ndarray  #: hashes of all items' words, one after the other
+    at: np.ndarray  #: window -> its first word in ``words``
     length: np.ndarray
     offset: np.ndarray  #: where in the window its rarest word is
     keys: np.ndarray  #: the distinct prefix words, sorted
     first: np.ndarray  #: key -> first window
+    owners: np.ndarray  #: indexes of the windows' items
+    owned: np.ndarray  #: window -> first of its ``owners``
+
+    def items_of(self, windows: np.ndarray) -> list[str]:
+        found = [self.owners[self.owned[w] : self.owned[w + 1]] for w in np.unique(windows).tolist()]
+        return [self.items[k] for k in np.unique(np.concatenate(found)).tolist()]
 
     def find(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """(window, index of its first word) of every occurrence in a batch of rows."""
@@ -56,10 +66,10 @@ class Block:
         start, row = word - self.offset[window], words.row[word]
         room = (start >= words.first[row]) & (start + self.length[window] <= words.first[row + 1])
         window, start = window[room], start[room]
-        for k in range(self.words.shape[1]):
+        for k in range(int(self.length.max())):
             longer = self.length[window] > k
             ok = ~longer
-            ok[longer] = words.hash[start[longer] + k] == self.words[window[longer], k]
+            ok[longer] = words.hash[start[longer] + k] == self.words[self.at[window[longer]] + k]
             window, start = window[ok], start[ok]
         return window, start
 
@@ -102,21 +112,28 @@ def make_block(docs: DataFrame, items: list[tuple[str, str]], size: int = 10) ->
     seen = np.zeros(len(vocabulary), np.int64)
     for r in counted:
         seen[r["word"]] = r["n"]
-    item, rows, length, offset = [], [], [], []
-    for i, s, n in spans:
-        own = words.hash[s : s + n]
+    own = np.array([place[k] for k, _ in items], np.int64)
+    item, at, length = (np.array(x, np.int64) for x in zip(*spans, strict=True)) if spans else (np.zeros(0, np.int64),) * 3
+    item = own[item]
+    # windows with the same words are one: their 64-bit hash stands for them
+    same = np.zeros(len(at), np.uint64)
+    rare, rarest, offset = np.full(len(at), np.iinfo(np.int64).max), np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)
+    count = seen[np.searchsorted(vocabulary, words.hash)]
+    for k in range(size):
+        inside = np.flatnonzero(length > k)
+        h, n = words.hash[at[inside] + k], count[at[inside] + k]
+        same[inside] = mix(same[inside] + h)
         # ties of rarity go to the lesser hash: one order for all windows
-        rare = np.lexsort((own, seen[np.searchsorted(vocabulary, own)]))[0]
-        item.append(place[items[i][0]])
-        rows.append(np.pad(own, (0, size - n)))
-        length.append(n)
-        offset.append(rare)
-    table = np.array(rows, np.uint64).reshape(-1, size)
-    item, length, offset = np.array(item, np.int64), np.array(length, np.int64), np.array(offset, np.int64)
-    prefix = table[np.arange(len(table)), offset] if len(table) else np.zeros(0, np.uint64)
-    order = np.argsort(prefix, kind="stable")
-    keys, first = np.unique(prefix[order], return_index=True)
-    return Block(ids, item[order], table[order], length[order], offset[order], keys, np.append(first, len(order)))
+        better = (n < rare[inside]) | ((n == rare[inside]) & (h < rarest[inside]))
+        rare[inside[better]], rarest[inside[better]], offset[inside[better]] = n[better], h[better], k
+    same = mix(same + length.astype(np.uint64))
+    order = np.lexsort((item, same, rarest))
+    item, at, length, offset, rarest, same = (x[order] for x in (item, at, length, offset, rarest, same))
+    new = np.ones(len(at), bool)
+    new[1:] = same[1:] != same[:-1]
+    lead = np.flatnonzero(new)
+    keys, first = np.unique(rarest[lead], return_index=True)
+    return Block(ids, words.hash, at[lead], length[lead], offset[lead], keys, np.append(first, len(lead)), item, np.append(lead, len(item)))
 
 
 def _marker(block):
@@ -145,7 +162,7 @@ def _marker(block):
                     else:
                         merged += [s, s + n]
                 spans_of[r] = merged
-                items_of[r] = [index.items[k] for k in np.unique(index.item[window[a:b]])]
+                items_of[r] = index.items_of(window[a:b])
             for r in range(part.num_rows):
                 before = spans[done + r].as_py() if len(spans) and spans[done + r].is_valid else []
                 if before:
@@ -181,7 +198,7 @@ def _blocks(benchmark: DataFrame, block_chars: int):
     yield now
 
 
-def mark_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block_chars: int = 4_000_000) -> DataFrame:
+def mark_hits(docs: DataFrame, benchmark: DataFrame, name: str = "hits", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", size: int = 10, block_chars: int = 16_000_000) -> DataFrame:
     """``docs`` with a column ``name``: struct of n_words, spans (word positions hit) and items (ids as strings)."""
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))

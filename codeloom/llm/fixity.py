@@ -1,14 +1,17 @@
-"""Merkle fixity audit of archive records kept in several replicas.
-
-Records lie in an archive one after the other; each has a SHA-256 over its header (id and target) and
-payload. Ranges of ``width`` consecutive ids are the leaves' parents: a range's hash covers its records'
-hashes with their offsets in order, a node above covers ``fanout`` ranges below, up to one root. Two
-replicas are compared from the root down; only the children of nodes that differ are looked at, so an
-intact replica costs one comparison, and damage is located to records, with their byte offsets.
-
-Defined cases: null fields count as empty; records of the same id are ordered by their hash; repeated
-records count with their number; a record that only one replica has is reported as missing or extra;
-empty archives have equal (absent) roots.
+"""Merkle fixity audit of WARC records kept in several replicas.
+
+A record is written as in an archive: version, type, id, target, length, an empty line, the payload and
+two line ends. Records lie one after the other in order of their ids, so a record's offset is the sum of
+the lengths before it. Each has a SHA-256 over all its bytes. Ranges of ``width`` consecutive ids are the
+leaves' parents: a range's hash covers its records' hashes with their offsets in order, a node above
+covers ``fanout`` ranges below, up to one root. Two replicas are compared from the root down; only the
+children of nodes that differ are looked at, so an intact replica costs one comparison, and damage is
+located to records, with their byte offsets.
+
+Defined cases: null fields count as empty; records without an id come first, dealt by hash to
+``NULL_RANGES`` ranges below 0, so that no range grows with them all; records of the same id are ordered
+by their hash; repeated records count with their number; a record that only one replica has is reported
+as missing or extra; empty archives have equal (absent) roots.
 """
 
 from __future__ import annotations
@@ -19,10 +22,17 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import stage
 
 
-def record_hash(*fields: Column) -> Column:
-    """SHA-256 in hex over the fields, each led by its length in bytes; null counts as empty."""
-    texts = [F.coalesce(f.cast("string"), F.lit("")) for f in fields]
-    return F.sha2(F.concat(*[F.concat(F.octet_length(t).cast("string"), F.lit(":"), t) for t in texts]), 256)
+#: Ranges of records without an id.
+NULL_RANGES = 1 << 16
+
+
+def warc_record(record_id: Column, target: Column, payload: Column) -> Column:
+    """The record's bytes, as text in UTF-8; null counts as empty."""
+    name, uri, body = (F.coalesce(c.cast("string"), F.lit("")) for c in (record_id, target, payload))
+    return F.concat(
+        F.lit("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), name, F.lit(">\r\nWARC-Target-URI: "), uri,
+        F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body, F.lit("\r\n\r\n"),
+    )
 
 
 class MerkleTree:
@@ -35,7 +45,8 @@ class MerkleTree:
     def __init__(self, records: DataFrame, width: int = 64, fanout: int = 16):
         self.width, self.fanout = width, fanout
         own = records.groupBy("id", "hash", "bytes").agg(F.count("*").alias("copies"))
-        own = own.withColumn("node", F.floor(F.coalesce("id", F.lit(-1)) / width))
+        by_hash = -1 - F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") % NULL_RANGES
+        own = own.withColumn("node", F.when(F.col("id").isNull(), by_hash).otherwise(F.floor(F.col("id") / width)))
         within = Window.partitionBy("node").orderBy(F.col("id").asc_nulls_first(), "hash")
         own = own.withColumn("upto", F.sum(F.col("bytes") * F.col("copies")).over(within))
         own = stage(own, "merkle-records")
@@ -117,6 +128,6 @@ def audit(a: MerkleTree, b: MerkleTree) -> DataFrame:
 
 def page_records(pages: DataFrame, html: Column | None = None) -> DataFrame:
     """Pages as records: id, hash, bytes."""
-    body = F.coalesce(F.col("html") if html is None else html, F.lit(""))
-    url = F.coalesce("url", F.lit(""))
-    return pages.select(F.col("page_id").alias("id"), record_hash(F.col("page_id"), url, body).alias("hash"), (F.octet_length(url) + F.octet_length(body)).cast("long").alias("bytes"))
+    record = warc_record(F.col("page_id"), F.col("url"), F.col("html") if html is None else html)
+    own = pages.select(F.col("page_id").alias("id"), record.alias("record"))
+    return own.select("id", F.sha2("record", 256).alias("hash"), F.octet_length("record").cast("long").alias("bytes"))

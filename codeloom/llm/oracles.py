@@ -6,8 +6,10 @@ _PLAIN = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\
 
 
 def _record(html: str) -> str:
-    parts = [f"strlen({f})::VARCHAR || ':' || {f}" for f in ("coalesce(page_id::VARCHAR, '')", "coalesce(url, '')", f"coalesce({html}, '')")]
-    return " || ".join(parts)
+    body = f"coalesce({html}, '')"
+    end = "chr(13) || chr(10)"
+    return f"""'WARC/1.0' || {end} || 'WARC-Type: resource' || {end} || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || {end}
+    || 'WARC-Target-URI: ' || coalesce(url, '') || {end} || 'Content-Length: ' || strlen({body})::VARCHAR || {end} || {end} || {body} || {end} || {end}"""
 
 
 _CUT = "CASE WHEN page_id % 97 = 13 THEN left(html, length(html) - 1) ELSE html END"
@@ -21,9 +23,9 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d
 SELECT doc_id, keep_id, group_size, row_number() OVER (PARTITION BY text_sha256, doc_id) = 1 AND doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
 FROM d JOIN g USING (text_sha256)""",
     "op2_merkle_fixity": f"""
-WITH a AS (SELECT page_id AS id, sha256({_record("html")}) AS h, count(*) AS c, any_value(strlen(coalesce(url, '')) + strlen(coalesce(html, ''))) AS bytes FROM pages GROUP BY page_id, {_record("html")}),
+WITH a AS (SELECT page_id AS id, sha256({_record("html")}) AS h, count(*) AS c, any_value(strlen({_record("html")})) AS bytes FROM pages GROUP BY page_id, {_record("html")}),
 b AS (SELECT page_id AS id, sha256({_record(_CUT)}) AS h, count(*) AS c FROM pages GROUP BY page_id, {_record(_CUT)}),
-own AS (SELECT *, floor(id / 64)::BIGINT AS node, sum(bytes * c) OVER (ORDER BY id, h) - bytes * c AS spot FROM a),
+own AS (SELECT *, floor(id / 16)::BIGINT AS node, sum(bytes * c) OVER (ORDER BY id, h) - bytes * c AS spot FROM a),
 la AS (SELECT node, id, min(spot) AS spot, list((h, c) ORDER BY h) AS hs FROM own GROUP BY 1, 2),
 lb AS (SELECT id, list((h, c) ORDER BY h) AS hs FROM b GROUP BY 1),
 bad AS (SELECT la.node, la.id, la.spot FROM la JOIN lb ON la.id = lb.id WHERE la.hs <> lb.hs),

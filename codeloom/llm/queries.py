@@ -17,6 +17,8 @@ RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 WEIGHTS = [5, 2, 1]
 #: The second replica's bytes differ in pages whose id has this remainder.
 DAMAGED = (97, 13)
+#: Ids of a range, and children of a node.
+TREE = (16, 4)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +31,8 @@ def op2_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     modulus, rest = DAMAGED
     cut = F.when(F.col("page_id") % modulus == rest, F.substr("html", F.lit(1), F.length("html") - 1)).otherwise(F.col("html"))
-    return fixity.audit(fixity.MerkleTree(fixity.page_records(pages)), fixity.MerkleTree(fixity.page_records(pages, cut)))
+    good, other = (fixity.MerkleTree(fixity.page_records(pages, html), *TREE) for html in (None, cut))
+    return fixity.audit(good, other)
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,18 +58,18 @@ def base_spans(text):
 
 def contamination(text, items, size=10):
     words = plain_words(text)
-    hit, found = set(), set()
+    windows = defaultdict(set)
     for item_id, item in items:
         own = plain_words(item)
-        if not own:
-            continue
         n = min(size, len(own))
-        for s in range(len(own) - n + 1):
-            window = own[s : s + n]
-            for at in range(len(words) - n + 1):
-                if words[at : at + n] == window:
-                    hit.update(range(at, at + n))
-                    found.add(str(item_id))
+        for s in range(len(own) - n + 1 if n else 0):
+            windows[tuple(own[s : s + n])].add(str(item_id))
+    hit, found = set(), set()
+    for n in {len(w) for w in windows}:
+        for at in range(len(words) - n + 1):
+            if own := windows.get(tuple(words[at : at + n])):
+                hit.update(range(at, at + n))
+                found |= own
     return len(words), len(hit), sorted(found)
 
 

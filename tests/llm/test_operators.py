@@ -46,12 +46,17 @@ def test_the_index_remembers_batches(spark, odd, empty):
     assert {r.text_sha256 for r in again if r.known} == {B.sha(t) for t in before}
     assert not any(r.kept for r in again if r.known)
     assert len({r.text_sha256 for r in again if r.kept}) == len({t or "" for _, t in ROWS} - before)
-    assert index.rows().count() == len({t or "" for _, t in ROWS})
+    assert index.read().count() == len({t or "" for _, t in ROWS})
+    sizes = Counter(B.sha(t or "") for i, t in ROWS) + Counter(B.sha(t or "") for i, t in ROWS if i is not None and i <= 5)
+    assert all(r.group_size == sizes[r.text_sha256] for r in again)
     assert exact_dedup.exact_dedup(empty, index).count() == 0
-    fresh = exact_dedup.DigestIndex(spark, index.path, 4)  # a new session finds the files
-    assert fresh.read().count() == index.rows().count()
-    plan = odd.select(exact_dedup.digest_of("text").alias("digest")).join(fresh.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
-    assert "Bucketed: true" in plan
+    fresh = exact_dedup.DigestIndex(spark, index.path)  # a new session finds the files, and how they are bucketed
+    assert fresh.buckets == 4 and fresh.read().count() == index.read().count()
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, index.path, 8)
+    side = odd.select(exact_dedup.digest_of("text").alias("digest")).repartition(4, "digest")
+    plan = side.join(fresh.read().hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and plan.count("Exchange") == 1  # that of the batch
 
 
 def test_keep_first(spark, odd, empty):
@@ -79,7 +84,8 @@ def test_fixity_locates_damage(spark):
     bad.append((1000, "new", "page", "h"))
     other = fixity.MerkleTree(pages(spark, bad), width=8, fanout=4)
     found = {r.node: r.damaged for r in fixity.audit(good, other).filter("not intact").collect()}
-    at = lambda i: sum(len(f"u{k}") + k for k in range(i))
+    own = lambda i: len(f"WARC/1.0..WARC-Type: resource..WARC-Record-ID: <urn:page:{i}>..WARC-Target-URI: u{i}..Content-Length: {i}........") + i
+    at = lambda i: sum(own(k) for k in range(i))
     assert found == {0: f"7:{at(7)}:corrupt", 37: f"300:{at(300)}:missing", 125: "1000:-:extra"}
 
 
@@ -93,6 +99,17 @@ def test_fixity_of_odd_rows(spark):
     assert fixity.audit(tree, none).filter("not intact").count() == 2
 
 
+def test_fixity_spreads_records_without_id(spark):
+    rows = [(None, f"u{i}", "x" * i, "h") for i in range(200)] + [(i, "u", "x", "h") for i in range(40)]
+    tree = fixity.MerkleTree(pages(spark, rows), width=8, fanout=4)
+    assert max(r["count"] for r in tree.records.filter("id is null").groupBy("node").count().collect()) < 20
+    bad = [(None, "u3", "y", "h") if r[1] == "u3" else r for r in rows]
+    found = fixity.audit(tree, fixity.MerkleTree(pages(spark, bad), width=8, fanout=4)).filter("not intact").collect()
+    assert 1 <= len(found) <= 2 and all(r.node < 0 for r in found)
+    whole = tree.ranges().orderBy("node").collect()
+    assert [r.first_offset for r in whole] == [sum(x.bytes for x in whole[:k]) for k in range(len(whole))]
+
+
 # -- 3 personal data -------------------------------------------------------
 TEXTS = [
     "mail a.b+c@x-y.co.uk_z@q.org, a@b", "1.2.3.4.5.6.7.8 999.1.1.1 0255.000.1.2", "4337 1665-9846 4399 and 4337166598464390", "+1 (988) 555-2485. +49 30 1 +1-2",
@@ -277,7 +294,6 @@ def contaminated_rows():
 @pytest.mark.parametrize("block_chars", [4_000_000, 40])
 def test_decontamination(spark, block_chars):
     rows = ROWS + contaminated_rows()
-    rows = [r for r in rows if r[0] != 14]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontam.contamination(docs, items, block_chars=block_chars).collect())
@@ -290,11 +306,20 @@ def test_decontamination(spark, block_chars):
 
 def test_decontamination_keeps_clean_rows_whole(spark, odd, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert sorted(decontam.clean(odd, items).collect(), key=key) == sorted((r for r in odd.collect() if not B.contamination((r.text or "")[:5000], ITEMS)[1]), key=key)
+    assert sorted(decontam.clean(odd, items).collect(), key=key) == sorted((r for r in odd.collect() if not B.contamination(r.text, ITEMS)[1]), key=key)
     assert decontam.contamination(empty, items).count() == 0
     assert decontam.contamination(odd, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_equal_windows_are_one(spark):
+    items = [(str(i), prose(50, 25)) for i in range(40)] + [("x", prose(50, 25) + " more")]
+    block = decontam.make_block(spark.createDataFrame([(prose(60, 30),)], "text string"), items)
+    assert len(block.at) == 17 and len(block.owners) == 41 * 16 + 1
+    docs = spark.createDataFrame([(1, prose(50, 25)), (2, prose(61, 30))], "doc_id long, text string")
+    got = {r.doc_id: r.n_items for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert got == {1: 41, 2: 0}
+
+
 # -- 7 suffix tree ---------------------------------------------------------
 def test_suffix_lm_base(spark, odd, empty):
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in suffix_lm.score_corpus(odd).collect()), key=key)
