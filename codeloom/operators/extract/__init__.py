@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import stable_id
@@ -19,6 +19,7 @@ from codeloom.operators.extract.base import Fact, scan
 from codeloom.operators.extract.java import JAVA
 from codeloom.operators.extract.node import NODE
 from codeloom.operators.extract.python import PYTHON
+from codeloom.plans.staging import cut
 from codeloom.schemas import FACTS
 from codeloom.sources.files import LANGUAGES
 
@@ -66,14 +67,18 @@ def dedup_edges(edges: DataFrame, keys: list[str] | None = None, order: str = "e
 
 
 def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(edges, methods, errors) of a repository's files: edges are distinct and ordered by ``edge_ord``."""
-    facts = extract_facts(files)
+    """(edges, methods, errors) of a repository's files: edges are distinct and ordered by ``edge_ord``.
+
+    Files are parsed once; the facts are written to the shared folder.
+    """
+    facts = cut(extract_facts(files))
     plain = facts.filter("kind = 'edge'").select(
-        "language", "file_ord", "seq", F.lit(0).alias("part"), F.col("class_name").alias("caller_class"), F.col("method_name").alias("caller_method"), "callee_class", "callee_method"
+        "language", "path", "file_ord", "seq", F.lit(0).cast("long").alias("part"), F.col("class_name").alias("caller_class"), F.col("method_name").alias("caller_method"), "callee_class", "callee_method"
     )
     edges = plain.unionByName(csharp.resolve(facts))
-    # an order, not a dense number: file, place in the file, place among an interface's implementations
-    order = F.col("file_ord") * F.lit(1 << 32) + F.col("seq") * F.lit(1 << 8) + F.least(F.col("part"), F.lit(255))
+    # an order, not a dense number: the file, then the edge's place in it and among an interface's implementations
+    place = F.row_number().over(Window.partitionBy("file_ord", "path").orderBy("seq", "part"))
+    order = F.col("file_ord") * F.lit(1 << 32) + place
     numbered = dedup_edges(edges.select("language", order.cast("long").alias("edge_ord"), "caller_class", "caller_method", "callee_class", "callee_method"))
     methods = facts.filter("kind = 'method'").select("class_name", "method_name", "source_code", "language", "path", "seq")
     errors = facts.filter("kind = 'error'").select("path", "language", F.col("source_code").alias("error"))

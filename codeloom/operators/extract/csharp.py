@@ -5,8 +5,10 @@ methods, and calls with the receiver as far as the file itself tells it. ``resol
 whole repository with equi joins: receiver type through members, then the method in the type or the
 nearest of its bases. Calls that do not bind give no edge.
 
-Known gaps: extension methods, overloads (one edge per name), generic type arguments, ``var`` from
-calls, receivers over more than ``HOPS`` members, bases beyond ``DEPTH`` levels.
+Bases are followed up to the last and receivers over all their members. The scanner goes from one bracket
+or semicolon to the next and looks back over words only, so a file costs in proportion to its length.
+
+Known gaps: extension methods, overloads (one edge per name), generic type arguments, ``var`` from calls.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from codeloom.operators.extract.base import Fact
 from codeloom.plans.staging import cut
 
 NAME = "C# (.NET)"
-HOPS, DEPTH = 3, 6
 
 # Callees in namespaces that start so, and classes named so, give no edges.
 STANDARD = "System"
@@ -34,6 +35,8 @@ _FIELD = re.compile(r"(?P<type>[\w.]+(?:\s*<[^=;{}()]*>)?(?:\[\])?\??)\s+(?P<nam
 _MODIFIER = re.compile(r"^(?:\s*\[[^\]]*\])*\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|readonly|partial|new|extern|unsafe|const|required|volatile)\b\s*)*", re.S)
 _CALL = re.compile(r"(?P<chain>(?:\b\w+\s*(?:\?|!)?\s*\.\s*)*)\b(?P<name>[A-Za-z_]\w*)\s*(?:<[\w\s,.<>\[\]?]*>)?\s*\(")
 _LOCAL = re.compile(r"(?:^|[;{}(]|\bforeach\s*\()\s*(?:await\s+)?(?P<type>[A-Za-z_][\w.]*(?:<[^;(){}=]*>)?(?:\[\])?\??)\s+(?P<name>[A-Za-z_]\w*)\s*(?:=(?!=)\s*(?:new\s+(?P<made>[A-Za-z_][\w.]*))?|;|\bin\b)")
+_MARK = re.compile(r"[()\[\]{};]")
+_BRACE = re.compile(r"[{}]")
 _WORDS = set("if for foreach while switch using lock catch fixed return throw new nameof typeof sizeof default checked unchecked when await else do try finally get set init add remove in is as out ref base this var yield goto case".split())
 
 
@@ -47,6 +50,22 @@ def bare(kind: str) -> str:
     return re.sub(r"<.*|\[.*|\?", "", kind.strip(), flags=re.S).rsplit(".", 1)[-1].strip()
 
 
+def _before(src: str, at: int) -> int:
+    """Where the white space that ends at ``at`` begins."""
+    while at and src[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _after_new(src: str, at: int) -> bool:
+    """Is the name at ``at`` that of a created type?"""
+    word = at
+    while word and (src[word - 1].isalnum() or src[word - 1] in "_."):
+        word -= 1
+    gap = _before(src, word)
+    return gap < word and src[max(0, gap - 3) : gap] == "new" and (gap == 3 or not (src[gap - 4].isalnum() or src[gap - 4] == "_"))
+
+
 def _params(text: str) -> dict[str, str]:
     out = {}
     for part in re.split(r",(?![^<]*>)", text):
@@ -89,10 +108,10 @@ def facts(path: str, text: str) -> Iterator[Fact]:
                     scope[v["name"]] = bare(kind)
             for c in _CALL.finditer(chunk):
                 name = c["name"]
-                if name in _WORDS or re.search(r"\bnew\s+[\w.]*$", chunk[: c.start("name")]):
+                if name in _WORDS or _after_new(chunk, c.start("name")):
                     continue
                 chain = [p for p in re.split(r"[\s.?!]+", c["chain"]) if p]
-                if chunk[: c.start()].rstrip().endswith(".") and not chain:
+                if not chain and chunk[max(0, (gap := _before(chunk, c.start())) - 1) : gap] == ".":
                     continue  # the receiver is the result of a call
                 if not chain or chain[0] == "this":
                     at = "T:" + ".".join([cls, *chain[1:]])
@@ -104,9 +123,10 @@ def facts(path: str, text: str) -> Iterator[Fact]:
                     at = "N:" + ".".join(chain)
                 out.append(("cs_call", cls, m["name"], at, name, None))
 
-    i, n = 0, len(src)
-    while i < n:
-        ch = src[i]
+    at = 0
+    while mark := _MARK.search(src, at):
+        i, ch = mark.start(), mark[0]
+        at = i + 1
         if ch in "([":
             paren += 1
         elif ch in ")]":
@@ -128,14 +148,14 @@ def facts(path: str, text: str) -> Iterator[Fact]:
             elif member_level() and "=" not in plain.split("(")[0] and (m := _METHOD.search(plain)) and m["name"] not in _WORDS:
                 end = _closing(src, i)
                 method(m, begin, end, (i + 1, end - 1))
-                i = start = end
+                at = start = end
                 continue
             elif member_level() and (m := _FIELD.search(plain.split("=")[0])):
                 out.append(("cs_member", owner()[1], m["name"], bare(m["type"]), "property", None))
-                i = start = _closing(src, i)
+                at = start = _closing(src, i)
                 continue
             elif member_level():
-                i = start = _closing(src, i)  # constructors, initialisers, operators
+                at = start = _closing(src, i)  # constructors, initialisers, operators
                 continue
             else:
                 stack.append(("block", "", "", begin))
@@ -157,17 +177,16 @@ def facts(path: str, text: str) -> Iterator[Fact]:
                 elif m := _FIELD.search(plain.split("=")[0]):
                     out.append(("cs_member", owner()[1], m["name"], bare(m["type"]), "field", None))
             start = i + 1
-        i += 1
     yield from out
 
 
 def _closing(src: str, at: int) -> int:
     """After the brace that closes the one at ``at``."""
     depth = 0
-    for m in re.finditer(r"[{}]", src[at:]):
+    for m in _BRACE.finditer(src, at):
         depth += 1 if m[0] == "{" else -1
         if not depth:
-            return at + m.end()
+            return m.end()
     return len(src)
 
 
@@ -175,18 +194,18 @@ def _ancestors(types: DataFrame) -> DataFrame:
     """(type, ancestor, depth): a type itself at 0, its bases at 1, and so on."""
     bases = types.select("type", F.explode(F.split("bases", ",")).alias("base")).filter("base <> ''").distinct()
     level = types.select("type", F.col("type").alias("ancestor"), F.lit(0).alias("depth")).distinct()
-    every = level
-    for depth in range(1, DEPTH + 1):
+    every, depth = level, 0
+    while True:  # until no type has a further base; bases that form a ring end too
+        depth += 1
         level = level.join(bases.select(F.col("type").alias("ancestor"), "base"), "ancestor").select("type", F.col("base").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        level = cut(level)
+        level = cut(level.join(every.select("type", "ancestor"), ["type", "ancestor"], "left_anti"))
         if level.isEmpty():
-            break
+            return cut(every)
         every = every.union(level)
-    return cut(every.groupBy("type", "ancestor").agg(F.min("depth").alias("depth")))
 
 
 def resolve(found: DataFrame) -> DataFrame:
-    """Edges of the C# calls among the facts: language, file_ord, seq, part, caller and callee."""
+    """Edges of the C# calls among the facts: language, path, file_ord, seq, part, caller and callee."""
     own = cut(found.filter(F.col("language") == NAME).filter("kind like 'cs_%'"))  # read many times below
     types = own.filter("kind = 'cs_type'").select(F.col("class_name").alias("type"), F.coalesce("method_name", F.lit("")).alias("space"), F.col("callee_class").alias("type_kind"), F.coalesce("callee_method", F.lit("")).alias("bases"))
     up = _ancestors(types)
@@ -194,7 +213,7 @@ def resolve(found: DataFrame) -> DataFrame:
     methods = own.filter("kind = 'cs_method'").groupBy(F.col("class_name").alias("holder"), F.col("method_name").alias("called")).agg(F.max(F.col("callee_method") == "interface").alias("in_interface"))
     held = up.join(members, F.col("ancestor") == F.col("holder")).groupBy("type", "member").agg(F.min_by("member_type", "depth").alias("member_type"))
 
-    calls = own.filter("kind = 'cs_call'").select("language", "file_ord", "seq", F.col("class_name").alias("cls"), F.col("method_name").alias("method"), F.substring("callee_class", 1, 1).alias("mode"), F.split(F.substr("callee_class", F.lit(3)), r"\.").alias("chain"), F.col("callee_method").alias("called"))
+    calls = own.filter("kind = 'cs_call'").select("language", "path", "file_ord", "seq", F.col("class_name").alias("cls"), F.col("method_name").alias("method"), F.substring("callee_class", 1, 1).alias("mode"), F.split(F.substr("callee_class", F.lit(3)), r"\.").alias("chain"), F.col("callee_method").alias("called"))
     first = F.element_at("chain", 1)
     known = types.select(F.col("type").alias("_known")).distinct()
     # a bare name is a member of the class or of its bases, else a type
@@ -202,25 +221,26 @@ def resolve(found: DataFrame) -> DataFrame:
     named = named.join(known, first == F.col("_known"), "left")
     at = F.when(F.col("mode") == "N", F.coalesce("_via", "_known")).otherwise(first)
     step = named.withColumn("at", at).drop("_via", "_known")
-    for hop in range(2, HOPS + 2):
+    longest = calls.agg(F.max(F.size("chain"))).first()[0] or 1
+    for hop in range(2, longest + 1):
         part = F.when(F.size("chain") >= hop, F.try_element_at("chain", F.lit(hop)))
         step = step.withColumn("_part", part).join(held.select(F.col("type").alias("_t"), F.col("member").alias("_m"), F.col("member_type").alias("_via")), (F.col("at") == F.col("_t")) & (F.col("_part") == F.col("_m")), "left")
         step = step.withColumn("at", F.when(F.col("_part").isNull(), F.col("at")).otherwise(F.col("_via"))).drop("_t", "_m", "_via", "_part")
-    met = step.filter(f"at is not null and size(chain) <= {HOPS + 1}").join(up.withColumnRenamed("type", "at"), "at").filter("mode <> 'B' or depth > 0")
+    met = step.filter("at is not null").join(up.withColumnRenamed("type", "at"), "at").filter("mode <> 'B' or depth > 0")
     met = met.join(methods, (F.col("ancestor") == F.col("holder")) & (methods["called"] == met["called"])).drop(methods["called"])
-    bound = met.groupBy("language", "file_ord", "seq", "cls", "method", "called").agg(F.min_by(F.struct("holder", "in_interface"), F.struct("depth", "holder")).alias("to"))
-    bound = bound.select("language", "file_ord", "seq", "cls", "method", "called", "to.holder", "to.in_interface")
+    bound = met.groupBy("language", "path", "file_ord", "seq", "cls", "method", "called").agg(F.min_by(F.struct("holder", "in_interface"), F.struct("depth", "holder")).alias("to"))
+    bound = bound.select("language", "path", "file_ord", "seq", "cls", "method", "called", "to.holder", "to.in_interface")
     # callees of the standard library and of migrations give no edge
     spaces = types.groupBy("type").agg(F.min("space").alias("space"))
     migrating = up.filter(F.col("ancestor").contains(MIGRATION)).select("type").distinct().withColumn("_migrating", F.lit(True))
     bound = bound.join(spaces.withColumnRenamed("type", "holder"), "holder", "left").join(migrating.withColumnRenamed("type", "holder"), "holder", "left")
     bound = bound.filter(F.col("_migrating").isNull() & ~F.coalesce(F.col("space").startswith(STANDARD) | F.col("space").contains(MIGRATION), F.lit(False)))
-    direct = bound.select("language", "file_ord", "seq", F.lit(0).alias("part"), F.col("cls").alias("caller_class"), F.col("method").alias("caller_method"), F.col("holder").alias("callee_class"), F.col("called").alias("callee_method"))
+    direct = bound.select("language", "path", "file_ord", "seq", F.lit(0).cast("long").alias("part"), F.col("cls").alias("caller_class"), F.col("method").alias("caller_method"), F.col("holder").alias("callee_class"), F.col("called").alias("callee_method"))
     # an interface's method leads on to those of the classes that implement it
     solid = types.filter("type_kind in ('class', 'record class')").select("type").distinct()
     impls = up.filter("depth > 0").join(solid, "type").select(F.col("ancestor").alias("iface"), F.col("type").alias("impl"))
     able = up.join(methods.filter("not in_interface").select("holder", F.col("called").alias("impl_called")), F.col("ancestor") == F.col("holder")).groupBy(F.col("type").alias("able"), "impl_called").agg(F.min_by("holder", "depth").alias("impl_holder"))
     through = bound.filter("in_interface").join(impls, F.col("holder") == F.col("iface")).join(able, (F.col("impl") == F.col("able")) & (F.col("called") == F.col("impl_called")))
-    rank = F.dense_rank().over(Window.partitionBy("file_ord", "seq").orderBy("impl"))
-    led = through.select("language", "file_ord", "seq", rank.alias("part"), F.col("holder").alias("caller_class"), F.col("called").alias("caller_method"), F.col("impl_holder").alias("callee_class"), F.col("called").alias("callee_method"))
+    rank = F.dense_rank().over(Window.partitionBy("file_ord", "path", "seq").orderBy("impl"))
+    led = through.select("language", "path", "file_ord", "seq", rank.cast("long").alias("part"), F.col("holder").alias("caller_class"), F.col("called").alias("caller_method"), F.col("impl_holder").alias("callee_class"), F.col("called").alias("callee_method"))
     return direct.unionByName(led)

@@ -38,8 +38,11 @@ def explode_template(templates: DataFrame) -> DataFrame:
     return one.select("feature_name", "a.controller", "a.method")
 
 
-def map_features(apis: DataFrame, methods: DataFrame, edges: DataFrame, run_id: str, mode: str = "reachable", max_levels: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(feature_records, feature_method_mappings). ``methods``: id, class_name, method_name."""
+def map_features(apis: DataFrame, methods: DataFrame, edges: DataFrame, run_id: str, mode: str = "reachable", max_levels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(feature_records, feature_method_mappings). ``methods``: id, class_name, method_name.
+
+    The closure ends when a level reaches nothing new, or after ``max_levels`` if the caller wants fewer.
+    """
     feature_id = stable_id(F.lit(run_id), F.col("feature_name"))
     features = apis.select(feature_id.alias("id"), F.lit(run_id).alias("analysis_run_id"), "feature_name").distinct()
     bare = F.regexp_replace(trim_all(F.col("method")), VERB, "")
@@ -49,7 +52,9 @@ def map_features(apis: DataFrame, methods: DataFrame, edges: DataFrame, run_id:
         key = lambda c, m: node_key(F.col(c), F.regexp_replace(F.col(m), VERB, ""))
         steps = cut(edges.select(key("caller_class", "caller_method").alias("node"), key("callee_class", "callee_method").alias("to")).distinct())
         reached = frontier = cut(reached)
-        for _ in range(max_levels):
+        level = 0
+        while level != max_levels:
+            level += 1
             frontier = cut(frontier.join(steps, "node").select("feature_id", F.col("to").alias("node")).distinct().join(reached, ["feature_id", "node"], "left_anti"))
             if frontier.isEmpty():
                 break

@@ -1,8 +1,10 @@
 """Tables as Parquet folders: append, update by id, delete with children, replace by repository.
 
-A table with a run is partitioned by it, so a run's rows are read and replaced alone. Every change that
-rewrites goes to a fresh folder which a pointer file then names, so a reader never sees half a change
-and a failed write changes nothing.
+A table is a list of folders, each written once and tagged with the run that it belongs to (or with none).
+One manifest names the folders of all tables; a change writes new folders for what it touches and then
+the next manifest, so a reader sees all of a change or nothing, a failed write changes nothing, and of
+two writers that started from the same manifest one fails. Replacing or deleting a run drops its folders
+unread; an update rewrites the folders that hold its rows. ``vacuum`` removes what no kept manifest names.
 """
 
 from __future__ import annotations
@@ -14,8 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.errors import NotFound
+from codeloom.plans.staging import cut
 from codeloom.schemas import PARENTS, TABLES
 
+RUNS = "analysis_runs"
+#: table -> folders, each {"path": below the store's root, "run": id or None}
+Manifest = dict[str, list[dict]]
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
@@ -24,88 +31,132 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    # -- versions ---------------------------------------------------------
-    def _pointer(self, table: str):
-        return self._path(f"{self.root}/{table}/CURRENT")
-
-    def _version(self, table: str) -> str | None:
-        at = self._pointer(table)
+    # -- manifests --------------------------------------------------------
+    def _numbers(self) -> list[int]:
+        at = self._path(f"{self.root}/_manifests")
         if not self._fs.exists(at):
-            return None
-        stream = self._fs.open(at)
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)]
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def _manifest(self, number: int | None = None) -> tuple[int, Manifest]:
+        """The latest manifest, or one by number; 0 and nothing for a new store."""
+        number = max(self._numbers(), default=0) if number is None else number
+        if not number:
+            return 0, {}
+        stream = self._fs.open(self._path(f"{self.root}/_manifests/{number:012d}.json"))
         try:
-            return json.loads(bytes(stream.readAllBytes()).decode())["version"]
+            return number, json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
-    def _commit(self, tables: dict[str, str]) -> None:
-        for table, version in tables.items():
-            out = self._fs.create(self._pointer(table), True)
-            out.write(bytearray(json.dumps({"version": version}).encode()))
-            out.close()
-
-    def _partition(self, table: str) -> list[str]:
-        return ["analysis_run_id"] if "analysis_run_id" in TABLES[table].fieldNames() else []
-
-    def _write_version(self, table: str, df: DataFrame) -> str:
-        version = uuid.uuid4().hex
-        shaped = df.select(*[F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table]])
-        writer = shaped.write.mode("error")
-        if self._partition(table):
-            writer = writer.partitionBy(*self._partition(table))
-        writer.parquet(f"{self.root}/{table}/{version}")
-        return version
+    def _commit(self, before: int, manifest: Manifest) -> None:
+        """Publish the manifest after ``before``; fails if another writer did so."""
+        draft = self._path(f"{self.root}/_manifests/{uuid.uuid4().hex}.draft")
+        out = self._fs.create(draft, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
+        out.close()
+        goal = self._path(f"{self.root}/_manifests/{before + 1:012d}.json")
+        if self._fs.exists(goal) or not self._fs.rename(draft, goal):
+            self._fs.delete(draft, False)
+            raise RuntimeError("another writer changed the store; try again")
+
+    def _written(self, table: str, rows: DataFrame, run: str | None) -> dict:
+        path = f"{table}/{uuid.uuid4().hex}"
+        shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table]])
+        shaped.write.mode("error").parquet(f"{self.root}/{path}")
+        return {"path": path, "run": run}
 
     # -- reading ----------------------------------------------------------
-    def table(self, table: str) -> DataFrame:
-        version = self._version(table)
-        if version is None:
+    def _read(self, table: str, folders: list[dict]) -> DataFrame:
+        if not folders:
             return self.spark.createDataFrame([], TABLES[table])
-        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}/{version}").select(*TABLES[table].fieldNames())
+        return self.spark.read.schema(TABLES[table]).parquet(*[f"{self.root}/{f['path']}" for f in folders])
+
+    def table(self, table: str, run: str | None = None) -> DataFrame:
+        """All rows; with ``run`` only the folders that may hold that run's rows are read."""
+        folders = self._manifest()[1].get(table, [])
+        return self._read(table, [f for f in folders if run is None or f["run"] in (None, run)])
 
     def get(self, table: str, row_id: str):
         """The row with the id, or None."""
         return self.table(table).filter(F.col("id") == row_id).limit(1).first()
 
     # -- changes ----------------------------------------------------------
-    def insert(self, table: str, rows: DataFrame) -> None:
-        version = self._version(table)
-        if version is None:
-            self._commit({table: self._write_version(table, rows)})
-            return
-        shaped = rows.select(*[F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table]])
-        writer = shaped.write.mode("append")
-        if self._partition(table):
-            writer = writer.partitionBy(*self._partition(table))
-        writer.parquet(f"{self.root}/{table}/{version}")
+    def insert(self, table: str, rows: DataFrame, run: str | None = None) -> None:
+        number, manifest = self._manifest()
+        self._commit(number, {**manifest, table: [*manifest.get(table, []), self._written(table, rows, run)]})
+
+    def _holding(self, table: str, folders: list[dict], column: str, keys: DataFrame) -> list[dict]:
+        """The folders with a row whose ``column`` is among the ids ``keys``."""
+        if not folders:
+            return []
+        rows = self._read(table, folders).select(F.col(column).alias("id"), F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("folder"))
+        found = {r["folder"] for r in rows.join(keys, "id", "left_semi").select("folder").distinct().collect()}
+        return [f for f in folders if f["path"].rsplit("/", 1)[-1] in found]
+
+    def _rewritten(self, table: str, folders: list[dict], change) -> list[dict]:
+        """New folders, one for each tag, with ``change`` applied to the rows of the old ones."""
+        return [self._written(table, change(self._read(table, [f for f in folders if f["run"] == run])), run) for run in dict.fromkeys(f["run"] for f in folders)]
 
     def update(self, table: str, changes: DataFrame, fixed: tuple[str, ...] = ("id", "repository_path", "created_at")) -> None:
         """Patch rows by id: only non-null fields of ``changes`` overwrite, ``fixed`` ones never do."""
-        self._commit({table: self._write_version(table, patched(self.table(table), changes, fixed))})
+        number, manifest = self._manifest()
+        folders = manifest.get(table, [])
+        touched = self._holding(table, folders, "id", changes.select("id"))
+        if touched:
+            new = self._rewritten(table, touched, lambda rows: patched(rows, changes, fixed))
+            self._commit(number, {**manifest, table: [f for f in folders if f not in touched] + new})
 
     def delete(self, table: str, ids: DataFrame, must_exist: bool = False) -> None:
         """Delete rows by id (column id) and all rows below them."""
-        if must_exist and self.table(table).join(ids.select("id"), "id", "left_semi").isEmpty():
+        number, manifest = self._manifest()
+        gone = cut(ids.select("id").distinct())
+        if must_exist and not self._holding(table, manifest.get(table, []), "id", gone):
             raise NotFound(f"no such row in {table}")
-        self._commit({t: self._write_version(t, df) for t, df in self._without(table, ids).items()})
-
-    def _without(self, table: str, ids: DataFrame) -> dict[str, DataFrame]:
-        return without(lambda t: self.table(t), table, ids, [t for t in TABLES if self._version(t) or t == table])
+        self._commit(number, self._without(manifest, table, gone))
+
+    def _without(self, manifest: Manifest, table: str, gone: DataFrame) -> Manifest:
+        """The manifest after the rows of ``gone`` and everything below them went."""
+        out = dict(manifest)
+        if table == RUNS:  # their own folders go unread
+            runs = {r["id"] for r in gone.collect()}  # as many as the caller names, or repositories have
+            out = {t: [f for f in folders if f["run"] not in runs] for t, folders in out.items()}
+        lost = {table: gone}
+        changed = True
+        while changed:
+            changed = False
+            for child, (column, parent) in PARENTS.items():
+                if parent in lost and child not in lost and out.get(child):
+                    lost[child] = cut(self._read(child, out[child]).join(lost[parent].select(F.col("id").alias(column)), column, "left_semi").select("id"))
+                    changed = True
+        for name, ids in lost.items():
+            touched = self._holding(name, out.get(name, []), "id", ids)
+            if touched:
+                new = self._rewritten(name, touched, lambda rows, ids=ids: rows.join(ids, "id", "left_anti").select(*rows.columns))
+                out[name] = [f for f in out[name] if f not in touched] + new
+        return out
 
     def replace_run(self, run: DataFrame, tables: dict[str, DataFrame]) -> None:
         """Put a run in place of all runs of the same repository (path in any case), with its tables."""
-        paths = run.select(F.lower("repository_path").alias("_path"))
-        old = self.table("analysis_runs").join(paths, F.lower("repository_path") == F.col("_path"), "left_semi").select("id")
-        kept = self._without("analysis_runs", old)
-        fresh = {"analysis_runs": run, **tables}
-        versions = {}
-        for table in {*kept, *fresh}:
-            own = kept.get(table, self.table(table))
-            if table in fresh:
-                shaped = fresh[table].select(*[F.col(f.name).cast(f.dataType) if f.name in fresh[table].columns else F.lit(None).cast(f.dataType).alias(f.name) for f in TABLES[table]])
-                own = own.unionByName(shaped)
-            versions[table] = self._write_version(table, own)
-        self._commit(versions)
+        number, manifest = self._manifest()
+        own = run.select("id", F.lower("repository_path").alias("_path")).first()
+        old = cut(self._read(RUNS, manifest.get(RUNS, [])).filter(F.lower("repository_path") == own["_path"]).select("id"))
+        out = self._without(manifest, RUNS, old)
+        for table, rows in {RUNS: run, **tables}.items():
+            out[table] = [*out.get(table, []), self._written(table, rows, own["id"])]
+        self._commit(number, out)
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Remove folders and manifests older than the last ``keep`` manifests; returns how many folders went."""
+        numbers = self._numbers()
+        kept = {f["path"] for n in numbers[-keep:] for folders in self._manifest(n)[1].values() for f in folders}
+        old = {f["path"] for n in numbers[:-keep] for folders in self._manifest(n)[1].values() for f in folders} - kept
+        for path in old:
+            self._fs.delete(self._path(f"{self.root}/{path}"), True)
+        for n in numbers[:-keep]:
+            self._fs.delete(self._path(f"{self.root}/_manifests/{n:012d}.json"), False)
+        return len(old)
 
 
 def patched(old: DataFrame, changes: DataFrame, fixed: tuple[str, ...] = ("id",), key: str = "id") -> DataFrame:

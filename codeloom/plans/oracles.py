@@ -5,7 +5,7 @@ star AS (
   SELECT 'RegionController' AS caller_class, n_regionkey::VARCHAR AS caller_method, 'Nation' AS callee_class, n_nationkey::VARCHAR AS callee_method, n_nationkey::BIGINT AS edge_ord FROM nation
   UNION ALL SELECT 'Nation', n_nationkey::VARCHAR, 'RegionController', n_regionkey::VARCHAR, n_nationkey + 1000 FROM nation
   UNION ALL SELECT 'Nation', s_nationkey::VARCHAR, 'Supplier', s_suppkey::VARCHAR, s_suppkey + 10000 FROM supplier
-  UNION ALL SELECT 'Supplier', l_suppkey::VARCHAR, 'Part', l_partkey::VARCHAR, min(l_orderkey) + 100000000 FROM lineitem WHERE l_linenumber = 1 AND l_quantity = 1 GROUP BY l_suppkey, l_partkey
+  UNION ALL SELECT 'Supplier', l_suppkey::VARCHAR, 'Part', l_partkey::VARCHAR, min(l_orderkey * 10 + l_linenumber)::BIGINT * 1048576 + l_partkey + 100000000 FROM lineitem GROUP BY l_suppkey, l_partkey
 )"""
 
 _FLOW = f"""
@@ -62,7 +62,7 @@ SQL: dict[str, str] = {
     "flow_trace": f"{_FLOW} SELECT * FROM steps",
     "entry_points": f"WITH {_STAR} SELECT caller_class AS class_name, caller_method AS method_name, min(edge_ord) AS first_ord FROM star WHERE caller_class ILIKE '%controller' GROUP BY 1, 2",
     "edge_dedup": "SELECT 'Supplier' AS caller_class, l_suppkey::VARCHAR AS caller_method, 'Part' AS callee_class, l_partkey::VARCHAR AS callee_method, min(l_orderkey * 10 + l_linenumber)::BIGINT AS edge_ord FROM lineitem GROUP BY l_suppkey, l_partkey",
-    "call_graph_diagram": f"WITH {_STAR}, few AS (SELECT * FROM star WHERE caller_class <> 'Supplier'), {_mermaid('few', 'edge_ord', '1', 'LR', '::')} SELECT mermaid FROM drawn",
+    "call_graph_diagram": f"WITH {_STAR}, {_mermaid('star', 'edge_ord', '1', 'LR', '::')} SELECT mermaid FROM drawn",
     "flow_diagrams": f"{_FLOW}, {_mermaid('steps', 'step_order', 'flow', 'TD', '.')} SELECT g AS entry_method, mermaid FROM drawn",
     "call_sites": r"SELECT page_id, (unnest(range(len(m))))::BIGINT AS pos, unnest(m) AS name FROM (SELECT page_id, regexp_extract_all(html, '(\w+)\s*\(', 1) AS m FROM pages)",
     "link_edges": """SELECT page_id, (unnest(range(len(m))))::BIGINT AS pos, unnest(m) AS target FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS m FROM pages)""",
@@ -79,7 +79,7 @@ SQL: dict[str, str] = {
     "class_semi": """
 WITH named AS (SELECT 's' || s_suppkey AS c FROM supplier WHERE s_acctbal < 0 UNION SELECT 'p' || p_partkey FROM part WHERE p_size = 1)
 SELECT ' S' || l_suppkey AS caller_class, 'p' || l_partkey AS callee_class, l_orderkey FROM lineitem
-WHERE l_linenumber = 1 AND ('s' || l_suppkey IN (SELECT c FROM named) OR 'p' || l_partkey IN (SELECT c FROM named))""",
+WHERE 's' || l_suppkey IN (SELECT c FROM named) OR 'p' || l_partkey IN (SELECT c FROM named)""",
     "event_edges": "SELECT event_id, user_id, event_type AS caller, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS callee FROM events",
     "pascal_case": """
 SELECT DISTINCT o_orderpriority,

@@ -13,6 +13,7 @@ from codeloom.operators.extract import dedup_edges, extract_facts
 from codeloom.operators.extract import csharp
 from codeloom.operators.store import patched, without
 from codeloom.operators.validate import violations
+from codeloom.plans.staging import cut
 from codeloom.sources.files import language_counts
 
 
@@ -30,8 +31,8 @@ def star_graph(spark: SparkSession, d: str) -> DataFrame:
     down = nation.select(*_edge("RegionController", F.col("n_regionkey"), "Nation", F.col("n_nationkey"), F.col("n_nationkey")))
     back = nation.select(*_edge("Nation", F.col("n_nationkey"), "RegionController", F.col("n_regionkey"), F.col("n_nationkey") + 1000))
     held = supplier.select(*_edge("Nation", F.col("s_nationkey"), "Supplier", F.col("s_suppkey"), F.col("s_suppkey") + 10_000))
-    sold = item.filter("l_linenumber = 1 and l_quantity = 1").groupBy("l_suppkey", "l_partkey").agg(F.min("l_orderkey").alias("o"))
-    sold = sold.select(*_edge("Supplier", F.col("l_suppkey"), "Part", F.col("l_partkey"), F.col("o") + 100_000_000))
+    sold = item.groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"))
+    sold = sold.select(*_edge("Supplier", F.col("l_suppkey"), "Part", F.col("l_partkey"), F.col("o") * (1 << 20) + F.col("l_partkey") + 100_000_000))
     return down.union(back).union(held).union(sold)
 
 
@@ -52,7 +53,7 @@ def edge_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def call_graph_diagram(spark: SparkSession, d: str) -> DataFrame:
-    return graph.diagram(star_graph(spark, d).filter("caller_class <> 'Supplier'"), "edge_ord")
+    return graph.diagram(star_graph(spark, d), "edge_ord")
 
 
 def flow_diagrams(spark: SparkSession, d: str) -> DataFrame:
@@ -150,7 +151,7 @@ def example_choice(spark: SparkSession, d: str) -> DataFrame:
 def class_semi(spark: SparkSession, d: str) -> DataFrame:
     """Supplier-part edges that touch a rare class."""
     item = _read(spark, d, "lineitem")
-    edges = item.filter("l_linenumber = 1").select(F.concat(F.lit(" S"), "l_suppkey").alias("caller_class"), F.concat(F.lit("p"), "l_partkey").alias("callee_class"), "l_orderkey")
+    edges = item.select(F.concat(F.lit(" S"), "l_suppkey").alias("caller_class"), F.concat(F.lit("p"), "l_partkey").alias("callee_class"), "l_orderkey")
     named = _read(spark, d, "supplier").filter("s_acctbal < 0").select(F.concat(F.lit("s"), "s_suppkey").alias("class_name"))
     named = named.union(_read(spark, d, "part").filter("p_size = 1").select(F.concat(F.lit("P"), "p_partkey").alias("class_name")))
     return lookup.touching_classes(edges, named)
@@ -190,7 +191,7 @@ def _methods(spark: SparkSession, d: str) -> DataFrame:
 
 
 def feature_map(spark: SparkSession, d: str) -> DataFrame:
-    edges = star_graph(spark, d).filter("caller_class = 'Nation' and callee_class = 'Supplier'")
+    edges = star_graph(spark, d)
     records, maps = features.map_features(features.explode_template(_template(spark, d)), _methods(spark, d), edges, "run")
     return maps.join(records.select(F.col("id").alias("feature_id"), "feature_name"), "feature_id").select("feature_name", "method_source_id")
 
@@ -244,10 +245,10 @@ def _rendered(spark: SparkSession, d: str, language: str, template: list) -> Dat
 
 
 def _roundtrip(files: DataFrame, resolve: bool = False) -> DataFrame:
-    facts = extract_facts(files)
+    facts = cut(extract_facts(files)) if resolve else extract_facts(files)
     edges = facts.filter("kind = 'edge'").select("file_ord", F.col("class_name").alias("caller_class"), F.col("method_name").alias("caller_method"), "callee_class", "callee_method")
     if resolve:
-        edges = csharp.resolve(facts).drop("language", "seq", "part")
+        edges = csharp.resolve(facts).drop("language", "path", "seq", "part")
     return edges
 
 

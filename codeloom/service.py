@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,12 +22,19 @@ from codeloom.sources.files import scan_repository
 from codeloom.sources.git import local_repository
 
 
+#: Errors that a response lists.
+ERRORS_SHOWN = 100
+
+
 @dataclass
 class AnalysisResponse:
     message: str
     analysis_run_id: str
     edges_count: int  #: distinct edges
     methods_count: int  #: all methods, overloads too
+    parsed_count: int = 0  #: files that were parsed
+    error_count: int = 0  #: files that could not be read or parsed; their errors are in ``errors``
+    errors: list[str] = field(default_factory=list)  #: the first ``ERRORS_SHOWN`` of them, by path
 
 
 class Engine:
@@ -44,8 +51,9 @@ class Engine:
 
     def _analyze(self, named: str, folder: str, out: str, run_fields: dict) -> AnalysisResponse:
         now = F.lit(datetime.now(UTC))
-        edges, methods, _ = call_graph(scan_repository(self.spark, folder))
-        edges, methods = cut(edges), cut(methods)
+        files = cut(scan_repository(self.spark, folder))
+        edges, methods, failed = call_graph(files)
+        edges, methods, failed = cut(edges), cut(methods), cut(failed)
         run = self.spark.createDataFrame([(named, *run_fields.values())], "repository_path string" + "".join(f", {k} {TABLES['analysis_runs'][k].dataType.simpleString()}" for k in run_fields))
         run = cut(run.withColumns({"id": stable_id(F.lower("repository_path"), now), "created_at": now}))
         run_id = run.first()["id"]
@@ -77,7 +85,9 @@ class Engine:
         export.write_json(edges, os.path.join(out, "output_graph.json"))
         export.write_markdown(mermaid, out)
         export.write_html(mermaid, out)
-        return AnalysisResponse("analysis completed", run_id, edges.count(), methods.count())
+        shown = [f"{r['path']}: {r['error']}" for r in failed.orderBy("path").limit(ERRORS_SHOWN).collect()]
+        n_failed = failed.count()
+        return AnalysisResponse("analysis completed", run_id, edges.count(), methods.count(), files.count() - n_failed, n_failed, shown)
 
     # -- runs -------------------------------------------------------------
     def runs(self, **filters) -> lookup.Page:
@@ -186,8 +196,9 @@ class Engine:
         self._checked(table, rows, True)
         now = datetime.now(UTC)
         rows = cut(rows.withColumns({"id": stable_id(F.lit(str(now)), *rows.columns), "created_at": F.lit(now)}))
-        self.store.insert(table, rows)
-        return rows.first()["id"]
+        row_id = rows.first()["id"]
+        self.store.insert(table, rows, row_id if table == "analysis_runs" else None)
+        return row_id
 
     def _update(self, table: str, row_id: str, fields: dict) -> None:
         self._required(table, row_id)

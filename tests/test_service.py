@@ -7,6 +7,7 @@ import pytest
 
 from codeloom.errors import BadRequest, NotFound, Unprocessable, status_of
 from codeloom.operators import dataflow, lookup, prompts
+from codeloom.operators.store import Store
 from codeloom.service import Engine
 from codeloom.sources import git
 from codeloom.sources.files import scan_repository
@@ -49,6 +50,7 @@ def test_analysis_is_stored_and_exported(engine):
     got = engine.first
     edges = engine.store.table("call_graph_edges")
     assert got.edges_count == edges.count() and got.methods_count == engine.store.table("method_sources").count()
+    assert (got.parsed_count, got.error_count, got.errors) == (5, 0, [])
     out = json.loads((engine.out / "output_graph.json").read_text())["CallGraph"]
     assert len(out) == got.edges_count and set(out[0]) == {"CallerClass", "CallerMethod", "CalleeClass", "CalleeMethod", "Language"}
     assert {"call_graph.md", "call_graph.html", "output_graph.html"} <= set(os.listdir(engine.out))
@@ -161,3 +163,84 @@ def test_git_urls():
     assert git.normalize_git_url(" https://GitHub.com/a/b/tree/x ") == "https://github.com/a/b.git"
     assert git.is_git_url("X.GIT") and not git.is_git_url("/tmp/x")
     assert status_of(TimeoutError()) == 504 and status_of(NotFound()) == 404 and status_of(Exception()) == 500
+
+
+def test_a_change_writes_only_what_it_touches(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    runs = "id string, repository_path string, created_at timestamp"
+    edges = "id string, analysis_run_id string, caller_class string"
+    flows, steps = "id string, analysis_run_id string, name string", "id string, business_flow_id string, caller_class string"
+
+    def put(run_id, path, n):
+        store.replace_run(
+            spark.createDataFrame([(run_id, path, None)], runs),
+            {
+                "call_graph_edges": spark.createDataFrame([(f"{run_id}e{i}", run_id, "A") for i in range(n)], edges),
+                "business_flows": spark.createDataFrame([(f"{run_id}f", run_id, "F")], flows),
+                "business_flow_steps": spark.createDataFrame([(f"{run_id}s{i}", f"{run_id}f", "A") for i in range(n)], steps),
+            },
+        )
+
+    put("r1", "/a", 3)
+    put("r2", "/B", 2)
+    _, before = store._manifest()
+    put("r3", "/b", 4)  # the same repository as r2
+    _, after = store._manifest()
+    assert all([f for f in after[t] if f["run"] == "r1"] == [f for f in before[t] if f["run"] == "r1"] for t in before)
+    assert {f["run"] for folders in after.values() for f in folders} == {"r1", "r3"}
+    assert store.table("call_graph_edges").count() == 7 and store.table("call_graph_edges", "r3").count() == 4
+    assert {r.id for r in store.table("analysis_runs").collect()} == {"r1", "r3"}
+    # rows without a tag are found by their ids, down to the steps of their flows
+    store.insert("analysis_runs", spark.createDataFrame([("r4", "/c", None)], runs))
+    store.insert("business_flows", spark.createDataFrame([("x", "r4", "F"), ("y", "r1", "F")], flows))
+    store.insert("business_flow_steps", spark.createDataFrame([("x1", "x", "A"), ("y1", "y", "A")], steps))
+    store.delete("analysis_runs", spark.createDataFrame([("r4",)], "id string"))
+    assert {r.id for r in store.table("business_flows").collect()} == {"r1f", "r3f", "y"}
+    assert {r.id for r in store.table("business_flow_steps").filter("id like 'x%' or id like 'y%'").collect()} == {"y1"}
+    store.update("call_graph_edges", spark.createDataFrame([("r1e0", "B")], "id string, caller_class string"))
+    assert {r.id for r in store.table("call_graph_edges").filter("caller_class = 'B'").collect()} == {"r1e0"}
+    assert [f for f in store._manifest()[1]["call_graph_edges"] if f["run"] == "r3"] == [f for f in after["call_graph_edges"] if f["run"] == "r3"]
+    with pytest.raises(NotFound):
+        store.delete("analysis_runs", spark.createDataFrame([("r9",)], "id string"), must_exist=True)
+    number, manifest = store._manifest()
+    with pytest.raises(RuntimeError):
+        store._commit(number - 1, manifest)
+    rows = store.table("call_graph_edges").count()
+    assert store.vacuum(1) > 0 and store.table("call_graph_edges").count() == rows
+
+
+DATA_FLOW = {
+    "Java (Spring Boot)": ("int pay(int a) {\n  int x = a + 1;\n  this.y = x;\n  return x * 2;\n}", [("x", "this.y"), ("a + 1", "x"), ("x * 2", "RETURN_VALUE")]),
+    "Node.js (Express)": (
+        "function pay(a) {\n  const x = a\n    .then(b => b)\n  let $y = `;${a}`\n  var n: number = 3;\n  this.z = x\n  for (let i = 0; i < 2; i++) { }\n  return x\n}",
+        [("x", "this.z"), ("a\n    .then(b => b)", "x"), ("`;${a}`", "_y"), ("3", "n"), ("x", "RETURN_VALUE")],
+    ),
+    "Python (FastAPI)": (
+        "    def pay(self, a):\n        x = y = a + 1\n        self.z += x\n        n: int = 3\n        k: int\n        return x * (\n            2)\n",
+        [("a + 1", "x"), ("a + 1", "y"), ("x", "self.z"), ("3", "n"), ("x * (\n        2)", "RETURN_VALUE")],
+    ),
+}
+
+
+@pytest.mark.parametrize("language", [*DATA_FLOW])
+def test_data_flow_of_other_languages(language):
+    text, want = DATA_FLOW[language]
+    assert [e[:2] for e in dataflow.edges_of(text, language)] == want
+    assert dataflow.edges_of("", language) == dataflow.edges_of("(((", language) == []
+
+
+def test_scanners_take_time_in_proportion():
+    import time
+
+    from codeloom.operators.extract import csharp
+
+    def took(n):
+        body = "".join(f" a{i} = b.Call{i}(new Thing(x{i}));" for i in range(n))
+        text = f"class A {{ B b; void M() {{{body}}} }}"
+        began = time.process_time()
+        list(csharp.facts("a.cs", text))
+        dataflow.edges_of(f"void M() {{{body}}}")
+        return time.process_time() - began
+
+    took(100)
+    assert took(16_000) < 14 * max(took(2_000), 0.02)
