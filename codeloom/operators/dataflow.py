@@ -143,11 +143,19 @@ def _python_edges(text: str) -> list[tuple[str, str, str]]:
 
 def parameters_of(text: str) -> list[str]:
     """``type name`` of the first method's parameters, angle brackets escaped."""
-    m = re.search(r"\w+\s*(?:<[\w\s,]*>)?\s*\(([^{}]*?)\)\s*(?:where\b[^{]*)?(?:\{|=>|;|$)", clean(text), re.S)
+    src = clean(text)
+    m = re.search(r"\w+\s*(?:<[\w\s,]*>)?\s*\(([^{}]*?)\)\s*(?:where\b[^{]*)?(?:\{|=>|;|$)", src, re.S)
     if not m:
         return []
-    own = text[m.start(1) : m.end(1)]
-    parts = [re.sub(r"\s+", " ", p.split("=")[0]).strip() for p in re.split(r",(?![^<]*>)", own)]
+    parts, depth, start, stop = [], 0, m.start(1), None
+    for i in range(m.start(1), m.end(1) + 1):
+        c = src[i] if i < m.end(1) else ","
+        depth += (c in "<([") - (c in ">)]")
+        if c == "=" and stop is None:
+            stop = i  # what follows is a default
+        if c == "," and (depth <= 0 or i == m.end(1)):
+            parts.append(re.sub(r"\s+", " ", text[start : i if stop is None else stop]).strip())
+            depth, start, stop = 0, i + 1, None
     return [p.replace("<", "&lt;").replace(">", "&gt;") for p in parts if p]
 
 

@@ -1,5 +1,7 @@
 """DuckDB SQL of the engine's queries over the same tables."""
 
+from codeloom.operators.prompts import SHAPE
+
 _STAR = """
 star AS (
   SELECT 'RegionController' AS caller_class, n_regionkey::VARCHAR AS caller_method, 'Nation' AS callee_class, n_nationkey::VARCHAR AS callee_method, n_nationkey::BIGINT AS edge_ord FROM nation
@@ -112,4 +114,32 @@ UNION ALL SELECT doc_id, 'repo_stars is out of range' FROM documents WHERE doc_i
     "data_flow": """
 SELECT 'M' || o_orderkey AS method_name, s.seq::BIGINT AS seq, s.a AS source_token, s.b AS target_token, s.r AS relation_type FROM orders,
 LATERAL (VALUES (0, 'x', 'this.y', 'Assignment'), (1, 'a + ' || o_orderkey, 'x', 'Assignment'), (2, 'x * 2', 'RETURN_VALUE', 'Return')) AS s(seq, a, b, r)""",
+    "interface_calls": """
+SELECT c_custkey AS file_ord, 'Customer' || c_custkey AS caller_class, 'Load' AS caller_method, 'IStore' || c_custkey AS callee_class, 'Fetch' AS callee_method FROM customer
+UNION ALL SELECT c_custkey, 'IStore' || c_custkey, 'Fetch', 'SqlStore' || c_custkey, 'Fetch' FROM customer""",
+    "method_parameters": "SELECT o_orderkey, 'Map&lt;int, string&gt; a' || o_orderkey || '|string b|int[] c' AS params FROM orders",
+    "feature_prompts": f"""
+WITH {_STAR}, own AS (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2),
+code AS (SELECT string_agg('Source of nation.' || n_nationkey || ':' || chr(10) || n_name || chr(10), chr(10) ORDER BY 'n' || n_nationkey) AS t FROM own),
+calls AS (SELECT string_agg(caller_class || '.' || caller_method || ' -> ' || callee_class || '.' || callee_method, chr(10) ORDER BY edge_ord, caller_class || '.' || caller_method) AS t FROM star WHERE lower(caller_class) = 'nation' OR lower(callee_class) = 'nation')
+SELECT concat_ws(chr(10), 'Number of questions: 5', 'Difficulty: easy', 'Focus: names', '', '== Methods of the feature ==', code.t, '', '== Calls from and to their classes ==', calls.t, '', '{SHAPE}') AS prompt FROM code, calls""",
+    "flow_prompts": f"""
+WITH steps AS ({_STEPS}),
+listed AS (SELECT conv_id AS id, count(*) AS total_steps, string_agg('  [' || turn || '] Turn.' || caller || ' --> Turn.' || callee, chr(10) ORDER BY turn, caller, callee) AS listing FROM steps GROUP BY conv_id),
+few AS (SELECT *, row_number() OVER (ORDER BY created_at, id) AS k FROM (SELECT * FROM ({_EXAMPLES}) WHERE difficulty = 'hard' ORDER BY created_at, id LIMIT 5)),
+shown AS (
+  SELECT count(*) AS few_shot_used, string_agg('[Example ' || k || ']' || chr(10) || '  Question: ' || question || chr(10) || '  Answer: answer' || chr(10) || '  Difficulty: ' || difficulty
+    || CASE WHEN tag IS NULL THEN '' ELSE chr(10) || '  Tag: ' || tag END || chr(10), chr(10) ORDER BY k) AS t FROM few
+)
+SELECT id, total_steps, few_shot_used, concat_ws(chr(10), 'Number of questions: 7' || chr(10) || 'Difficulty: hard' || chr(10), '== Flow ==', 'Name: conversation ' || id, 'Entry point: conversation ' || id, '', '== Steps ==', listing, '',
+  CASE WHEN id % 2 <> 0 THEN '== Data flow ==' || chr(10) || 'y' || chr(10) END, CASE WHEN few_shot_used > 0 THEN '== Samples ==' || chr(10) || shown.t END, '{SHAPE}') AS prompt FROM listed, shown""",
+    "data_flow_diagrams": f"""
+WITH steps AS ({_STEPS}),
+nodes AS (SELECT DISTINCT conv_id, n FROM (SELECT conv_id, caller AS n FROM steps UNION ALL SELECT conv_id, callee FROM steps)),
+blocks AS (
+  SELECT conv_id, string_agg('    subgraph "Turn.' || n || '"' || chr(10) || CASE WHEN lower(n) = 'user' THEN '        param: int a' || chr(10) || '        a &lt; 1 -- Assignment --> x' || chr(10) || '        x -. Return --> RETURN_VALUE' || chr(10) ELSE '' END || '    end', chr(10) ORDER BY n) AS t
+  FROM nodes GROUP BY conv_id
+),
+calls AS (SELECT conv_id, string_agg('    Turn.' || caller || ' --> Turn.' || callee, chr(10) ORDER BY turn, '    Turn.' || caller || ' --> Turn.' || callee) AS t FROM steps GROUP BY conv_id)
+SELECT conv_id::VARCHAR AS entry_method, 'graph TD' || chr(10) || blocks.t || chr(10) || calls.t || chr(10) AS mermaid FROM blocks JOIN calls USING (conv_id)""",
 }

@@ -131,7 +131,7 @@ def flow_prompts(spark: SparkSession, d: str) -> DataFrame:
     flows = flows.withColumn("entry_point", F.col("name"))
     few = prompts.choose_examples(_examples(spark, d), None, "HARD")
     made = prompts.flow_prompt(flows, steps, few, 7, "hard")
-    return made.select("id", F.col("total_steps").cast("long"), F.col("few_shot_used").cast("long"), F.length("prompt").cast("long").alias("n_chars"))
+    return made.select("id", F.col("total_steps").cast("long"), F.col("few_shot_used").cast("long"), "prompt")
 
 
 def _examples(spark: SparkSession, d: str) -> DataFrame:
@@ -297,11 +297,47 @@ def data_flow(spark: SparkSession, d: str) -> DataFrame:
     return dataflow.data_flow(methods).select("method_name", F.col("seq").cast("long"), "source_token", "target_token", "relation_type")
 
 
+def interface_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls through an interface lead on to the class that implements it."""
+    c = _read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_custkey").alias("file_ord"))
+    text = F.expr(
+        "concat('namespace Shop { public interface IStore', k, ' { void Fetch(); }\\npublic class SqlStore', k, ' : IStore', k, ' { public void Fetch() { } }\\n',"
+        "'public class Customer', k, ' { private readonly IStore', k, ' _s; public void Load() { _s.Fetch(); } } }')"
+    )
+    files = c.select(F.concat("k", F.lit(".cs")).alias("path"), F.lit(csharp.NAME).alias("language"), "file_ord", text.alias("content"))
+    return csharp.resolve(cut(extract_facts(files))).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
+
+
+def method_parameters(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters of methods rendered from orders, angle brackets escaped."""
+    text = F.concat(F.lit("public List<int> M"), "o_orderkey", F.lit("(Map<int, string> a"), "o_orderkey", F.lit(', string b = "x, y", int[] c) { return null; }'))
+    own = _read(spark, d, "orders").select("o_orderkey", dataflow.parameters(text).alias("params"))
+    return own.select("o_orderkey", F.array_join("params", "|").alias("params"))
+
+
+def feature_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """The prompt of one feature: sources of its methods, and the calls that touch their classes."""
+    edges = star_graph(spark, d).withColumn("analysis_run_id", F.lit("run"))
+    records, maps = features.map_features(features.explode_template(_template(spark, d)), _methods(spark, d), edges, "run", mode="direct")
+    own = records.filter("feature_name = '2'").first()["id"]
+    context = prompts.feature_context(own, records, maps, _methods(spark, d), edges)
+    return prompts.feature_prompt(context, 25, "easy", "names").select("prompt")
+
+
+def data_flow_diagrams(spark: SparkSession, d: str) -> DataFrame:
+    """Diagrams of conversations as flows: a block for each role with what flows in it, then the calls."""
+    _, steps = _flows(spark, d)
+    steps = steps.select(F.lit("Turn").alias("entry_class"), F.col("business_flow_id").cast("string").alias("entry_method"), "caller_class", "caller_method", "callee_class", "callee_method", (F.col("step_order") + 1).alias("step_order"))
+    roles = spark.createDataFrame([("Turn", "user", ["int a"]), ("Turn", "assistant", [])], "class_name string, method_name string, params array<string>")
+    tokens = spark.createDataFrame([("m", "Turn", "user", 0, "a < 1", "x", "Assignment"), ("m", "Turn", "user", 1, "x", "RETURN_VALUE", "Return")], "method_id string, class_name string, method_name string, seq int, source_token string, target_token string, relation_type string")
+    return graph.data_flow_diagrams(steps, roles, tokens).select("entry_method", "mermaid")
+
+
 QUERIES = [
     flow_trace, entry_points, edge_dedup, call_graph_diagram, flow_diagrams, call_sites, link_edges, source_lines, run_page, page_meta, point_lookup,
     in_list, flow_summary, flow_detail, step_listing, flow_prompts, example_page, example_choice, class_semi, event_edges, pascal_case, git_urls,
     files_by_language, feature_map, code_flow, patch_update, cascade_delete, replace_by_path, request_violations, parse_python, parse_java, parse_node,
-    parse_csharp, data_flow,
+    parse_csharp, data_flow, interface_calls, method_parameters, feature_prompts, data_flow_diagrams,
 ]
 
 

@@ -4,13 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and written to ``spark.checkpoint.dir``; a temporary folder if the session names none."""
-    context = df.sparkSession.sparkContext
+def is_local(spark: SparkSession) -> bool:
+    """Driver and tasks are one process, so machine-local folders are shared."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; on a laptop a temporary one if the session names none."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not is_local(spark):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="codeloom-cut-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and written to the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -1,19 +1,26 @@
 """Source files of a repository as a DataFrame.
 
-Spark's file sources skip names that start with ``_`` or ``.``, so the driver lists paths only and
-tasks read the contents. Files are ordered by relative path, which fixes the order of all edges.
+Spark's file sources skip names that start with ``_`` or ``.``, so the driver lists the paths. Where tasks share
+the driver's disk they read the contents; on a cluster the driver ships them, a bounded batch at a time,
+to the shared folder. Files are ordered by relative path, which fixes the order of all edges.
 """
 
 from __future__ import annotations
 
 import codecs
 import os
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeloom.plans.staging import is_local, shared_dir
+
+#: Contents that the driver holds at a time when it ships files.
+SHIP_BYTES = 64 << 20
+
 # Folders that are not looked into (any case).
 SKIPPED = [
     "obj", "bin", "node_modules", ".git", ".github", ".vscode", ".idea", "__pycache__", ".pytest_cache", ".mypy_cache",
@@ -47,10 +54,39 @@ def _decode(raw: bytes) -> str:
     return raw.removeprefix(codecs.BOM_UTF8).decode("utf-8", "replace")
 
 
-def scan_repository(spark: SparkSession, root: str, languages: dict[str, str] | None = None, absolute_skip: bool = False) -> DataFrame:
+def _bytes_of(root: str, path: str) -> tuple[bytes | None, str | None]:
+    try:
+        with open(os.path.join(root, path), "rb") as f:
+            return f.read(), None
+    except OSError as e:
+        return None, str(e)
+
+
+def ship(spark: SparkSession, root: str, paths: list[str], batch_bytes: int = SHIP_BYTES) -> DataFrame:
+    """(path, raw, error) of the files, written to the shared folder in batches of about ``batch_bytes``."""
+    at = f"{shared_dir(spark)}/shipped-{uuid.uuid4().hex}"
+    rows, size, schema = [], 0, "path string, raw binary, error string"
+
+    def send():
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(at)
+
+    for path in paths:
+        raw, error = _bytes_of(root, path)
+        rows.append((path, raw if raw is None else bytearray(raw), error))
+        size += len(raw or b"")
+        if size >= batch_bytes:
+            send()
+            rows, size = [], 0
+    if rows or not paths:
+        send()
+    return spark.read.schema(schema).parquet(at)
+
+
+def scan_repository(spark: SparkSession, root: str, languages: dict[str, str] | None = None, absolute_skip: bool = False, shipped: bool | None = None) -> DataFrame:
     """path, ext, language, file_ord, content, error of every source file below ``root``.
 
-    ``absolute_skip`` tests the absolute path for skipped folders instead of the relative one.
+    ``absolute_skip`` tests the absolute path for skipped folders instead of the relative one;
+    ``shipped`` (by default, on a cluster) sends the contents through the shared folder.
     An unreadable file has null content and its error.
     """
     root = os.path.abspath(root)
@@ -61,21 +97,27 @@ def scan_repository(spark: SparkSession, root: str, languages: dict[str, str] |
     dim = F.broadcast(spark.createDataFrame(list(languages.items()), "ext string, language string"))
     known = paths.filter(not_skipped(tested)).withColumn("ext", ext).join(dim, "ext")
     ranked = _ranked(known)
+    schema = "path string, ext string, language string, file_ord long, content string, error string"
+    if shipped or (shipped is None and not is_local(spark)):
+        raw = ship(spark, root, [r["path"] for r in ranked.select("path").collect()])  # a list that came from the driver
+
+        def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf["content"] = [None if x is None else _decode(bytes(x)) for x in pdf["raw"]]
+                yield pdf[["path", "ext", "language", "file_ord", "content", "error"]]
+
+        return ranked.join(raw, "path").mapInPandas(decode, schema)
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, errors = [], []
             for path in pdf["path"]:
-                try:
-                    with open(os.path.join(root, path), "rb") as f:
-                        texts.append(_decode(f.read()))
-                    errors.append(None)
-                except OSError as e:
-                    texts.append(None)
-                    errors.append(str(e))
+                raw, error = _bytes_of(root, path)
+                texts.append(None if raw is None else _decode(raw))
+                errors.append(error)
             yield pdf.assign(content=texts, error=errors)[["path", "ext", "language", "file_ord", "content", "error"]]
 
-    return ranked.mapInPandas(load, "path string, ext string, language string, file_ord long, content string, error string")
+    return ranked.mapInPandas(load, schema)
 
 
 def _ranked(files: DataFrame) -> DataFrame:

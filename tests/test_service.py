@@ -9,7 +9,7 @@ from codeloom.errors import BadRequest, NotFound, Unprocessable, status_of
 from codeloom.operators import dataflow, lookup, prompts
 from codeloom.operators.store import Store
 from codeloom.service import Engine
-from codeloom.sources import git
+from codeloom.sources import files, git
 from codeloom.sources.files import scan_repository
 
 
@@ -44,6 +44,8 @@ def test_scan(spark, repo):
     rows = scan_repository(spark, str(repo)).orderBy("file_ord").collect()
     assert [r.path for r in rows] == ["Shop.cs", "app/__init__.py", "app/_private.py", "web/OrderController.java", "web/OrderService.JAVA"]
     assert rows[0].content.startswith("namespace")
+    assert scan_repository(spark, str(repo), shipped=True).orderBy("file_ord").collect() == rows
+    assert files.ship(spark, str(repo), [r.path for r in rows] + ["gone.py"], 10).filter("raw is null").count() == 1
 
 
 def test_analysis_is_stored_and_exported(engine):
