@@ -8,7 +8,10 @@ nearest of its bases. Calls that do not bind give no edge.
 Bases are followed up to the last and receivers over all their members. The scanner goes from one bracket
 or semicolon to the next and looks back over words only, so a file costs in proportion to its length.
 
-Known gaps: extension methods, overloads (one edge per name), generic type arguments, ``var`` from calls.
+A local's type is that of its declaration, of what it creates, or of the method that it comes from; extension
+methods bind where the type has no such method itself.
+
+Known gaps: overloads (one edge per name), generic type arguments, calls on the result of a call.
 """
 
 from __future__ import annotations
@@ -24,6 +27,9 @@ from codeloom.plans.staging import cut
 
 NAME = "C# (.NET)"
 
+#: Added to the depth at which an extension method is found, so that a type's own methods come first.
+EXTENDED = 1 << 20
+
 # Callees in namespaces that start so, and classes named so, give no edges.
 STANDARD = "System"
 MIGRATION = "Migration"
@@ -34,7 +40,8 @@ _METHOD = re.compile(r"(?P<type>[\w.<>\[\],?\s]+?)\s+(?:[\w.<>,\s]+\.)?(?P<name>
 _FIELD = re.compile(r"(?P<type>[\w.]+(?:\s*<[^=;{}()]*>)?(?:\[\])?\??)\s+(?P<name>\w+)\s*$", re.S)
 _MODIFIER = re.compile(r"^(?:\s*\[[^\]]*\])*\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|readonly|partial|new|extern|unsafe|const|required|volatile)\b\s*)*", re.S)
 _CALL = re.compile(r"(?P<chain>(?:\b\w+\s*(?:\?|!)?\s*\.\s*)*)\b(?P<name>[A-Za-z_]\w*)\s*(?:<[\w\s,.<>\[\]?]*>)?\s*\(")
-_LOCAL = re.compile(r"(?:^|[;{}(]|\bforeach\s*\()\s*(?:await\s+)?(?P<type>[A-Za-z_][\w.]*(?:<[^;(){}=]*>)?(?:\[\])?\??)\s+(?P<name>[A-Za-z_]\w*)\s*(?:=(?!=)\s*(?:new\s+(?P<made>[A-Za-z_][\w.]*))?|;|\bin\b)")
+_LOCAL = re.compile(r"(?:^|[;{}(]|\bforeach\s*\()\s*(?:await\s+)?(?P<type>[A-Za-z_][\w.]*(?:<[^;(){}=]*>)?(?:\[\])?\??)\s+(?P<name>[A-Za-z_]\w*)\s*(?:=(?!=)\s*(?:new\s+(?P<made>[A-Za-z_][\w.]*)|(?:await\s+)?(?P<made_by>(?:\w+\s*[?!]?\s*\.\s*)*[A-Za-z_]\w*)\s*(?:<[^;(){}=]*>)?\s*\()?|;|\bin\b)")
+_TASK = re.compile(r"^(?:[\w.]*\.)?(?:Value)?Task\s*<(.*)>\s*$", re.S)
 _MARK = re.compile(r"[()\[\]{};]")
 _BRACE = re.compile(r"[{}]")
 _WORDS = set("if for foreach while switch using lock catch fixed return throw new nameof typeof sizeof default checked unchecked when await else do try finally get set init add remove in is as out ref base this var yield goto case".split())
@@ -93,19 +100,35 @@ def facts(path: str, text: str) -> Iterator[Fact]:
     def current_class():
         return next((f[1] for f in reversed(stack) if f[0] == "type" and f[2] in ("class", "record class")), None)
 
+    def receiver(scope: dict[str, str], cls: str, chain: list[str]) -> str:
+        """Where a chain of names starts, by type (T), base (B) or name (N), and its further names."""
+        if not chain or chain[0] == "this":
+            return "T:" + ".".join([cls, *chain[1:]])
+        if chain[0] == "base":
+            return "B:" + ".".join([cls, *chain[1:]])
+        if chain[0] in scope:
+            return ".".join([scope[chain[0]], *chain[1:]])
+        return "N:" + ".".join(chain)
+
     def method(m: re.Match, begin: int, end: int, body: tuple[int, int] | None):
         own = owner()
-        out.append(("cs_method", own[1], m["name"], bare(_MODIFIER.sub("", m["type"]) or m["type"]), own[2], None))
+        kind = _MODIFIER.sub("", m["type"]) or m["type"]
+        out.append(("cs_method", own[1], m["name"], bare(t[1] if (t := _TASK.match(kind.strip())) else kind), own[2], None))
+        if m["params"].lstrip().startswith("this ") and (first := next(iter(_params(m["params"]).values()), None)):
+            out.append(("cs_extension", own[1], m["name"], first, None, None))
         if MIGRATION not in own[1]:
             out.append(("method", own[1], m["name"], None, None, text[begin:end].strip()))
         cls = current_class()
         if body and cls:
-            scope = _params(m["params"])
+            scope = {name: f"T:{kind}" for name, kind in _params(m["params"]).items()}
             chunk = src[body[0] : body[1]]
             for v in _LOCAL.finditer(chunk):
                 kind = v["made"] if v["type"] == "var" else v["type"]
                 if kind and bare(v["type"]) not in _WORDS - {"var"}:
-                    scope[v["name"]] = bare(kind)
+                    scope[v["name"]] = "T:" + bare(kind)
+                elif v["type"] == "var" and v["made_by"] and v["made_by"] not in _WORDS:
+                    *chain, name = (p for p in re.split(r"[\s.?!]+", v["made_by"]) if p)
+                    scope[v["name"]] = f"{receiver(scope, cls, chain)}.{name}()"
             for c in _CALL.finditer(chunk):
                 name = c["name"]
                 if name in _WORDS or _after_new(chunk, c.start("name")):
@@ -113,14 +136,7 @@ def facts(path: str, text: str) -> Iterator[Fact]:
                 chain = [p for p in re.split(r"[\s.?!]+", c["chain"]) if p]
                 if not chain and chunk[max(0, (gap := _before(chunk, c.start())) - 1) : gap] == ".":
                     continue  # the receiver is the result of a call
-                if not chain or chain[0] == "this":
-                    at = "T:" + ".".join([cls, *chain[1:]])
-                elif chain[0] == "base":
-                    at = "B:" + ".".join([cls, *chain[1:]])
-                elif chain[0] in scope:
-                    at = "T:" + ".".join([scope[chain[0]], *chain[1:]])
-                else:
-                    at = "N:" + ".".join(chain)
+                at = receiver(scope, cls, chain)
                 out.append(("cs_call", cls, m["name"], at, name, None))
 
     at = 0
@@ -209,7 +225,10 @@ def resolve(found: DataFrame) -> DataFrame:
     own = cut(found.filter(F.col("language") == NAME).filter("kind like 'cs_%'"))  # read many times below
     types = own.filter("kind = 'cs_type'").select(F.col("class_name").alias("type"), F.coalesce("method_name", F.lit("")).alias("space"), F.col("callee_class").alias("type_kind"), F.coalesce("callee_method", F.lit("")).alias("bases"))
     up = _ancestors(types)
-    members = own.filter("kind = 'cs_member'").groupBy(F.col("class_name").alias("holder"), F.col("method_name").alias("member")).agg(F.min("callee_class").alias("member_type"))
+    # what a method returns is found like a member of its name and ()
+    typed = own.filter("kind in ('cs_member', 'cs_method')").withColumn("member", F.when(F.col("kind") == "cs_method", F.concat("method_name", F.lit("()"))).otherwise(F.col("method_name")))
+    members = typed.groupBy(F.col("class_name").alias("holder"), "member").agg(F.min("callee_class").alias("member_type"))
+    extensions = own.filter("kind = 'cs_extension'").select(F.col("callee_class").alias("extended"), F.col("method_name").alias("called"), F.col("class_name").alias("holder")).distinct()
     methods = own.filter("kind = 'cs_method'").groupBy(F.col("class_name").alias("holder"), F.col("method_name").alias("called")).agg(F.max(F.col("callee_method") == "interface").alias("in_interface"))
     held = up.join(members, F.col("ancestor") == F.col("holder")).groupBy("type", "member").agg(F.min_by("member_type", "depth").alias("member_type"))
 
@@ -227,7 +246,10 @@ def resolve(found: DataFrame) -> DataFrame:
         step = step.withColumn("_part", part).join(held.select(F.col("type").alias("_t"), F.col("member").alias("_m"), F.col("member_type").alias("_via")), (F.col("at") == F.col("_t")) & (F.col("_part") == F.col("_m")), "left")
         step = step.withColumn("at", F.when(F.col("_part").isNull(), F.col("at")).otherwise(F.col("_via"))).drop("_t", "_m", "_via", "_part")
     met = step.filter("at is not null").join(up.withColumnRenamed("type", "at"), "at").filter("mode <> 'B' or depth > 0")
-    met = met.join(methods, (F.col("ancestor") == F.col("holder")) & (methods["called"] == met["called"])).drop(methods["called"])
+    met = cut(met.select("language", "path", "file_ord", "seq", "cls", "method", "called", "ancestor", "depth"))
+    added = met.join(extensions.withColumnRenamed("called", "_called"), (F.col("ancestor") == F.col("extended")) & (F.col("called") == F.col("_called")))
+    added = added.select(*met.columns, "holder", F.lit(False).alias("in_interface")).withColumn("depth", F.col("depth") + EXTENDED)
+    met = met.join(methods.withColumnRenamed("called", "_called"), (F.col("ancestor") == F.col("holder")) & (F.col("called") == F.col("_called"))).select(*met.columns, "holder", "in_interface").union(added)
     bound = met.groupBy("language", "path", "file_ord", "seq", "cls", "method", "called").agg(F.min_by(F.struct("holder", "in_interface"), F.struct("depth", "holder")).alias("to"))
     bound = bound.select("language", "path", "file_ord", "seq", "cls", "method", "called", "to.holder", "to.in_interface")
     # callees of the standard library and of migrations give no edge

@@ -7,7 +7,7 @@ import pytest
 from codeloom.operators.extract import PARSERS, call_graph, extract_facts
 from codeloom.operators.extract.base import scan
 from codeloom.operators.extract.csharp import NAME as CSHARP
-from codeloom.operators.extract.csharp import facts as csharp_facts
+from codeloom.operators.extract.csharp import facts as csharp_facts, resolve
 from codeloom.operators.extract.java import JAVA
 from codeloom.operators.extract.node import NODE
 from codeloom.operators.extract.python import PYTHON
@@ -170,3 +170,32 @@ def test_a_failing_parser_gives_an_error_row(spark, monkeypatch):
 def test_csharp_scanner_survives_odd_text():
     for text in ("", "}}}}", "class A {", 'class A { void M() { "', "namespace X { class A { int P => 3; void M(int a = 1) { if (a) { } } } }"):
         list(csharp_facts("x.cs", text))
+
+
+def test_csharp_locals_from_calls_and_extension_methods(spark):
+    text = """
+namespace Shop;
+public class Order { public void Pay() { } public Line First() { return null; } }
+public class Line { public void Print() { } }
+public static class OrderTools { public static void Mail(this Order o) { } public static void Pay(this Order o) { } }
+public class Store { public async Task<Order> LoadAsync(int id) { return null; } public Order Load() { return null; } }
+public class Desk
+{
+    private readonly Store _store;
+    Order Own() { return null; }
+    void Run()
+    {
+        var a = _store.Load();
+        var b = await _store.LoadAsync(1);
+        var c = Own();
+        var d = a.First();
+        a.Pay();
+        b.Mail();
+        c.Pay();
+        d.Print();
+    }
+}
+"""
+    files = spark.createDataFrame([("a.cs", CSHARP, 0, text)], "path string, language string, file_ord long, content string")
+    found = {(r.callee_class, r.callee_method) for r in resolve(extract_facts(files)).filter("caller_method = 'Run'").collect()}
+    assert found == {("Store", "Load"), ("Store", "LoadAsync"), ("Desk", "Own"), ("Order", "First"), ("Order", "Pay"), ("OrderTools", "Mail"), ("Line", "Print")}
