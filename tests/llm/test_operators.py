@@ -422,6 +422,17 @@ def test_viterbi_ties_go_as_in_the_tokenizer(seed):
         assert counter.count(text) == plain_count(tokenizer, text), text
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_bytes_stand_in_for_unknown_characters(seed):
+    rng = random.Random(seed)
+    own = {"".join(rng.choices("abc▁", k=rng.randint(1, 4))): float(-rng.randint(1, 4)) for _ in range(25)} | {x: -3.0 for x in "abc▁"}
+    vocabulary = token_counts.Vocabulary(tuple(own.items()), True, min(own.values()))
+    counter, tokenizer = token_counts.Counter(vocabulary), unigram(list(own.items()), True)
+    for _ in range(200):
+        text = "".join(rng.choices("aabbc xé漢𝔘 ", k=rng.randint(0, 40)))
+        assert counter.count(text) == plain_count(tokenizer, text), text
+
+
 def test_token_counts_of_a_public_vocabulary(spark, odd, empty):
     from codeloom.llm.queries import TOKENIZERS
 
