@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -363,6 +364,15 @@ def test_suffix_tree_against_a_plain_one(spark, monkeypatch, share):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) + 10
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_held_out_documents_score_above_the_base(spark):
+    from codeloom.llm import queries
+
+    held = queries.op7_suffix_lm(spark, "/root/testdata/sf0.01").filter("held_out").select("score", "base_score").collect()
+    assert sum(r.score for r in held) > 0.92 * sum(r.base_score for r in held)
+    assert sum(r.score > r.base_score for r in held) > 0.8 * len(held)
+
+
 def test_small_batches_give_the_same_scores(spark, monkeypatch):
     rows = phrases(2, 30, 60)
     monkeypatch.setattr(suffix_lm, "BATCH", 200)
