@@ -30,6 +30,9 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import stage
 from codeloom.llm.textscan import PUNCT, Words, mix, pieces, words_of
 
+#: Places of windows that are compared at a time, and those of one document word beyond it.
+CANDIDATES = 1 << 20
+
 
 @dataclass
 class Block:
@@ -61,7 +64,16 @@ class Block:
         same = self.keys[np.minimum(key, len(self.keys) - 1)] == words.hash[at]
         at, key = at[same], key[same]
         many = self.first[key + 1] - self.first[key]
-        window = np.repeat(self.first[key] - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(int(many.sum()))
+        # frequent words that lead many windows: their product is worked off in runs
+        run = (np.cumsum(many) - many) // CANDIDATES
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(run)) + 1, [len(at)]))
+        found = [self._verified(words, at[a:b], key[a:b], many[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        window, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        return window, start
+
+    def _verified(self, words: Words, at: np.ndarray, key: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows that words ``at`` lead by ``key``, ``many`` each: those that occur whole, with their starts."""
+        window = np.repeat(self.first[key] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         word = np.repeat(at, many)
         start, row = word - self.offset[window], words.row[word]
         room = (start >= words.first[row]) & (start + self.length[window] <= words.first[row + 1])

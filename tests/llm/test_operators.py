@@ -321,6 +321,29 @@ def test_equal_windows_are_one(spark):
     assert got == {1: 41, 2: 0}
 
 
+def test_frequent_words_that_lead_many_windows_are_worked_off_in_runs(spark, monkeypatch):
+
+    import pyarrow as pa
+
+    from codeloom.llm.textscan import PUNCT, words_of
+
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choices(["the", "of", "and"], [6, 3, 1], k=n))
+    items = [(str(i), text(30)) for i in range(60)]
+    texts = [text(200) for _ in range(40)] + [items[7][1], "", "the " * 50]
+    block = decontam.make_block(spark.createDataFrame([(t,) for t in texts], "text string"), items)
+    words = words_of(pa.array(texts), PUNCT)
+    occurrences = lambda: sorted(zip(*(x.tolist() for x in block.find(words)), strict=True))
+    whole = occurrences()
+    assert len(whole) > 100
+    monkeypatch.setattr(decontam, "CANDIDATES", 50)
+    sizes = []
+    plain = decontam.Block._verified
+    monkeypatch.setattr(decontam.Block, "_verified", lambda self, w, at, key, many: sizes.append(int(many.sum())) or plain(self, w, at, key, many))
+    assert occurrences() == whole
+    assert len(sizes) > 10 and max(sizes) < 50 + int(np.diff(block.first).max())
+
+
 # -- 7 suffix tree ---------------------------------------------------------
 def test_suffix_lm_base(spark, odd, empty):
     got = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in suffix_lm.score_corpus(odd).collect()), key=key)
