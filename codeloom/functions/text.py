@@ -61,4 +61,4 @@ def normalize_git_url(c: Column) -> Column:
 
 def stable_id(*parts: Column | str) -> Column:
     """An id made from its parts, so that a second run gives the same ids."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")).cast("string") for p in parts]), 256).substr(1, 32)
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts]), 256).substr(1, 32)

@@ -60,6 +60,24 @@ def _parsed(entry: str, callee: str, caller: str = "load", called: str = "fetch"
     return f"{edges} UNION ALL SELECT o_custkey, 'Customer' || o_custkey, '__CLASS__', 'Customer' || o_custkey, '{caller}' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey"
 
 
+def _facts(methods: list[tuple], edges: list[tuple]) -> str:
+    """Rows for each supplier; ``{k}`` stands for its key."""
+    rows = [("method", *m, None, None) for m in methods] + [("edge", *e) for e in edges]
+    values = ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in rows)
+    own = ", ".join(f"replace({c}, '{{k}}', s_suppkey::VARCHAR) AS {c}" for c in ("class_name", "method_name", "callee_class", "callee_method"))
+    return f"SELECT s_suppkey AS file_ord, kind, {own} FROM supplier, (VALUES {values}) AS f(kind, class_name, method_name, callee_class, callee_method)"
+
+
+_JAVA, _MODULE, _CLASS, _FILE, _RUN = "handles{k}", "shop{k}", "Shop{k}", "MyShop{k}", ("Desk{k}", "Run")
+_CSHARP_EDGES = [
+    ("SqlStore{k}", "Load", "Base{k}", "Note"), ("IStore{k}", "Load", "SqlStore{k}", "Load"), (*_RUN, "IStore{k}", "Load"), (*_RUN, "Order{k}", "Pay"),
+    (*_RUN, "Helper{k}", "Go"), (*_RUN, "Helper{k}", "Stop"), (*_RUN, "Helper{k}", "Make"), (*_RUN, "Base{k}", "Note"),
+]
+_CSHARP_METHODS = [
+    ("IStore{k}", "Load"), ("Base{k}", "Note"), ("SqlStore{k}", "Load"), ("Half{k}", "Load"), ("Desk{k}", "Run"), ("Helper{k}", "Go"), ("Helper{k}", "Stop"), ("Helper{k}", "Make"), ("Order{k}", "Pay"),
+]
+
+
 SQL: dict[str, str] = {
     "flow_trace": f"{_FLOW} SELECT * FROM steps",
     "entry_points": f"WITH {_STAR} SELECT caller_class AS class_name, caller_method AS method_name, min(edge_ord) AS first_ord FROM star WHERE caller_class ILIKE '%controller' GROUP BY 1, 2",
@@ -142,4 +160,50 @@ blocks AS (
 ),
 calls AS (SELECT conv_id, string_agg('    Turn.' || caller || ' --> Turn.' || callee, chr(10) ORDER BY turn, '    Turn.' || caller || ' --> Turn.' || callee) AS t FROM steps GROUP BY conv_id)
 SELECT conv_id::VARCHAR AS entry_method, 'graph TD' || chr(10) || blocks.t || chr(10) || calls.t || chr(10) AS mermaid FROM blocks JOIN calls USING (conv_id)""",
+    "java_rules": _facts(
+        [(_JAVA, "load{k}"), (_JAVA, "quiet{k}"), (_JAVA, "shown{k}"), (_JAVA, "reset{k}"), (_JAVA, "name{k}")],
+        [
+            (_JAVA, "__CLASS__", _JAVA, "load{k}"), (_JAVA, "load{k}", "OrderStore", "fetch{k}"), (_JAVA, "load{k}", _JAVA, "Item{k}"),
+            (_JAVA, "quiet{k}", "OrderStore", "count{k}"), (_JAVA, "__CLASS__", _JAVA, "GET shown{k}"),
+        ],
+    ),
+    "python_rules": _facts(
+        [(_MODULE, "first{k}"), (_MODULE, "second{k}"), (_CLASS, "__init__"), (_CLASS, "third{k}"), (_CLASS, "fourth{k}")],
+        [
+            (_MODULE, "__CLASS__", _MODULE, "GET first{k}"), (_MODULE, "GET first{k}", "UserStore", "load{k}"), (_MODULE, "GET first{k}", "Self", "go{k}"), (_MODULE, "GET first{k}", _MODULE, "helper{k}"),
+            (_MODULE, "__CLASS__", _MODULE, "second{k}"), (_CLASS, "__CLASS__", _CLASS, "third{k}"), (_CLASS, "__CLASS__", _CLASS, "fourth{k}"), (_CLASS, "fourth{k}", "Stock", "count{k}"),
+        ],
+    ),
+    "node_rules": _facts(
+        [(_FILE, "first{k}"), (_FILE, "short{k}"), (_CLASS, "run{k}")],
+        [
+            (_FILE, "__CLASS__", _FILE, "GET /list{k}"), (_FILE, "__CLASS__", _FILE, "first{k}"), (_FILE, "first{k}", "UserApi", "load{k}"), (_FILE, "first{k}", _FILE, "helper{k}"),
+            (_FILE, "__CLASS__", _FILE, "short{k}"), (_FILE, "short{k}", "Stock", "count{k}"), (_CLASS, "__CLASS__", _CLASS, "POST run{k}"),
+        ],
+    ),
+    "csharp_rules": f"SELECT file_ord, class_name AS caller_class, method_name AS caller_method, callee_class, callee_method FROM ({_facts([], _CSHARP_EDGES)})",
+    "csharp_methods": f"SELECT file_ord, class_name, method_name FROM ({_facts(_CSHARP_METHODS, [])})",
+    "parse_report": """
+SELECT 'm' || c_custkey || '.py' AS path, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN 'f' || c_custkey END AS found,
+  CASE WHEN c_custkey % 5 = 0 THEN 'OSError: unreadable' WHEN c_custkey % 7 = 0 THEN 'KeyError: ' || chr(39) || 'none' || chr(39) END AS error FROM customer""",
+    "source_paths": """
+WITH f AS (SELECT p_partkey, ['', 'src/', 'src/Node_Modules/x/', 'Target/', 'objects/', 'a/.git/'][p_partkey % 6 + 1] AS folder, ['.cs', '.JAVA', '.py', '.ts', '.txt', '', '.mjs'][p_partkey % 7 + 1] AS e FROM part)
+SELECT folder || 'f' || p_partkey || e AS path, lower(e) AS ext,
+  CASE lower(e) WHEN '.cs' THEN 'C# (.NET)' WHEN '.java' THEN 'Java (Spring Boot)' WHEN '.py' THEN 'Python (FastAPI)' ELSE 'Node.js (Express)' END AS language
+FROM f WHERE folder IN ('', 'src/', 'objects/') AND e NOT IN ('.txt', '')""",
+    "feature_methods": "SELECT s_suppkey::VARCHAR AS id, s_name AS method_name FROM supplier WHERE s_nationkey = 3 AND s_acctbal > 0",
+    "stable_ids": "SELECT s_suppkey, sha256('run' || chr(31) || s_name || chr(31) || CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey::VARCHAR ELSE '' END)[:32] AS id FROM supplier",
+    "generated_questions": """
+WITH c AS (SELECT c_custkey::VARCHAR AS id, c_custkey % 10 AS k FROM customer)
+SELECT id, 'about ' || id AS question, 'yes' AS suggested_answer, 'easy' AS difficulty, NULL::VARCHAR AS error FROM c WHERE k NOT IN (7, 9)
+UNION ALL SELECT id, 'again', '', '', NULL FROM c WHERE k NOT IN (7, 9)
+UNION ALL SELECT id, NULL, NULL, NULL, CASE k WHEN 9 THEN 'refused' ELSE 'not an answer: no json' END FROM c WHERE k IN (7, 9)""",
+    "store_changes": """
+WITH n AS (SELECT * FROM nation WHERE n_nationkey % 7 <> 0 AND n_nationkey <> 1), s AS (SELECT * FROM supplier WHERE s_nationkey % 7 <> 0 AND s_nationkey <> 1)
+SELECT 'analysis_runs' AS kept, n_nationkey::VARCHAR AS id, n_name || ':' || CASE WHEN n_nationkey % 5 = 0 THEN 'new' ELSE 'old' END AS what FROM n
+UNION ALL SELECT 'analysis_runs', 'fresh', lower(n_name) FROM nation WHERE n_nationkey = 1
+UNION ALL SELECT 'method_sources', s_suppkey::VARCHAR, s_nationkey::VARCHAR FROM s
+UNION ALL SELECT 'method_sources', 'only', 'fresh'
+UNION ALL SELECT 'feature_records', 'f' || s_suppkey, s_nationkey::VARCHAR FROM s
+UNION ALL SELECT 'feature_method_mappings', 'm' || s_suppkey, 'f' || s_suppkey FROM s""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +11,13 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
 from codeloom.operators import dataflow, features, graph, lookup, prompts
-from codeloom.operators.extract import dedup_edges, extract_facts
+from codeloom.operators.extract import call_graph, dedup_edges, extract_facts
 from codeloom.operators.extract import csharp
-from codeloom.operators.store import patched, without
+from codeloom.operators.store import Store, patched, without
 from codeloom.operators.validate import violations
-from codeloom.plans.staging import cut
+from codeloom.plans import snippets
+from codeloom.plans.staging import cut, shared_dir
+from codeloom.sources import files as source_files
 from codeloom.sources.files import language_counts
 
 
@@ -333,11 +337,120 @@ def data_flow_diagrams(spark: SparkSession, d: str) -> DataFrame:
     return graph.data_flow_diagrams(steps, roles, tokens).select("entry_method", "mermaid")
 
 
+def _snippet_facts(spark: SparkSession, d: str, language: str, path: str, text: str) -> DataFrame:
+    """Facts of one file for each supplier: the snippet with its key in place of ``{k}``."""
+    key = F.col("s_suppkey").cast("string")
+    own = lambda t: F.replace(F.lit(t), F.lit("{k}"), key)
+    files = _read(spark, d, "supplier").select(own(path).alias("path"), F.lit(language).alias("language"), F.col("s_suppkey").alias("file_ord"), own(text).alias("content"))
+    return extract_facts(files)
+
+
+def _edges_and_methods(facts: DataFrame) -> DataFrame:
+    return facts.filter("kind in ('edge', 'method')").select("file_ord", "kind", "class_name", "method_name", "callee_class", "callee_method")
+
+
+def java_rules(spark: SparkSession, d: str) -> DataFrame:
+    """The rules of the Java scanner, each with what it takes and what it leaves."""
+    return _edges_and_methods(_snippet_facts(spark, d, "Java (Spring Boot)", "src/Shop{k}.java", snippets.JAVA))
+
+
+def python_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _edges_and_methods(_snippet_facts(spark, d, "Python (FastAPI)", "src/shop{k}.py", snippets.PYTHON))
+
+
+def node_rules(spark: SparkSession, d: str) -> DataFrame:
+    return _edges_and_methods(_snippet_facts(spark, d, "Node.js (Express)", "src/my-shop{k}.ts", snippets.NODE))
+
+
+def csharp_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Calls that the C# binding keeps: fields, properties, parameters, statics, bases and interfaces."""
+    facts = cut(_snippet_facts(spark, d, csharp.NAME, "Shop{k}.cs", snippets.CSHARP))
+    return csharp.resolve(facts).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
+
+
+def csharp_methods(spark: SparkSession, d: str) -> DataFrame:
+    facts = _snippet_facts(spark, d, csharp.NAME, "Shop{k}.cs", snippets.CSHARP)
+    return facts.filter("kind = 'method'").select("file_ord", "class_name", "method_name")
+
+
+def parse_report(spark: SparkSession, d: str) -> DataFrame:
+    """Files that could not be parsed, beside those that could: unreadable ones, and ones of no known parser."""
+    key = F.col("c_custkey")
+    language = F.when(key % 7 == 0, "none").otherwise("Python (FastAPI)")
+    content = F.when(key % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("def f"), key, F.lit("():\n    pass\n")))
+    files = _read(spark, d, "customer").select(F.concat(F.lit("m"), key, F.lit(".py")).alias("path"), language.alias("language"), key.alias("file_ord"), content.alias("content"))
+    _, methods, errors = call_graph(files)
+    parsed = methods.select("path", F.col("method_name").alias("found"), F.lit(None).cast("string").alias("error"))
+    return parsed.unionByName(errors.select("path", F.lit(None).cast("string").alias("found"), "error"))
+
+
+def source_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Paths made from parts: kept by extension in any case, and if no folder on the way is a skipped one."""
+    key = F.col("p_partkey")
+    folder = F.element_at(F.array(*[F.lit(x) for x in snippets.FOLDERS]), (key % len(snippets.FOLDERS) + 1).cast("int"))
+    ext = F.element_at(F.array(*[F.lit(x) for x in snippets.EXTENSIONS]), (key % len(snippets.EXTENSIONS) + 1).cast("int"))
+    paths = _read(spark, d, "part").select(F.concat(folder, F.lit("f"), key, ext).alias("path"))
+    return source_files.source_paths(paths).select("path", "ext", "language")
+
+
+def feature_methods(spark: SparkSession, d: str) -> DataFrame:
+    """The methods of one feature; mappings whose method is gone drop out."""
+    s = _read(spark, d, "supplier")
+    maps = s.select(F.col("s_nationkey").cast("string").alias("feature_id"), F.col("s_suppkey").cast("string").alias("method_source_id"))
+    methods = s.filter("s_acctbal > 0").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_name").alias("method_name"))
+    return lookup.methods_of_feature("3", maps, methods)
+
+
+def stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "supplier").select("s_suppkey", T.stable_id(F.lit("run"), "s_name", F.when(F.col("s_suppkey") % 2 == 0, F.col("s_nationkey"))).alias("id"))
+
+
+def _answer(prompt: str, temperature: float) -> str:
+    """Stands in for a model: answers of both key cases, no JSON for some prompts, a refusal for others."""
+    if prompt.endswith("9"):
+        raise prompts.ModelError(400, "refused")
+    if prompt.endswith("7"):
+        return "no json"
+    return json.dumps([{"question": prompt, "suggestedAnswer": "yes", "difficulty": "easy"}, {"QUESTION": "again"}])
+
+
+def generated_questions(spark: SparkSession, d: str) -> DataFrame:
+    """Questions parsed from a model's answers, with the errors of those that are none."""
+    asked = _read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("about "), "c_custkey").alias("prompt"))
+    return prompts.generate(asked, "id", _answer)
+
+
+def store_changes(spark: SparkSession, d: str) -> DataFrame:
+    """A store after inserts, a patch, a delete with all that is below, and a run put in place of an old one."""
+    store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+    at = F.lit("2024-01-01").cast("timestamp")
+    n = _read(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_nationkey").cast("string").alias("id"), "n_name")
+    s = _read(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("id"), F.col("s_nationkey").cast("string").alias("analysis_run_id"), "s_name")
+    store.insert("analysis_runs", n.select("id", F.col("n_name").alias("repository_path"), at.alias("created_at"), F.lit("old").alias("repo_language")))
+    store.insert("method_sources", s.select("id", "analysis_run_id", F.lit("Supplier").alias("class_name"), F.col("s_name").alias("method_name"), F.lit("").alias("source_code")))
+    store.insert("feature_records", s.select(F.concat(F.lit("f"), "id").alias("id"), "analysis_run_id", F.col("s_name").alias("feature_name"), at.alias("created_at")))
+    store.insert("feature_method_mappings", s.select(F.concat(F.lit("m"), "id").alias("id"), F.concat(F.lit("f"), "id").alias("feature_id"), F.col("id").alias("method_source_id"), at.alias("mapped_at")))
+    store.update("analysis_runs", n.filter("k % 5 = 0").select("id", F.lit("new").alias("repo_language"), F.lit("never").alias("repository_path")))
+    store.delete("analysis_runs", n.filter("k % 7 = 0").select("id"))
+    run = n.filter("k = 1").select(F.lit("fresh").alias("id"), F.lower("n_name").alias("repository_path"), at.alias("created_at"))
+    own = n.filter("k = 1").select(F.lit("only").alias("id"), F.lit("fresh").alias("analysis_run_id"), F.lit("Supplier").alias("class_name"), F.lit("x").alias("method_name"), F.lit("").alias("source_code"))
+    store.replace_run(run, {"method_sources": own})
+    left = [
+        store.table("analysis_runs").select(F.lit("analysis_runs").alias("kept"), "id", F.concat_ws(":", "repository_path", "repo_language").alias("what")),
+        store.table("method_sources").select(F.lit("method_sources"), "id", "analysis_run_id"),
+        store.table("feature_records").select(F.lit("feature_records"), "id", "analysis_run_id"),
+        store.table("feature_method_mappings").select(F.lit("feature_method_mappings"), "id", "feature_id"),
+    ]
+    return left[0].union(left[1]).union(left[2]).union(left[3])
+
+
 QUERIES = [
     flow_trace, entry_points, edge_dedup, call_graph_diagram, flow_diagrams, call_sites, link_edges, source_lines, run_page, page_meta, point_lookup,
     in_list, flow_summary, flow_detail, step_listing, flow_prompts, example_page, example_choice, class_semi, event_edges, pascal_case, git_urls,
     files_by_language, feature_map, code_flow, patch_update, cascade_delete, replace_by_path, request_violations, parse_python, parse_java, parse_node,
     parse_csharp, data_flow, interface_calls, method_parameters, feature_prompts, data_flow_diagrams,
+    java_rules, python_rules, node_rules, csharp_rules, csharp_methods, parse_report, source_paths, feature_methods, stable_ids, generated_questions,
+    store_changes,
 ]
 
 

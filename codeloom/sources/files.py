@@ -44,6 +44,16 @@ def not_skipped(path: F.Column) -> F.Column:
     return ~F.arrays_overlap(F.transform(F.split(path, r"[/\\]"), F.lower), F.array(*[F.lit(s) for s in SKIPPED]))
 
 
+def source_paths(paths: DataFrame, languages: dict[str, str] | None = None, tested: F.Column | None = None) -> DataFrame:
+    """``paths`` (column path) of known languages outside skipped folders, with ext (in lower case) and language.
+
+    ``tested`` is what is looked through for skipped folders, the path if not given.
+    """
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
+    dim = F.broadcast(paths.sparkSession.createDataFrame(list((languages or LANGUAGES).items()), "ext string, language string"))
+    return paths.filter(not_skipped(F.col("path") if tested is None else tested)).withColumn("ext", ext).join(dim, "ext")
+
+
 def list_paths(root: str) -> Iterator[str]:
     for folder, _, names in os.walk(root):
         for name in names:
@@ -90,12 +100,8 @@ def scan_repository(spark: SparkSession, root: str, languages: dict[str, str] |
     An unreadable file has null content and its error.
     """
     root = os.path.abspath(root)
-    languages = languages or LANGUAGES
     paths = spark.createDataFrame([(p,) for p in sorted(list_paths(root))], "path string")
-    tested = F.concat(F.lit(root + "/"), F.col("path")) if absolute_skip else F.col("path")
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./\\]+)$", 1))
-    dim = F.broadcast(spark.createDataFrame(list(languages.items()), "ext string, language string"))
-    known = paths.filter(not_skipped(tested)).withColumn("ext", ext).join(dim, "ext")
+    known = source_paths(paths, languages, F.concat(F.lit(root + "/"), F.col("path")) if absolute_skip else None)
     ranked = _ranked(known)
     schema = "path string, ext string, language string, file_ord long, content string, error string"
     if shipped or (shipped is None and not is_local(spark)):
