@@ -1,6 +1,7 @@
 """DuckDB SQL of the engine's queries over the same tables."""
 
 from codeloom.operators.prompts import SHAPE
+from codeloom.sources.export import page
 
 _STAR = """
 star AS (
@@ -206,4 +207,16 @@ UNION ALL SELECT 'method_sources', s_suppkey::VARCHAR, s_nationkey::VARCHAR FROM
 UNION ALL SELECT 'method_sources', 'only', 'fresh'
 UNION ALL SELECT 'feature_records', 'f' || s_suppkey, s_nationkey::VARCHAR FROM s
 UNION ALL SELECT 'feature_method_mappings', 'm' || s_suppkey, 'f' || s_suppkey FROM s""",
+    "exports": f"""
+WITH e AS (SELECT 'Region<1>' AS caller_class, n_regionkey::VARCHAR AS caller_method, 'Nation' AS callee_class, n_nationkey::VARCHAR AS callee_method, n_nationkey AS edge_ord FROM nation),
+{_mermaid('e', 'edge_ord', '1', 'LR', '::')},
+listed AS (
+  SELECT string_agg('    {{' || chr(10) || '      "CallerClass": "' || caller_class || '",' || chr(10) || '      "CallerMethod": "' || caller_method || '",' || chr(10) || '      "CalleeClass": "' || callee_class || '",' || chr(10)
+    || '      "CalleeMethod": "' || callee_method || '"' || CASE WHEN edge_ord % 2 = 0 THEN ',' || chr(10) || '      "Language": "C# (.NET)"' ELSE '' END || chr(10) || '    }}', ',' || chr(10) ORDER BY edge_ord) AS t FROM e
+),
+shown AS (SELECT replace(replace(replace(replace(replace(mermaid, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#x27;') AS t FROM drawn)
+SELECT 'output_graph.json' AS file, '{{' || chr(10) || '  "CallGraph": [' || chr(10) || t || chr(10) || '  ]' || chr(10) || '}}' || chr(10) AS content FROM listed
+UNION ALL SELECT 'call_graph.md', '# Call Graph' || chr(10) || chr(10) || '```mermaid' || chr(10) || mermaid || chr(10) || '```' FROM drawn
+UNION ALL SELECT unnest(['call_graph.html', 'output_graph.html']), replace('{page('BODY')}', 'BODY', '<pre class="mermaid">' || t || '</pre>') FROM shown""",
+    "analysis_response": "SELECT 'analysis completed' AS message, 28 * count(*) AS edges_count, 22 * count(*) AS methods_count, 4 * count(*) AS parsed_count, 1::BIGINT AS error_count, 28 * count(*) AS stored_edges, 'shop' AS repo_name FROM nation",
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,7 +19,8 @@ from codeloom.operators.store import Store, patched, without
 from codeloom.operators.validate import violations
 from codeloom.plans import snippets
 from codeloom.plans.staging import cut, shared_dir
-from codeloom.sources import files as source_files
+from codeloom.service import Engine
+from codeloom.sources import export, files as source_files
 from codeloom.sources.files import language_counts
 
 
@@ -444,13 +447,47 @@ def store_changes(spark: SparkSession, d: str) -> DataFrame:
     return left[0].union(left[1]).union(left[2]).union(left[3])
 
 
+def exports(spark: SparkSession, d: str) -> DataFrame:
+    """The files that a call graph is written to, with their contents."""
+    nation = _read(spark, d, "nation")
+    edges = nation.select(*_edge("Region<1>", F.col("n_regionkey"), "Nation", F.col("n_nationkey"), F.col("n_nationkey")), F.when(F.col("n_nationkey") % 2 == 0, "C# (.NET)").alias("language"))
+    mermaid = graph.diagram(edges, "edge_ord").first()["mermaid"]
+    with tempfile.TemporaryDirectory() as out:  # sinks write where the driver is, and only it reads them
+        export.write_json(edges, os.path.join(out, "output_graph.json"))
+        export.write_markdown(mermaid, out)
+        export.write_html(mermaid, out)
+        rows = []
+        for name in sorted(os.listdir(out)):
+            with open(os.path.join(out, name), encoding="utf-8") as f:
+                rows.append((name, f.read()))
+    return spark.createDataFrame(rows, "file string, content string")
+
+
+def analysis_response(spark: SparkSession, d: str) -> DataFrame:
+    """A repository of four files for each nation, a folder that is skipped and a file that cannot be read, analysed."""
+    texts = {"src/Shop{k}.java": snippets.JAVA, "src/shop{k}.py": snippets.PYTHON, "web/my-shop{k}.ts": snippets.NODE, "Shop{k}.cs": snippets.CSHARP, "node_modules/x{k}.js": snippets.NODE, "notes{k}.md": "class"}
+    with tempfile.TemporaryDirectory() as root:  # as a clone is, on the driver's machine
+        for r in _read(spark, d, "nation").select("n_nationkey").collect():
+            for name, text in texts.items():
+                path = os.path.join(root, "repository", name.replace("{k}", str(r[0])))
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "w", encoding="utf-8") as f:
+                    f.write(text.replace("{k}", str(r[0])))
+        os.symlink(os.path.join(root, "nowhere"), os.path.join(root, "repository", "broken.py"))
+        engine = Engine(spark, f"{shared_dir(spark)}/engine-{uuid.uuid4().hex}")
+        got = engine.analyze(os.path.join(root, "repository"), out=os.path.join(root, "out"), repo_name="shop")
+    stored = engine.store.table("call_graph_edges").filter(F.col("analysis_run_id") == got.analysis_run_id).count()
+    row = (got.message, got.edges_count, got.methods_count, got.parsed_count, got.error_count, stored, engine.run(got.analysis_run_id)["repo_name"])
+    return spark.createDataFrame([row], "message string, edges_count long, methods_count long, parsed_count long, error_count long, stored_edges long, repo_name string")
+
+
 QUERIES = [
     flow_trace, entry_points, edge_dedup, call_graph_diagram, flow_diagrams, call_sites, link_edges, source_lines, run_page, page_meta, point_lookup,
     in_list, flow_summary, flow_detail, step_listing, flow_prompts, example_page, example_choice, class_semi, event_edges, pascal_case, git_urls,
     files_by_language, feature_map, code_flow, patch_update, cascade_delete, replace_by_path, request_violations, parse_python, parse_java, parse_node,
     parse_csharp, data_flow, interface_calls, method_parameters, feature_prompts, data_flow_diagrams,
     java_rules, python_rules, node_rules, csharp_rules, csharp_methods, parse_report, source_paths, feature_methods, stable_ids, generated_questions,
-    store_changes,
+    store_changes, exports, analysis_response,
 ]
 
 

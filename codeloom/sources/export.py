@@ -43,8 +43,12 @@ def write_markdown(mermaid: str, folder: str) -> None:
             f.write(f"# Call Graph\n\n```mermaid\n{mermaid}\n```")
 
 
+def page(body: str) -> str:
+    return _PAGE.format(body=body, edges=MAX_EDGES, text=MAX_TEXT)
+
+
 def write_html(mermaid: str, folder: str) -> None:
     body = f'<pre class="mermaid">{html.escape(mermaid)}</pre>' if mermaid else "<p>No call graph was found.</p>"
     for name in ("output_graph.html", "call_graph.html"):
         with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-            f.write(_PAGE.format(body=body, edges=MAX_EDGES, text=MAX_TEXT))
+            f.write(page(body))
