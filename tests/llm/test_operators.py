@@ -322,7 +322,6 @@ def test_equal_windows_are_one(spark):
 
 
 def test_frequent_words_that_lead_many_windows_are_worked_off_in_runs(spark, monkeypatch):
-
     import pyarrow as pa
 
     from codeloom.llm.textscan import PUNCT, words_of
