@@ -91,3 +91,21 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+#: Keys with more than this part of all rows count as hot; there are never more such keys than this.
+HOT_KEYS = 10_000
+
+
+def join_back(rows: DataFrame, table: DataFrame, keys: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``table`` (one row per key, without nulls in ``keys``), safe from hot keys.
+
+    ``count`` tells how many of the ``total`` rows have the key. Keys with more than a ``HOT_KEYS``-th of
+    all rows are fewer than ``HOT_KEYS``, whatever the data, and are broadcast; the others are
+    shuffled. ``rows`` is read twice. ``count`` is not part of the result.
+    """
+    (mark,) = fresh(rows.join(table, keys), "hot")
+    is_hot = F.col(count) * HOT_KEYS > F.lit(total)
+    hot = rows.join(F.broadcast(table.filter(is_hot).drop(count).withColumn(mark, F.lit(True))), keys, "left")
+    rest = hot.filter(F.col(mark).isNull()).select(*rows.columns).join(table.filter(~is_hot).drop(count), keys, "left")
+    return hot.filter(F.col(mark)).drop(mark).unionByName(rest)

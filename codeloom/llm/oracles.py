@@ -16,6 +16,26 @@ _CUT = "CASE WHEN page_id % 97 = 13 THEN left(html, length(html) - 1) ELSE html
 
 _BARE = r"regexp_replace({}, '(?s)^(.*?://[^#]*)#.*$', '\1')"
 
+
+
+def _lloyd(rounds: int = 6) -> str:
+    """Codebooks c0 .. c<rounds> and the assignments a0 .. a<rounds> to them, one after the other."""
+    out = ["c0 AS MATERIALIZED (SELECT p, e, v FROM q JOIN (SELECT id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16) USING (id))"]
+    for k in range(rounds + 1):
+        out.append(f"""d{k} AS (SELECT id, q.p, e, list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS far FROM q JOIN c{k} c ON c.p = q.p),
+a{k} AS MATERIALIZED (SELECT id, p, arg_min(e, (far, e)) AS e, min(far) AS far FROM d{k} GROUP BY id, p)""")
+        if k < rounds:
+            out.append(f"""m{k} AS (SELECT p, e, spot, floor(sum(x) / count(*))::BIGINT AS x FROM (SELECT a.p, a.e, unnest(q.v) AS x, unnest(range(len(q.v))) AS spot FROM a{k} a JOIN q USING (id, p)) GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(any_value(n.v), any_value(c.v)) AS v FROM c{k} c LEFT JOIN (SELECT p, e, list(x ORDER BY spot) AS v FROM m{k} GROUP BY p, e) n ON n.p = c.p AND n.e = c.e GROUP BY c.p, c.e)""")
+    return ",\n".join(out)
+
+
+#: CRC-32 of a text's UTF-8 bytes, from a table of remainders that recursion makes.
+_CRC_TABLE = """crc_step(n, k, c) AS (SELECT n, 0, n FROM (SELECT unnest(range(256))::BIGINT AS n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_step WHERE k < 8),
+crc_table AS MATERIALIZED (SELECT list(c ORDER BY n) AS crcs FROM crc_step WHERE k = 8)"""
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, strlen({0}) * 2, 2), lambda b: ('0x' || substr(hex(encode({0})), (b + 1)::BIGINT, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295::BIGINT)"""
+
 SQL: dict[str, str] = {
     "op1_exact_dedup": """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
@@ -108,4 +128,29 @@ both_ AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
 reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
 least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least_.b, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON least_.a = d.doc_id""",
+    "op12_vector_codes": f"""
+WITH kept AS (SELECT vec_id, row_number() OVER () AS id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT id, vec_id, p, v[p * len(v) // 8 + 1 : (p + 1) * len(v) // 8] AS v FROM kept, range(8) t(p)),
+{_lloyd()},
+r AS (SELECT id, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM a6 GROUP BY id),
+s AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM c6)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN r USING (id), s""",
+    "op13_resampling": f"""
+WITH RECURSIVE {_CRC_TABLE},
+docs AS (SELECT doc_id, row_number() OVER () AS r, {_PLAIN} AS w FROM documents),
+own AS (SELECT r, f, count(*) AS c FROM (SELECT r, unnest(w) AS f FROM docs) GROUP BY ALL),
+wanted AS (SELECT f, count(*) AS c FROM (SELECT unnest({_PLAIN}) AS f FROM benchmark) GROUP BY ALL),
+crc AS (SELECT f, {_CRC.format("f")} % 10000 AS b FROM (SELECT f FROM own UNION SELECT f FROM wanted), crc_table),
+s AS (SELECT b, sum(c) AS n FROM own JOIN crc USING (f) GROUP BY b),
+t AS (SELECT b, sum(c) AS n FROM wanted JOIN crc USING (f) GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM s) + 10000.0::DOUBLE) / ((s.n + 1.0::DOUBLE) * ((SELECT coalesce(sum(n), 0) FROM t) + 10000.0::DOUBLE))))::BIGINT AS g FROM s LEFT JOIN t USING (b)),
+weight AS (SELECT r, floor(sum(c * g) / sum(c))::BIGINT AS weight FROM own JOIN crc USING (f) JOIN gain USING (b) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM docs LEFT JOIN weight USING (r)
+),
+ranked AS (SELECT *, CASE WHEN n_features >= 20 THEN row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= (SELECT count(*) * 10 // 100 FROM scored WHERE n_features >= 20) THEN place END AS rank FROM ranked""",
 }
