@@ -128,6 +128,15 @@ both_ AS (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
 reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
 least_ AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(least_.b, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN least_ ON least_.a = d.doc_id""",
+    "op11_substring_dedup": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS g FROM (SELECT *, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50)),
+least_ AS (SELECT g, min(doc_id) AS first_id FROM win GROUP BY g),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS spot FROM win JOIN least_ USING (g) WHERE first_id < doc_id OR (doc_id IS NULL AND first_id IS NOT NULL)),
+lost AS (SELECT r, count(*) AS n, list(spot) AS spots FROM gone GROUP BY r),
+each_ AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS spot FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY spot) AS text FROM each_ ANTI JOIN gone USING (r, spot) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN lost USING (r) LEFT JOIN kept USING (r)""",
     "op12_vector_codes": f"""
 WITH kept AS (SELECT vec_id, row_number() OVER () AS id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import decontam, exact_dedup, fixity, langid, mixing, ngram_join, pii, resampling, suffix_lm, token_counts, url_equiv, vector_codes
+from codeloom.llm import decontam, exact_dedup, fixity, langid, mixing, ngram_join, pii, resampling, substring_dedup, suffix_lm, token_counts, url_equiv, vector_codes
 from codeloom.llm.common import read
 
 #: Folder of the public vocabulary files.
@@ -70,6 +70,10 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.NgramJoin(read(spark, sf_dir, "documents")).groups().select("doc_id", "n_shingles", "component_id")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.SubstringDedup(read(spark, sf_dir, "documents")).removals().drop("passages")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.VectorCodes(read(spark, sf_dir, "embeddings")).report()
 
@@ -85,7 +89,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_merkle_fixity, op3_pii, op4_language_id, op5_fair_mix, op6_decontamination, op7_suffix_lm, op8_token_counts, op9_url_filters, op10_ngram_jaccard, op12_vector_codes, op13_resampling, pipeline]
+    own = [op1_exact_dedup, op2_merkle_fixity, op3_pii, op4_language_id, op5_fair_mix, op6_decontamination, op7_suffix_lm, op8_token_counts, op9_url_filters, op10_ngram_jaccard, op11_substring_dedup, op12_vector_codes, op13_resampling, pipeline]
     return {f.__name__: f for f in own}
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.llm.common import join_back, stage
-from codeloom.llm.textscan import LOWER, PUNCT, buffer_of, pieces, words_of
+from codeloom.llm.textscan import LOWER, PUNCT, buffer_of, joined, pieces, words_of
 
 #: Features longer than this many bytes are hashed one by one.
 SHORT = 64
@@ -64,16 +64,12 @@ def gram_buckets(column: pa.Array, max_n: int, buckets: int) -> tuple[np.ndarray
     """(words of each row, offsets of rows, buckets, counts): the rows' distinct buckets, one row after the other."""
     raw, _ = buffer_of(column)
     words = words_of(column, PUNCT, hashed=False)
-    size = words.end - words.start
-    begin = np.cumsum(size + 1) - (size + 1)  # the words joined by one space
-    joined = np.full(int((size + 1).sum()), 0x20, np.uint8)
-    n = int(size.sum())
-    joined[np.arange(n) + np.repeat(np.arange(len(size)), size)] = LOWER[raw[np.arange(n) + np.repeat(words.start - (np.cumsum(size) - size), size)]]
+    text, begin, end = joined(raw, words.start, words.end, LOWER)
     keys = []
     for k in range(max_n):
-        at = np.arange(len(size) - k)
+        at = np.arange(max(0, len(begin) - k))
         at = at[words.row[at] == words.row[at + k]]
-        crc = crc32_of(joined, begin[at], begin[at + k] + size[at + k])
+        crc = crc32_of(text, begin[at], end[at + k])
         keys.append(words.row[at] * buckets + (crc % np.uint32(buckets)).astype(np.int64))
     key, count = np.unique(np.concatenate(keys), return_counts=True)
     return np.diff(words.first), np.searchsorted(key, np.arange(len(column) + 1) * buckets), key % buckets, count

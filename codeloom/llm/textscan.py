@@ -22,6 +22,7 @@ PUNCT[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = False
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
+SAME = np.arange(256, dtype=np.uint8)
 
 _RANDOM = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
@@ -73,8 +74,8 @@ class Words:
     hash: np.ndarray  #: 64-bit hash of the lower-cased word
 
 
-def words_of(column: pa.Array, ends: np.ndarray = SPACE, hashed: bool = True) -> Words:
-    """All words of all rows; A-Z is lower-cased. ``ends`` tells which bytes separate words."""
+def words_of(column: pa.Array, ends: np.ndarray = SPACE, hashed: bool = True, fold: np.ndarray = LOWER) -> Words:
+    """All words of all rows. ``ends`` tells which bytes separate words, ``fold`` what bytes count as in hashes (A-Z are lower-cased)."""
     raw, at = buffer_of(column)
     n = len(raw)
     inside = np.zeros(n + 2, bool)
@@ -91,7 +92,7 @@ def words_of(column: pa.Array, ends: np.ndarray = SPACE, hashed: bool = True) ->
     first = np.searchsorted(start, at, side="left")
     row = np.repeat(np.arange(len(at) - 1), np.diff(first))
     if hashed and len(start):
-        value = _RANDOM[LOWER[raw]] * _power(_BASE, n)
+        value = _RANDOM[fold[raw]] * _power(_BASE, n)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(value, out=total[1:])
         h = (total[end] - total[start]) * _power(_INVERSE, n + 1)[start]
@@ -101,6 +102,25 @@ def words_of(column: pa.Array, ends: np.ndarray = SPACE, hashed: bool = True) ->
     return Words(start, end, row, first, h)
 
 
+def joined(raw: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray = SAME) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words ``raw[start:end]`` one after the other, each followed by a blank, and where each begins and ends."""
+    size = end - start
+    begin = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int((size + 1).sum()), 0x20, np.uint8)
+    at = np.arange(int(size.sum()))
+    out[at + np.repeat(np.arange(len(size)), size)] = fold[raw[at + np.repeat(start - (np.cumsum(size) - size), size)]]
+    return out, begin, begin + size
+
+
+def rolled(h: np.ndarray, begin: np.ndarray, size: np.ndarray | int, salt: int = 0) -> np.ndarray:
+    """A 64-bit hash of each run of ``size`` values of ``h`` from ``begin`` on; runs of other lengths differ too."""
+    value = (mix(h ^ np.uint64(salt)) if salt else h) * _power(_BASE, len(h))
+    total = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
+    own = (total[begin + size] - total[begin]) * _power(_INVERSE, len(h) + 1)[begin]
+    return mix(own + np.asarray(size).astype(np.uint64) * np.uint64(_SPREAD[0]))
+
+
 _SPREAD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
 
 
