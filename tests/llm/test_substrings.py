@@ -74,9 +74,15 @@ def test_branches_and_chimeras(spark, seed):
 
 def test_copies_become_one_passage(spark):
     text = prose(5, 400)
-    rows = [(i, text) for i in range(5)] + [(9, prose(6, 100) + " " + " ".join(words(text)[100:300]))]
+    rows = [(i, text) for i in range(5)]
     got = {r.doc_id: r for r in run(spark, rows, 50).collect()}
     assert [(p.start, p.windows, p.source_doc, p.source_start) for p in got[3].passages] == [(0, 351, 0, 0)]
+    assert not got[0].passages and (got[0].n_removed, got[3].n_removed) == (0, 400)
+    # where another text leaves the path, the path ends
+    rows.append((9, prose(6, 100) + " " + " ".join(words(text)[100:300])))
+    got = {r.doc_id: r for r in run(spark, rows, 50).collect()}
+    ends = [(p.start, p.start + p.windows) for p in sorted(got[3].passages)]
+    assert len(ends) == 3 and (ends[0][0], ends[2][1]) == (0, 351) and ends[0][1] == ends[1][0] and ends[1][1] == ends[2][0]
     assert (got[0].n_removed, got[3].n_removed, got[9].n_removed) == (0, 400, 200)
 
 
