@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import stable_id
-from codeloom.operators.extract import csharp
+from codeloom.operators.extract import csharp, csharp_bind
 from codeloom.operators.extract.base import Fact, scan
 from codeloom.operators.extract.java import JAVA
 from codeloom.operators.extract.node import NODE
@@ -75,7 +75,7 @@ def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     plain = facts.filter("kind = 'edge'").select(
         "language", "path", "file_ord", "seq", F.lit(0).cast("long").alias("part"), F.col("class_name").alias("caller_class"), F.col("method_name").alias("caller_method"), "callee_class", "callee_method"
     )
-    edges = plain.unionByName(csharp.resolve(facts))
+    edges = plain.unionByName(csharp_bind.resolve(facts))
     # an order, not a dense number: the file, then the edge's place in it and among an interface's implementations
     place = F.row_number().over(Window.partitionBy("file_ord", "path").orderBy("seq", "part"))
     order = F.col("file_ord") * F.lit(1 << 32) + place

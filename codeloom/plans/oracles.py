@@ -136,6 +136,14 @@ LATERAL (VALUES (0, 'x', 'this.y', 'Assignment'), (1, 'a + ' || o_orderkey, 'x',
     "interface_calls": """
 SELECT c_custkey AS file_ord, 'Customer' || c_custkey AS caller_class, 'Load' AS caller_method, 'IStore' || c_custkey AS callee_class, 'Fetch' AS callee_method FROM customer
 UNION ALL SELECT c_custkey, 'IStore' || c_custkey, 'Fetch', 'SqlStore' || c_custkey, 'Fetch' FROM customer""",
+    "csharp_scopes": """
+SELECT c_custkey + 100 AS file_ord, 'Desk' || c_custkey AS caller_class, 'Run' AS caller_method, CASE WHEN c_custkey % 5 = 3 THEN 'Line' ELSE 'Account' END AS callee_class,
+  CASE WHEN c_custkey % 5 = 3 THEN 'Print' ELSE 'Pay' END || c_nationkey AS callee_method FROM customer""",
+    "csharp_chains": """
+WITH o AS (SELECT o_custkey AS file_ord, 'Customer' || o_custkey AS caller_class, 'Run' || o_orderkey AS caller_method, o_orderkey AS k, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT file_ord, caller_class, caller_method, 'Box' AS callee_class, 'Next' AS callee_method, n FROM o
+UNION ALL SELECT file_ord, caller_class, caller_method, 'Bin', 'Open', 1 FROM o
+UNION ALL SELECT file_ord, caller_class, caller_method, 'Order' || k, 'Pay' || k, 1 FROM o""",
     "method_parameters": "SELECT o_orderkey, 'Map&lt;int, string&gt; a' || o_orderkey || '|string b|int[] c' AS params FROM orders",
     "feature_prompts": f"""
 WITH {_STAR}, own AS (SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 from codeloom.operators import dataflow, features, graph, lookup, prompts
 from codeloom.operators.extract import call_graph, dedup_edges, extract_facts
-from codeloom.operators.extract import csharp
+from codeloom.operators.extract import csharp, csharp_bind
 from codeloom.operators.store import Store, patched, without
 from codeloom.operators.validate import violations
 from codeloom.plans import snippets
@@ -248,14 +248,20 @@ def _rendered(spark: SparkSession, d: str, language: str, template: list) -> Dat
     """Classes rendered as source text from the customers and their first orders."""
     orders = _read(spark, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))
     c = _read(spark, d, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"))
-    return c.select(F.concat(F.lit("f"), "c_custkey", F.lit(".x")).alias("path"), F.lit(language).alias("language"), F.col("c_custkey").alias("file_ord"), template(F.col("c_custkey"), F.col("keys")).alias("content"))
+    files = c.select(F.concat(F.lit("f"), "c_custkey", F.lit(".x")).alias("path"), F.lit(language).alias("language"), F.col("c_custkey").alias("file_ord"), template(F.col("c_custkey"), F.col("keys")).alias("content"))
+    return _dealt(files)
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Few bytes, but much to do with each: as many tasks as there are cores, where rendering ended in one."""
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, "path")
 
 
 def _roundtrip(files: DataFrame, resolve: bool = False) -> DataFrame:
     facts = cut(extract_facts(files)) if resolve else extract_facts(files)
     edges = facts.filter("kind = 'edge'").select("file_ord", F.col("class_name").alias("caller_class"), F.col("method_name").alias("caller_method"), "callee_class", "callee_method")
     if resolve:
-        edges = csharp.resolve(facts).drop("language", "path", "seq", "part")
+        edges = csharp_bind.resolve(facts).drop("language", "path", "seq", "part")
     return edges
 
 
@@ -312,7 +318,57 @@ def interface_calls(spark: SparkSession, d: str) -> DataFrame:
         "'public class Customer', k, ' { private readonly IStore', k, ' _s; public void Load() { _s.Fetch(); } } }')"
     )
     files = c.select(F.concat("k", F.lit(".cs")).alias("path"), F.lit(csharp.NAME).alias("language"), "file_ord", text.alias("content"))
-    return csharp.resolve(cut(extract_facts(files))).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
+    return csharp_bind.resolve(cut(extract_facts(files))).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
+
+
+def csharp_scopes(spark: SparkSession, d: str) -> DataFrame:
+    """Calls on classes of one name in the namespace of every nation: which one is meant depends on the file of the customer.
+
+    By the customer's id, the file has a ``using`` line, an alias, the full name or a nested type, or lies in the nation's namespace
+    itself, where a ``using`` line of another nation must not win. Only the meant class has the called method.
+    """
+    n, other = F.col("c_nationkey").cast("string"), ((F.col("c_nationkey") + 1) % 25).cast("string")
+    nation = _read(spark, d, "nation").select(
+        F.concat(F.lit("n"), "n_nationkey").alias("path"), F.col("n_nationkey").cast("long").alias("file_ord"),
+        F.format_string("namespace Nation%1$s { public class Account { public void Pay%1$s() { } public class Line { public void Print%1$s() { } } } }", F.col("n_nationkey").cast("string")).alias("content"),
+    )
+    desk = "public class Desk%1$s { private {kind} item; public void Run() { item.{call}%2$s(); } }"
+    ways = [
+        ("using Nation%2$s;\nnamespace Desks;\n", "Account", "Pay"),
+        ("using Nation%3$s;\nusing Acc = Nation%2$s.Account;\nnamespace Desks;\n", "Acc", "Pay"),
+        ("using Nation%3$s;\nnamespace Desks;\n", "Nation%2$s.Account", "Pay"),
+        ("using Nation%2$s;\nnamespace Desks;\n", "Account.Line", "Print"),
+        ("using Nation%3$s;\nnamespace Nation%2$s.Desks;\n", "Account", "Pay"),
+    ]
+    texts = [F.format_string(head + desk.replace("{kind}", kind).replace("{call}", call), F.col("c_custkey").cast("string"), n, other) for head, kind, call in ways]
+    text = F.element_at(F.array(*texts), (F.col("c_custkey") % len(ways) + 1).cast("int"))
+    files = _read(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("path"), (F.col("c_custkey") + 100).alias("file_ord"), text.alias("content"))
+    files = nation.unionByName(files).withColumn("language", F.lit(csharp.NAME))
+    return csharp_bind.resolve(cut(extract_facts(files))).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
+
+
+def csharp_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Calls on results of calls through a generic class: a chain for every order, as long as the order has lines.
+
+    What a chain ends on is told by the type argument of the field that it starts from; every customer is a file.
+    """
+    lines = _read(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
+    key = F.col("o_orderkey").cast("string")
+    orders = _read(spark, d, "orders").join(lines, "o_orderkey").select(
+        "o_custkey", "o_orderkey",
+        F.format_string("public class Order%1$s { public void Pay%1$s() { } }\n", key).alias("kind"),
+        F.format_string("  private Box<Order%1$s> box%1$s;\n  public void Run%1$s() { box%1$s", key).alias("head"),
+        F.concat(F.repeat(F.lit(".Next()"), F.col("n").cast("int")), F.format_string(".Open().Pay%1$s(); }\n", key)).alias("tail"),
+    )
+    files = orders.groupBy("o_custkey").agg(F.array_join(F.sort_array(F.collect_list("kind")), "").alias("kinds"), F.array_join(F.sort_array(F.collect_list(F.concat("head", "tail"))), "").alias("body"))
+    text = F.concat(F.lit("namespace Shop;\n"), "kinds", F.lit("public class Customer"), "o_custkey", F.lit(" {\n"), "body", F.lit("}\n"))
+    files = files.select(F.concat(F.lit("c"), "o_custkey").alias("path"), F.col("o_custkey").alias("file_ord"), text.alias("content"))
+    # the shared class lies in one file more, made from the table's least key
+    least = _read(spark, d, "region").agg(F.min("r_regionkey").cast("long").alias("file_ord"))
+    box = "namespace Shop; public abstract class Bin<T> { public T Open() { return item; } protected T item; } public class Box<T> : Bin<T> { public Box<T> Next() { return this; } }"
+    files = files.unionByName(least.select(F.lit("box").alias("path"), "file_ord", F.lit(box).alias("content"))).withColumn("language", F.lit(csharp.NAME))
+    edges = csharp_bind.resolve(cut(extract_facts(_dealt(files))))
+    return edges.groupBy("file_ord", "caller_class", "caller_method", "callee_class", "callee_method").agg(F.count("*").alias("n"))
 
 
 def method_parameters(spark: SparkSession, d: str) -> DataFrame:
@@ -368,7 +424,7 @@ def node_rules(spark: SparkSession, d: str) -> DataFrame:
 def csharp_rules(spark: SparkSession, d: str) -> DataFrame:
     """Calls that the C# binding keeps: fields, properties, parameters, statics, bases and interfaces."""
     facts = cut(_snippet_facts(spark, d, csharp.NAME, "Shop{k}.cs", snippets.CSHARP))
-    return csharp.resolve(facts).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
+    return csharp_bind.resolve(facts).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
 
 
 def csharp_methods(spark: SparkSession, d: str) -> DataFrame:
@@ -485,7 +541,7 @@ QUERIES = [
     flow_trace, entry_points, edge_dedup, call_graph_diagram, flow_diagrams, call_sites, link_edges, source_lines, run_page, page_meta, point_lookup,
     in_list, flow_summary, flow_detail, step_listing, flow_prompts, example_page, example_choice, class_semi, event_edges, pascal_case, git_urls,
     files_by_language, feature_map, code_flow, patch_update, cascade_delete, replace_by_path, request_violations, parse_python, parse_java, parse_node,
-    parse_csharp, data_flow, interface_calls, method_parameters, feature_prompts, data_flow_diagrams,
+    parse_csharp, data_flow, interface_calls, csharp_scopes, csharp_chains, method_parameters, feature_prompts, data_flow_diagrams,
     java_rules, python_rules, node_rules, csharp_rules, csharp_methods, parse_report, source_paths, feature_methods, stable_ids, generated_questions,
     store_changes, exports, analysis_response,
 ]

@@ -7,7 +7,8 @@ import pytest
 from codeloom.operators.extract import PARSERS, call_graph, extract_facts
 from codeloom.operators.extract.base import scan
 from codeloom.operators.extract.csharp import NAME as CSHARP
-from codeloom.operators.extract.csharp import facts as csharp_facts, resolve
+from codeloom.operators.extract.csharp import facts as csharp_facts
+from codeloom.operators.extract.csharp_bind import arguments, resolve
 from codeloom.operators.extract.java import JAVA
 from codeloom.operators.extract.node import NODE
 from codeloom.operators.extract.python import PYTHON
@@ -199,3 +200,133 @@ public class Desk
     files = spark.createDataFrame([("a.cs", CSHARP, 0, text)], "path string, language string, file_ord long, content string")
     found = {(r.callee_class, r.callee_method) for r in resolve(extract_facts(files)).filter("caller_method = 'Run'").collect()}
     assert found == {("Store", "Load"), ("Store", "LoadAsync"), ("Desk", "Own"), ("Order", "First"), ("Order", "Pay"), ("OrderTools", "Mail"), ("Line", "Print")}
+
+
+def bound(spark, **files):
+    rows = [(f"{name}.cs", CSHARP, i, text) for i, (name, text) in enumerate(files.items())]
+    df = spark.createDataFrame(rows, "path string, language string, file_ord long, content string")
+    return resolve(extract_facts(df).persist()).filter("callee_class is not null")
+
+
+def callees(edges, method="Run"):
+    return sorted((r.callee_class, r.callee_method) for r in edges.filter(f"caller_method = '{method}'").collect())
+
+
+TWO = """
+namespace A { public class Account { public void PayA() { } public class Line { public void PrintA() { } } } public class Store { public Account item; } }
+namespace B { public class Account { public void PayB() { } public static Account Make() { return null; } } public class Store { public Account item; } }
+public class Account { public void PayGlobal() { } }
+"""
+
+
+SCOPES = [
+    ("using A;\nnamespace Use;", "Store s; void Run() { s.item.PayA(); s.item.PayB(); }", [("Account", "PayA")]),
+    ("using B;\nnamespace Use;", "Store s; void Run() { s.item.PayA(); s.item.PayB(); }", [("Account", "PayB")]),
+    ("using Acc = B.Account;\nnamespace Use;", "void Run(Acc a) { a.PayB(); a.PayA(); Acc.Make(); }", [("Account", "Make"), ("Account", "PayB")]),
+    ("namespace Use;", "void Run() { A.Account a = null; a.PayA(); B.Account.Make().PayB(); Account c; c.PayGlobal(); }", [("Account", "Make"), ("Account", "PayA"), ("Account", "PayB"), ("Account", "PayGlobal")]),
+    ("using B;\nnamespace A.Inner;", "void Run(Account a) { a.PayA(); a.PayB(); }", [("Account", "PayA")]),  # around before using
+    ("namespace A;", "void Run(Account.Line x) { x.PrintA(); }", [("Line", "PrintA")]),
+    ("namespace A;", "class Account { public void Own() { } } void Run(Account x) { x.Own(); x.PayA(); }", [("Account", "Own")]),
+    ("namespace Use;", "class Inner { void Deep() { Run(); Helper.Go(); } } static class Helper { public static void Go() { Go2(); } static void Go2() { } } void Run() { Helper.Go(); }", [("Helper", "Go")]),
+]
+
+
+def test_csharp_scopes(spark):
+    edges = bound(spark, lib=TWO, **{f"use{i}": f"{head}\npublic class Use{i} {{ {body} }}" for i, (head, body, _) in enumerate(SCOPES)})
+    got = edges.filter("caller_method = 'Run'").collect()
+    for i, (head, body, want) in enumerate(SCOPES):
+        assert sorted((r.callee_class, r.callee_method) for r in got if r.caller_class == f"Use{i}") == want, (head, body)
+
+
+def test_csharp_partial_classes_and_global_usings(spark):
+    edges = bound(
+        spark,
+        a="namespace P; public partial class Both { Part one; void Run() { one.Go(); Other(); } }",
+        b="namespace P; public partial class Both { void Other() { } }",
+        c="namespace Far; public class Part { public void Go() { } }",
+        d="global using Far;",
+    )
+    assert callees(edges) == [("Both", "Other"), ("Part", "Go")]
+
+
+GENERIC = """
+namespace G;
+public interface ISource<T> { T One(); ISource<T> Where(); }
+public abstract class Base<T> : ISource<T> { public T One() { return default; } public ISource<T> Where() { return this; } public T this[int i] { get { return default; } } }
+public class Repo : Base<Order> { public Box<Line> Lines() { return null; } public TOut As<TOut>() { return default; } public Order[] Many() { return null; } }
+public class Box<T> { public T Open() { return default; } public Box<Box<T>> Wrap() { return null; } public T item; }
+public class Box { public Order Open() { return null; } }
+public class Order { public Order Next() { return this; } public void Pay() { } public Task<Line> LineAsync() { return null; } }
+public class Line { public void Print() { } }
+public static class More { public static T Best<T>(this IEnumerable<T> all) { return default; } public static Line Sum(this Order o) { return null; } public static T Same<T>(this T x) { return x; } }
+"""
+
+
+CHAINS = [
+    ("o.Next().Next().Pay();", [("Order", "Next"), ("Order", "Next"), ("Order", "Pay")]),
+    ("repo.One().Pay();", [("Base", "One"), ("Order", "Pay")]),
+    ("var x = repo.Where(); x.One().Pay();", [("Base", "Where"), ("ISource", "One"), ("Order", "Pay")]),
+    ("repo.Lines().Open().Print();", [("Box", "Open"), ("Line", "Print"), ("Repo", "Lines")]),
+    ("repo.Lines().Wrap().Open().item.Print();", [("Box", "Open"), ("Box", "Wrap"), ("Line", "Print"), ("Repo", "Lines")]),
+    ("repo.As<Line>().Print(); repo.As<Box<Order>>().Open().Pay();", [("Box", "Open"), ("Line", "Print"), ("Order", "Pay"), ("Repo", "As"), ("Repo", "As")]),
+    ("new Box<Line>(1, o.Next()).Open().Print(); new Box().Open().Pay();", [("Box", "Open"), ("Box", "Open"), ("Line", "Print"), ("Order", "Next"), ("Order", "Pay")]),
+    ("(await o.LineAsync()).Print(); ((Order)thing).Pay(); (thing as Line)?.Print();", [("Line", "Print"), ("Line", "Print"), ("Order", "LineAsync"), ("Order", "Pay")]),
+    ("foreach (var a in list) { a.Pay(); } foreach (var b in repo.Many()) b.Pay(); list[0].Pay(); repo[1].Pay(); map[\"k\"].Print();", [("Line", "Print")] + [("Order", "Pay")] * 4 + [("Repo", "Many")]),
+    ("list.Best().Sum().Print();", [("Line", "Print"), ("More", "Best"), ("More", "Sum")]),
+    ("if (thing is Order p && p.Next() != null) p.Pay(); Get(out Line l); l.Print();", [("Line", "Print"), ("Order", "Next"), ("Order", "Pay")]),
+    ("var y = flag ? o : null; y.Pay(); var z = o ?? o; z.Pay(); o.Missing().Pay();", [("Order", "Pay")]),
+    ("o\n  .Next() // one\n  ?.Next()!\n  .Pay();", [("Order", "Next"), ("Order", "Next"), ("Order", "Pay")]),
+]
+
+
+def test_csharp_chains_and_generics(spark):
+    use = "namespace G; public class Use{} {{ Repo repo; List<Order> list; Dictionary<string, Line> map; void Run(Order o, object thing, bool flag) {{ {} }} }}"
+    got = bound(spark, lib=GENERIC, **{f"use{i}": use.format(i, body) for i, (body, _) in enumerate(CHAINS)}).filter("caller_method = 'Run'").collect()
+    for i, (body, want) in enumerate(CHAINS):
+        assert sorted((r.callee_class, r.callee_method) for r in got if r.caller_class == f"Use{i}") == want, body
+
+
+def test_csharp_calls_are_ordered_as_in_a_tree_walk(spark):
+    use = "namespace G; public class Use { void Run(Order o, Box<Order> b) { o.Next().Eat(b.Open().Next()).Pay(); o.Pay(); } }"
+    lib = GENERIC.replace("public void Pay() { }", "public void Pay() { } public Order Eat(Order x) { return this; }")
+    rows = sorted((r.seq, r.callee_method) for r in bound(spark, lib=lib, use=use).filter("caller_method = 'Run'").collect())
+    assert [m for _, m in rows] == ["Pay", "Eat", "Next", "Next", "Open", "Pay"]
+
+
+def test_interfaces_lead_to_inherited_implementations(spark):
+    text = """
+namespace I;
+public interface IA<T> { T Do(); }
+public class Impl : IA<Thing> { public Thing Do() { return null; } }
+public class Child : Impl { }
+public abstract class Half : IA<Thing> { public abstract Thing Do(); }
+public class Thing { public void End() { } }
+public class Use { IA<Thing> a; void Run() { a.Do().End(); } }
+namespace Other; public class Impl { public void Do() { } }
+"""
+    edges = bound(spark, a=text.replace("namespace Other; public class Impl { public void Do() { } }", ""), b="namespace Other; public class Impl { public void Do() { } }")
+    assert callees(edges) == [("IA", "Do"), ("Thing", "End")]
+    assert callees(edges, "Do") == [("Impl", "Do")]
+
+
+def test_written_types():
+    from codeloom.operators.extract.csharp import Types
+
+    types = Types({"Acc": "B.Account"}, {"T": "!0"})
+    assert types.write("Dictionary<string, List<T?[]>>?") == "@Dictionary`2;<@string;,@List`1;<@[]`1;<!0>>>"
+    assert types.write("Acc") == "@B.Account;" and types.result("Task<Acc>") == "@B.Account;" and types.write("void") == ""
+    assert arguments("A`2<B`1<C,D>,E>") == ["B`1<C,D>", "E"] and arguments("A") == []
+
+
+def test_long_chains_cost_in_proportion():
+    import time
+
+    def took(n):
+        body = "a" + ".Next(b.Get(1))" * n + ";"
+        began = time.process_time()
+        found = list(csharp_facts("a.cs", f"class A {{ void M(B a, B b) {{ {body} }} }}"))
+        assert sum(f[0] == "cs_call" for f in found) == 2 * n and sum(f[0] == "cs_chain" for f in found) == n + 1
+        return time.process_time() - began
+
+    took(50)
+    assert took(8000) < 14 * max(took(1000), 0.02)
