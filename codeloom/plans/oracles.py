@@ -83,6 +83,8 @@ SQL: dict[str, str] = {
     "flow_trace": f"{_FLOW} SELECT * FROM steps",
     "entry_points": f"WITH {_STAR} SELECT caller_class AS class_name, caller_method AS method_name, min(edge_ord) AS first_ord FROM star WHERE caller_class ILIKE '%controller' GROUP BY 1, 2",
     "edge_dedup": "SELECT 'Supplier' AS caller_class, l_suppkey::VARCHAR AS caller_method, 'Part' AS callee_class, l_partkey::VARCHAR AS callee_method, min(l_orderkey * 10 + l_linenumber)::BIGINT AS edge_ord FROM lineitem GROUP BY l_suppkey, l_partkey",
+    "diagram_text": f"""WITH {_STAR}, {_mermaid('star', 'edge_ord', '1', 'LR', '::')},
+whole AS (SELECT string_split(rtrim(mermaid, chr(10)), chr(10)) AS lines FROM drawn) SELECT unnest(range(1, len(lines) + 1)) AS number, unnest(lines) AS line FROM whole""",
     "call_graph_diagram": f"WITH {_STAR}, {_mermaid('star', 'edge_ord', '1', 'LR', '::')} SELECT mermaid FROM drawn",
     "flow_diagrams": f"{_FLOW}, {_mermaid('steps', 'step_order', 'flow', 'TD', '.')} SELECT g AS entry_method, mermaid FROM drawn",
     "call_sites": r"SELECT page_id, (unnest(range(len(m))))::BIGINT AS pos, unnest(m) AS name FROM (SELECT page_id, regexp_extract_all(html, '(\w+)\s*\(', 1) AS m FROM pages)",
@@ -118,6 +120,12 @@ WITH c AS (SELECT * FROM customer WHERE c_mktsegment = 'BUILDING'), o AS (SELECT
 SELECT 'customer' AS kept, count(*) AS n, sum(c_custkey)::BIGINT AS ids FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM c)
 UNION ALL SELECT 'orders', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM o)
 UNION ALL SELECT 'lineitem', count(*), sum(l_orderkey * 10 + l_linenumber)::BIGINT FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM o)""",
+    "mapping_cascade": """
+WITH r AS (SELECT n_nationkey AS id FROM nation WHERE n_regionkey <> 1), f AS (SELECT s_suppkey AS id FROM supplier WHERE s_nationkey IN (SELECT id FROM r)),
+m AS (SELECT p_partkey AS id FROM part WHERE p_partkey % 25 IN (SELECT id FROM r) AND p_size <= 40),
+x AS (SELECT DISTINCT l_suppkey * 1000000000 + l_partkey AS id FROM lineitem WHERE l_suppkey IN (SELECT id FROM f) AND l_partkey IN (SELECT id FROM m))
+SELECT 'analysis_runs' AS kept, count(*) AS n, sum(id)::BIGINT AS ids FROM r UNION ALL SELECT 'feature_records', count(*), sum(id)::BIGINT FROM f
+UNION ALL SELECT 'method_sources', count(*), sum(id)::BIGINT FROM m UNION ALL SELECT 'feature_method_mappings', count(*), sum(id)::BIGINT FROM x""",
     "replace_by_path": """
 WITH fresh AS (SELECT p_partkey + 1000000 AS id, upper(p_name) AS repository_path FROM part WHERE p_partkey % 7 = 0)
 SELECT p_partkey AS id, p_name AS repository_path FROM part WHERE lower(p_name) NOT IN (SELECT lower(repository_path) FROM fresh) UNION ALL SELECT * FROM fresh""",

@@ -15,6 +15,7 @@ from codeloom.functions import text as T
 from codeloom.operators import dataflow, features, graph, lookup, prompts
 from codeloom.operators.extract import call_graph, dedup_edges, extract_facts
 from codeloom.operators.extract import csharp, csharp_bind
+from codeloom.operators.ranking import numbered
 from codeloom.operators.store import Store, patched, without
 from codeloom.operators.validate import violations
 from codeloom.plans import snippets
@@ -63,6 +64,14 @@ def call_graph_diagram(spark: SparkSession, d: str) -> DataFrame:
     return graph.diagram(star_graph(spark, d), "edge_ord")
 
 
+def diagram_text(spark: SparkSession, d: str) -> DataFrame:
+    """The diagram of the whole graph as written to part files and read back: every line with its number in the text."""
+    path = f"{shared_dir(spark)}/diagram-{uuid.uuid4().hex}"
+    graph.write_diagram(star_graph(spark, d), "edge_ord", path)
+    parts = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), F.col("value").alias("line"))
+    return numbered(parts, [], ["file", "block", "nth"], "number").select("number", "line")
+
+
 def flow_diagrams(spark: SparkSession, d: str) -> DataFrame:
     steps = flow_trace(spark, d).withColumnRenamed("flow", "entry_method").withColumn("entry_class", F.lit("RegionController"))
     return graph.flow_diagrams(steps).select("entry_method", "mermaid")
@@ -223,19 +232,37 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
         "orders": o.select(F.col("o_orderkey").alias("id"), "o_custkey"),
         "lineitem": item.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_orderkey"),
     }
-    parents = {"orders": ("o_custkey", "customer"), "lineitem": ("l_orderkey", "orders")}
-    left = without(tables.__getitem__, "customer", tables["customer"].filter("c_mktsegment = 'BUILDING'"), None, parents)
+    references = [("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders")]
+    left = tables | without(tables.__getitem__, "customer", tables["customer"].filter("c_mktsegment = 'BUILDING'"), references)
     counts = [left[t].agg(F.count("*").alias("n"), F.sum("id").alias("ids")).select(F.lit(t).alias("kept"), "n", F.col("ids").cast("long")) for t in tables]
     return counts[0].union(counts[1]).union(counts[2])
 
 
+def mapping_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Mappings that remain of all pairs in items after some runs and some methods went: they hang on features and on methods.
+
+    Nations are runs, suppliers features, parts methods, an item's pair a mapping; a run takes its features and methods along.
+    """
+    s, p, item = (_read(spark, d, t) for t in ("supplier", "part", "lineitem"))
+    tables = {
+        "analysis_runs": _read(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_regionkey"),
+        "feature_records": s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("long").alias("analysis_run_id")),
+        "method_sources": p.select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 25).alias("analysis_run_id"), "p_size"),
+        "feature_method_mappings": item.select((F.col("l_suppkey") * 1_000_000_000 + F.col("l_partkey")).alias("id"), F.col("l_suppkey").alias("feature_id"), F.col("l_partkey").alias("method_source_id")).distinct(),
+    }
+    tables |= without(tables.get, "analysis_runs", tables["analysis_runs"].filter("n_regionkey = 1"))
+    tables |= without(tables.get, "method_sources", tables["method_sources"].filter("p_size > 40"))
+    counts = [rows.agg(F.count("*").alias("n"), F.sum("id").cast("long").alias("ids")).select(F.lit(t).alias("kept"), "n", "ids") for t, rows in tables.items()]
+    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+
+
 def replace_by_path(spark: SparkSession, d: str) -> DataFrame:
     """Runs after new ones replaced those of the same path in any case."""
     old = _read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("repository_path"))
     new = old.filter("id % 7 = 0").select((F.col("id") + 1_000_000).alias("id"), F.upper("repository_path").alias("repository_path"))
     paths = new.select(F.lower("repository_path").alias("_path")).distinct()
     gone = old.join(paths, F.lower("repository_path") == F.col("_path"), "left_semi")
-    return without({"analysis_runs": old}.__getitem__, "analysis_runs", gone, [], {})["analysis_runs"].unionByName(new)
+    return without({"analysis_runs": old}.__getitem__, "analysis_runs", gone, [])["analysis_runs"].unionByName(new)
 
 
 def request_violations(spark: SparkSession, d: str) -> DataFrame:
@@ -507,11 +534,11 @@ def exports(spark: SparkSession, d: str) -> DataFrame:
     """The files that a call graph is written to, with their contents."""
     nation = _read(spark, d, "nation")
     edges = nation.select(*_edge("Region<1>", F.col("n_regionkey"), "Nation", F.col("n_nationkey"), F.col("n_nationkey")), F.when(F.col("n_nationkey") % 2 == 0, "C# (.NET)").alias("language"))
-    mermaid = graph.diagram(edges, "edge_ord").first()["mermaid"]
+    drawn = cut(graph.ordered_lines(edges, "edge_ord"))
     with tempfile.TemporaryDirectory() as out:  # sinks write where the driver is, and only it reads them
         export.write_json(edges, os.path.join(out, "output_graph.json"))
-        export.write_markdown(mermaid, out)
-        export.write_html(mermaid, out)
+        export.write_markdown(export.lines_of(drawn), out)
+        export.write_html(export.lines_of(drawn), out)
         rows = []
         for name in sorted(os.listdir(out)):
             with open(os.path.join(out, name), encoding="utf-8") as f:
@@ -538,9 +565,9 @@ def analysis_response(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    flow_trace, entry_points, edge_dedup, call_graph_diagram, flow_diagrams, call_sites, link_edges, source_lines, run_page, page_meta, point_lookup,
+    flow_trace, entry_points, edge_dedup, call_graph_diagram, diagram_text, flow_diagrams, call_sites, link_edges, source_lines, run_page, page_meta, point_lookup,
     in_list, flow_summary, flow_detail, step_listing, flow_prompts, example_page, example_choice, class_semi, event_edges, pascal_case, git_urls,
-    files_by_language, feature_map, code_flow, patch_update, cascade_delete, replace_by_path, request_violations, parse_python, parse_java, parse_node,
+    files_by_language, feature_map, code_flow, patch_update, cascade_delete, mapping_cascade, replace_by_path, request_violations, parse_python, parse_java, parse_node,
     parse_csharp, data_flow, interface_calls, csharp_scopes, csharp_chains, method_parameters, feature_prompts, data_flow_diagrams,
     java_rules, python_rules, node_rules, csharp_rules, csharp_methods, parse_report, source_paths, feature_methods, stable_ids, generated_questions,
     store_changes, exports, analysis_response,

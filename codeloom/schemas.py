@@ -37,16 +37,17 @@ TABLES: dict[str, T.StructType] = {
     ),
 }
 
-#: child table -> (column, parent): a parent's rows take their children along when they go.
-PARENTS: dict[str, tuple[str, str]] = {
-    "call_graph_edges": ("analysis_run_id", "analysis_runs"),
-    "method_sources": ("analysis_run_id", "analysis_runs"),
-    "feature_records": ("analysis_run_id", "analysis_runs"),
-    "business_flows": ("analysis_run_id", "analysis_runs"),
-    "data_flow_edges": ("analysis_run_id", "analysis_runs"),
-    "business_flow_steps": ("business_flow_id", "business_flows"),
-    "feature_method_mappings": ("feature_id", "feature_records"),
-}
+#: (child table, column, parent): a parent's rows take their children along when they go, whichever parent goes first.
+REFERENCES: list[tuple[str, str, str]] = [
+    ("call_graph_edges", "analysis_run_id", "analysis_runs"),
+    ("method_sources", "analysis_run_id", "analysis_runs"),
+    ("feature_records", "analysis_run_id", "analysis_runs"),
+    ("business_flows", "analysis_run_id", "analysis_runs"),
+    ("data_flow_edges", "analysis_run_id", "analysis_runs"),
+    ("business_flow_steps", "business_flow_id", "business_flows"),
+    ("feature_method_mappings", "feature_id", "feature_records"),
+    ("feature_method_mappings", "method_source_id", "method_sources"),
+]
 
 SOURCE_FILES = _table(path=need(S), ext=need(S), language=need(S), file_ord=need(L), content=need(S))
 

@@ -80,11 +80,10 @@ class Engine:
             tables |= {"feature_records": records.withColumn("created_at", now), "feature_method_mappings": maps.withColumn("mapped_at", now)}
         self.store.replace_run(run, tables)
         os.makedirs(out, exist_ok=True)
-        first = graph.diagram(edges, "edge_ord").first()
-        mermaid = first["mermaid"] if first else ""
+        drawn = cut(graph.ordered_lines(edges, "edge_ord"))
         export.write_json(edges, os.path.join(out, "output_graph.json"))
-        export.write_markdown(mermaid, out)
-        export.write_html(mermaid, out)
+        export.write_markdown(export.lines_of(drawn), out)
+        export.write_html(export.lines_of(drawn), out)
         shown = [f"{r['path']}: {r['error']}" for r in failed.orderBy("path").limit(ERRORS_SHOWN).collect()]
         n_failed = failed.count()
         return AnalysisResponse("analysis completed", run_id, edges.count(), methods.count(), files.count() - n_failed, n_failed, shown)

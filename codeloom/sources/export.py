@@ -1,10 +1,11 @@
-"""Sinks of a call graph: JSON, Markdown, HTML. Each is one document, so the driver writes it."""
+"""Sinks of a call graph: JSON, Markdown, HTML. Each is one document, which the driver writes as rows come in, line by line."""
 
 from __future__ import annotations
 
 import html
 import json
 import os
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,18 +38,40 @@ def write_json(edges: DataFrame, path: str) -> None:
         f.write("\n  ]\n}\n")
 
 
-def write_markdown(mermaid: str, folder: str) -> None:
-    if mermaid:
-        with open(os.path.join(folder, "call_graph.md"), "w", encoding="utf-8") as f:
-            f.write(f"# Call Graph\n\n```mermaid\n{mermaid}\n```")
+def write_markdown(lines: Iterable[str], folder: str) -> None:
+    """The diagram's lines in a fence; no file without lines."""
+    f = None
+    for line in lines:
+        if f is None:
+            f = open(os.path.join(folder, "call_graph.md"), "w", encoding="utf-8")
+            f.write("# Call Graph\n\n```mermaid\n")
+        f.write(f"{line}\n")
+    if f is not None:
+        f.write("\n```")
+        f.close()
 
 
 def page(body: str) -> str:
     return _PAGE.format(body=body, edges=MAX_EDGES, text=MAX_TEXT)
 
 
-def write_html(mermaid: str, folder: str) -> None:
-    body = f'<pre class="mermaid">{html.escape(mermaid)}</pre>' if mermaid else "<p>No call graph was found.</p>"
-    for name in ("output_graph.html", "call_graph.html"):
-        with open(os.path.join(folder, name), "w", encoding="utf-8") as f:
-            f.write(page(body))
+def write_html(lines: Iterable[str], folder: str) -> None:
+    """The diagram's lines in a page, twice under both names."""
+    mark = "\0"
+    before, after = page(f'<pre class="mermaid">{mark}</pre>').split(mark)
+    names = [os.path.join(folder, name) for name in ("output_graph.html", "call_graph.html")]
+    with open(names[0], "w", encoding="utf-8") as f, open(names[1], "w", encoding="utf-8") as g:
+        none = True
+        for line in lines:
+            text = (before if none else "") + html.escape(line) + "\n"
+            none = False
+            f.write(text)
+            g.write(text)
+        last = page("<p>No call graph was found.</p>") if none else after
+        f.write(last)
+        g.write(last)
+
+
+def lines_of(ordered: DataFrame) -> Iterable[str]:
+    """The lines of a written, ordered diagram: the driver holds one partition at a time."""
+    return (r["line"] for r in ordered.select("line").toLocalIterator())
