@@ -14,6 +14,8 @@ both id and text, one stays; an empty batch adds nothing.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ class DigestIndex:
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.table = "digest_index_" + "".join(c if c.isalnum() else "_" for c in path)[-48:]
+        self.table = "digest_index_" + hashlib.sha256(path.encode()).hexdigest()[:32]
         jvm = spark.sparkContext._jvm
         at, note = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path, "_buckets")
         files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -88,17 +88,17 @@ def spans_of(parts: Column, kind: str) -> Column:
     empty = F.array().cast("array<struct<start:int,end:int,nth:int>>")
     count = F.floor((F.size(parts) + (CHUNK - 1)) / CHUNK).cast("int")
     chunks = F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(parts, k * CHUNK + 1, CHUNK))
-    lengths = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0), lambda n, part: n + F.length(part)))
-
     def step(acc: Column, part: Column) -> Column:
         end = acc["at"] + F.length(part)
         span = F.struct(acc["at"].alias("start"), end.alias("end"), acc["nth"].alias("nth"))
         out = F.when((acc["nth"] % 2 == 1) & confirmed(kind, part), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
         return F.struct(end.alias("at"), (acc["nth"] + 1).alias("nth"), out.alias("out"))
 
-    def spans(chunk: Column, k: Column) -> Column:
-        at = F.aggregate(F.slice(lengths, 1, k), F.lit(0), lambda a, n: a + n)
-        return F.aggregate(chunk, F.struct(at.alias("at"), (k * CHUNK).alias("nth"), empty.alias("out")), step, lambda acc: acc["out"])
+    def chunk_step(done: Column, chunk: Column) -> Column:
+        # a chunk begins where the last one ended, so each piece's length is taken once
+        last = F.element_at(done, -1)
+        begin = F.struct(last["at"].alias("at"), last["nth"].alias("nth"), empty.alias("out"))
+        return F.concat(done, F.array(F.aggregate(chunk, begin, step)))
 
     # every second piece is a match, so twice the window's pieces hold it
     reach = 2 * WINDOW
@@ -109,7 +109,8 @@ def spans_of(parts: Column, kind: str) -> Column:
         after = F.array_join(F.transform(F.slice(parts, s["nth"] + 2, reach), lambda p: F.left(p, F.lit(WINDOW))), "")
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lower(F.right(before, F.lit(WINDOW))).alias("before"), F.lower(F.left(after, F.lit(WINDOW))).alias("after"))
 
-    found = F.transform(F.flatten(F.transform(chunks, spans)), with_context)
+    nothing = F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("nth"), empty.alias("out")))
+    found = F.transform(F.flatten(F.aggregate(chunks, nothing, chunk_step, lambda done: F.transform(done, lambda c: c["out"]))), with_context)
     return F.when(F.size(parts) > 1, found).otherwise(F.array().cast("array<struct<start:int,end:int,before:string,after:string>>"))
 
 
