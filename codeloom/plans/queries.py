@@ -128,6 +128,7 @@ def _flows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def flow_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Flows with the number of their steps; turn 0 opens a conversation and is no step, so a flow of it alone has none."""
     flows, steps = _flows(spark, d)
     return lookup.flow_summaries(flows, steps.filter("step_order > 0")).select("id", "name", "step_count", "has_mermaid_graph", "has_data_flow_graph")
 
