@@ -57,8 +57,9 @@ def op7_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = token_counts.load_model(f"{TOKENIZERS}/piece_bpe_32k.model")
-    return token_counts.count_tokens(read(spark, sf_dir, "documents"), model)
+    """Counts by the best path over the public vocabulary's pieces and scores, read as a unigram vocabulary."""
+    pieces = token_counts.load_pieces(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), pieces)
 
 
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,4 @@
-"""Token counts of a SentencePiece model by its own rules, and of a unigram vocabulary without making its tokens.
-
-A model (``load_model``) may be of any kind; its own encoder counts. Scores of a BPE model are ranks of
-merges, not log probabilities, so no best path over its pieces gives its tokens.
+"""Token counts of a unigram vocabulary without making its tokens.
 
 A unigram vocabulary (``Vocabulary``): an Aho-Corasick automaton over the vocabulary enumerates all pieces that end at each character; dynamic
 programming carries the best score and its number of pieces. Ties go as in the tokenizer: of equal
@@ -14,6 +11,9 @@ character, and it is a piece itself, paths break before each run of it, so segme
 their own and remembered (up to ``REMEMBER``); otherwise whole texts are. This is exact where sums of
 scores are (the vocabularies at hand have whole numbers).
 
+``load_pieces`` reads the pieces and scores of a SentencePiece model. Those of a BPE model are ranks of merges, so its best paths are
+the tokens of the unigram tokenizer with these pieces, not of the model's merges; ``Model`` counts by the model's own encoder.
+
 Defined cases: null and empty texts have no tokens; repeated rows are counted each; a text without
 spaces is one segment, however long.
 """

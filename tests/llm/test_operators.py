@@ -477,15 +477,40 @@ def test_token_counts_of_a_public_vocabulary(spark, odd, empty):
     assert token_counts.count_tokens(empty, plain).count() == 0
 
 
-def test_op8_counts_the_tokens_of_the_model(spark, odd, tmp_path):
-    import sentencepiece
+ODD_TEXTS = ["  a  b ", " ", "▁a▁", "<s> </s><unk>", "a\nb\tc", "Überraschung 漢字", "x" * 3000, "the " * 2000]
+
+
+def odd_documents(spark, odd):
+    return odd.union(spark.createDataFrame([(100 + i, t, *odd_rows()[0][2:]) for i, t in enumerate(ODD_TEXTS)], SCHEMA))
+
 
+def test_op8_equals_a_unigram_tokenizer_of_the_same_pieces(spark, odd, tmp_path):
     from codeloom.llm import queries
 
-    docs = odd.union(spark.createDataFrame([(100 + i, t, *odd_rows()[0][2:]) for i, t in enumerate(["  a  b ", " ", "▁a▁", "<s> </s><unk>", "a\nb\tc", "Überraschung 漢字"])], SCHEMA))
+    docs = odd_documents(spark, odd)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    model = sentencepiece.SentencePieceProcessor(model_file=f"{queries.TOKENIZERS}/piece_bpe_32k.model")
+    tokenizer = unigram(list(token_counts.load_pieces(f"{queries.TOKENIZERS}/piece_bpe_32k.model").pieces), True)
     got = sorted(((r.doc_id, r.n_tokens) for r in queries.op8_token_counts(spark, str(tmp_path)).collect()), key=key)
+    assert got == sorted(((r.doc_id, plain_count(tokenizer, r.text)) for r in docs.collect()), key=key)
+
+
+def test_op8_equals_the_tokenizer_on_whole_test_documents(spark):
+    from codeloom.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    tokenizer = unigram(list(token_counts.load_pieces(f"{queries.TOKENIZERS}/piece_bpe_32k.model").pieces), True)
+    got = {r.doc_id: r.n_tokens for r in queries.op8_token_counts(spark, folder).collect()}
+    assert got == {r.doc_id: plain_count(tokenizer, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+
+
+def test_the_own_encoder_of_a_model_counts(spark, odd):
+    import sentencepiece
+
+    from codeloom.llm import queries
+
+    docs, path = odd_documents(spark, odd), f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = sorted(((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(docs, token_counts.load_model(path)).collect()), key=key)
     assert got == sorted(((r.doc_id, len(model.encode(r.text)) if r.text else 0) for r in docs.collect()), key=key)
 
 
