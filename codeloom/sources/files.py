@@ -1,8 +1,8 @@
 """Source files of a repository as a DataFrame.
 
-Spark's file sources skip names that start with ``_`` or ``.``, so the driver lists the paths. Where tasks share
-the driver's disk they read the contents; on a cluster the driver ships them, a bounded batch at a time,
-to the shared folder. Files are ordered by relative path, which fixes the order of all edges.
+Spark's file sources skip names that start with ``_`` or ``.``, so a data source of ours lists them (``sources/tree.py``), and
+tasks read them. A folder that only the driver sees can be shipped, a bounded batch at a time, through the shared
+folder. Files are ordered by relative path, which fixes the order of all edges.
 """
 
 from __future__ import annotations
@@ -13,10 +13,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.plans.staging import is_local, shared_dir
+from codeloom.operators.ranking import numbered
+from codeloom.plans.staging import shared_dir
+from codeloom.sources import tree
 
 #: Contents that the driver holds at a time when it ships files.
 SHIP_BYTES = 64 << 20
@@ -55,7 +57,8 @@ def source_paths(paths: DataFrame, languages: dict[str, str] | None = None, test
 
 
 def list_paths(root: str) -> Iterator[str]:
-    for folder, _, names in os.walk(root):
+    for folder, below, names in os.walk(root):
+        below[:] = [x for x in below if x.lower() not in SKIPPED]
         for name in names:
             yield os.path.relpath(os.path.join(folder, name), root).replace(os.sep, "/")
 
@@ -64,14 +67,6 @@ def _decode(raw: bytes) -> str:
     return raw.removeprefix(codecs.BOM_UTF8).decode("utf-8", "replace")
 
 
-def _bytes_of(root: str, path: str) -> tuple[bytes | None, str | None]:
-    try:
-        with open(os.path.join(root, path), "rb") as f:
-            return f.read(), None
-    except OSError as e:
-        return None, str(e)
-
-
 def ship(spark: SparkSession, root: str, paths: list[str], batch_bytes: int = SHIP_BYTES) -> DataFrame:
     """(path, raw, error) of the files, written to the shared folder in batches of about ``batch_bytes``."""
     at = f"{shared_dir(spark)}/shipped-{uuid.uuid4().hex}"
@@ -81,7 +76,7 @@ def ship(spark: SparkSession, root: str, paths: list[str], batch_bytes: int = SH
         spark.createDataFrame(rows, schema).write.mode("append").parquet(at)
 
     for path in paths:
-        raw, error = _bytes_of(root, path)
+        raw, error = tree.file_bytes(root, path)
         rows.append((path, raw if raw is None else bytearray(raw), error))
         size += len(raw or b"")
         if size >= batch_bytes:
@@ -92,43 +87,36 @@ def ship(spark: SparkSession, root: str, paths: list[str], batch_bytes: int = SH
     return spark.read.schema(schema).parquet(at)
 
 
-def scan_repository(spark: SparkSession, root: str, languages: dict[str, str] | None = None, absolute_skip: bool = False, shipped: bool | None = None) -> DataFrame:
+def scan_repository(spark: SparkSession, root: str, languages: dict[str, str] | None = None, absolute_skip: bool = False, shipped: bool = False, rev: str | None = None) -> DataFrame:
     """path, ext, language, file_ord, content, error of every source file below ``root``.
 
-    ``absolute_skip`` tests the absolute path for skipped folders instead of the relative one;
-    ``shipped`` (by default, on a cluster) sends the contents through the shared folder.
-    An unreadable file has null content and its error.
+    Tasks list and read the files, so ``root`` is a folder that all executors see; ``shipped`` is for one that only the driver
+    sees. With ``rev``, the files are those of that commit in the git repository ``root`` (bare or not), read from its
+    objects. ``absolute_skip`` tests the absolute path for skipped folders instead of the relative one. An unreadable file has
+    null content and its error.
     """
     root = os.path.abspath(root)
-    paths = spark.createDataFrame([(p,) for p in sorted(list_paths(root))], "path string")
-    known = source_paths(paths, languages, F.concat(F.lit(root + "/"), F.col("path")) if absolute_skip else None)
-    ranked = _ranked(known)
-    schema = "path string, ext string, language string, file_ord long, content string, error string"
-    if shipped or (shipped is None and not is_local(spark)):
-        raw = ship(spark, root, [r["path"] for r in ranked.select("path").collect()])  # a list that came from the driver
-
-        def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                pdf["content"] = [None if x is None else _decode(bytes(x)) for x in pdf["raw"]]
-                yield pdf[["path", "ext", "language", "file_ord", "content", "error"]]
-
-        return ranked.join(raw, "path").mapInPandas(decode, schema)
-
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    tested = F.concat(F.lit(root + "/"), F.col("path")) if absolute_skip else None
+    if shipped:
+        listed = spark.createDataFrame([(p,) for p in sorted(list_paths(root))], "path string")
+        ranked = _ranked(source_paths(listed, languages, tested))
+        raw = ranked.join(ship(spark, root, [r["path"] for r in ranked.select("path").collect()]), "path")  # a list that came from the driver
+    else:
+        known = source_paths(tree.paths(spark, root, SKIPPED, rev), languages, tested)
+        raw = tree.contents(_ranked(known, "size", "oid"), root)
+
+    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            texts, errors = [], []
-            for path in pdf["path"]:
-                raw, error = _bytes_of(root, path)
-                texts.append(None if raw is None else _decode(raw))
-                errors.append(error)
-            yield pdf.assign(content=texts, error=errors)[["path", "ext", "language", "file_ord", "content", "error"]]
+            pdf["content"] = [None if x is None else _decode(bytes(x)) for x in pdf["raw"]]
+            yield pdf[["path", "ext", "language", "file_ord", "content", "error"]]
 
-    return ranked.mapInPandas(load, schema)
+    return raw.mapInPandas(decode, "path string, ext string, language string, file_ord long, content string, error string")
 
 
-def _ranked(files: DataFrame) -> DataFrame:
-    """Add ``file_ord``: the place of the path; the list of paths came from the driver, so it is small."""
-    return files.select("path", "ext", "language", (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("file_ord"))
+def _ranked(files: DataFrame, *more: str) -> DataFrame:
+    """Add ``file_ord``: the place of the path among all, from 0."""
+    own = numbered(files.select("path", "ext", "language", *more), [], ["path"], "file_ord")
+    return own.withColumn("file_ord", F.col("file_ord") - 1)
 
 
 def language_counts(files: DataFrame) -> DataFrame:

@@ -45,6 +45,7 @@ def test_scan(spark, repo):
     assert [r.path for r in rows] == ["Shop.cs", "app/__init__.py", "app/_private.py", "web/OrderController.java", "web/OrderService.JAVA"]
     assert rows[0].content.startswith("namespace")
     assert scan_repository(spark, str(repo), shipped=True).orderBy("file_ord").collect() == rows
+    assert scan_repository(spark, str(repo), absolute_skip=True).count() == 5
     assert files.ship(spark, str(repo), [r.path for r in rows] + ["gone.py"], 10).filter("raw is null").count() == 1
 
 
