@@ -208,6 +208,16 @@ WITH f AS (SELECT p_partkey, ['', 'src/', 'src/Node_Modules/x/', 'Target/', 'obj
 SELECT folder || 'f' || p_partkey || e AS path, lower(e) AS ext,
   CASE lower(e) WHEN '.cs' THEN 'C# (.NET)' WHEN '.java' THEN 'Java (Spring Boot)' WHEN '.py' THEN 'Python (FastAPI)' ELSE 'Node.js (Express)' END AS language
 FROM f WHERE folder IN ('', 'src/', 'objects/') AND e NOT IN ('.txt', '')""",
+    "repository_scan": """
+WITH f AS (SELECT p_partkey, p_name, ['', 'src/', 'src/Node_Modules/x/', 'Target/', 'objects/', 'a/.git/'][p_partkey % 6 + 1] AS folder, ['.cs', '.JAVA', '.py', '.ts', '.txt', '', '.mjs'][p_partkey % 7 + 1] AS e FROM part)
+SELECT folder || 'f' || p_partkey || e AS path,
+  CASE lower(e) WHEN '.cs' THEN 'C# (.NET)' WHEN '.java' THEN 'Java (Spring Boot)' WHEN '.py' THEN 'Python (FastAPI)' ELSE 'Node.js (Express)' END AS language,
+  row_number() OVER (ORDER BY folder || 'f' || p_partkey || e) - 1 AS file_ord, '# ' || coalesce(p_name, '') AS content
+FROM f WHERE folder IN ('', 'src/', 'objects/') AND e NOT IN ('.txt', '')""",
+    "model_ledger": """
+WITH c AS (SELECT c_custkey::VARCHAR AS id, c_custkey % 10 AS k FROM customer)
+SELECT id, CASE WHEN k NOT IN (5, 9) THEN 'answer about ' || id END AS first, CASE k WHEN 5 THEN 'down' WHEN 9 THEN 'refused' END AS error,
+  CASE WHEN k IN (5, 9) THEN 'later about ' ELSE 'answer about ' END || id AS second FROM c""",
     "feature_methods": "SELECT s_suppkey::VARCHAR AS id, s_name AS method_name FROM supplier WHERE s_nationkey = 3 AND s_acctbal > 0",
     "stable_ids": "SELECT s_suppkey, sha256('run' || chr(31) || s_name || chr(31) || CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey::VARCHAR ELSE '' END)[:32] AS id FROM supplier",
     "generated_questions": """

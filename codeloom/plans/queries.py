@@ -15,11 +15,12 @@ from codeloom.functions import text as T
 from codeloom.operators import dataflow, features, graph, lookup, prompts
 from codeloom.operators.extract import call_graph, dedup_edges, extract_facts
 from codeloom.operators.extract import csharp, csharp_bind
+from codeloom.operators.ledger import Ledger
 from codeloom.operators.ranking import numbered
 from codeloom.operators.store import Store, patched, without
 from codeloom.operators.validate import violations
 from codeloom.plans import snippets
-from codeloom.plans.staging import cut, shared_dir
+from codeloom.plans.staging import cut, shared_dir, shared_path
 from codeloom.service import Engine
 from codeloom.sources import export, files as source_files
 from codeloom.sources.files import language_counts
@@ -473,11 +474,14 @@ def parse_report(spark: SparkSession, d: str) -> DataFrame:
 
 def source_paths(spark: SparkSession, d: str) -> DataFrame:
     """Paths made from parts: kept by extension in any case, and if no folder on the way is a skipped one."""
+    return source_files.source_paths(_made_paths(_read(spark, d, "part")).select("path")).select("path", "ext", "language")
+
+
+def _made_paths(parts: DataFrame) -> DataFrame:
     key = F.col("p_partkey")
     folder = F.element_at(F.array(*[F.lit(x) for x in snippets.FOLDERS]), (key % len(snippets.FOLDERS) + 1).cast("int"))
     ext = F.element_at(F.array(*[F.lit(x) for x in snippets.EXTENSIONS]), (key % len(snippets.EXTENSIONS) + 1).cast("int"))
-    paths = _read(spark, d, "part").select(F.concat(folder, F.lit("f"), key, ext).alias("path"))
-    return source_files.source_paths(paths).select("path", "ext", "language")
+    return parts.withColumn("path", F.concat(folder, F.lit("f"), key, ext))
 
 
 def feature_methods(spark: SparkSession, d: str) -> DataFrame:
@@ -507,6 +511,49 @@ def generated_questions(spark: SparkSession, d: str) -> DataFrame:
     return prompts.generate(asked, "id", _answer)
 
 
+def _impatient(prompt: str, temperature: float) -> str:
+    """Stands in for a busy model: some prompts are answered by the second call only, some never, one kind is refused."""
+    if prompt.endswith("3") and prompt not in _BUSY:
+        _BUSY.add(prompt)
+        raise prompts.ModelError(429, "busy")
+    if prompt.endswith("5"):
+        raise prompts.ModelError(503, "down")
+    if prompt.endswith("9"):
+        raise prompts.ModelError(400, "refused")
+    return f"answer {prompt}"
+
+
+_BUSY: set[str] = set()
+
+
+def model_ledger(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of two runs: the second asks only what the first, to a busier model, did not get."""
+    asked = _read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.lit("about "), "c_custkey").alias("prompt"))
+    ledger = Ledger(spark, f"{shared_path(spark)}/ledger-{uuid.uuid4().hex}")
+    first = ledger.ask(asked, "id", _impatient, 0.4, sleep=lambda s: None)
+    ledger.compact()
+    second = ledger.ask(asked, "id", lambda prompt, temperature: f"later {prompt}", 0.4)
+    return first.select("id", F.col("answer").alias("first"), "error").join(second.select("id", F.col("answer").alias("second")), "id")
+
+
+def repository_scan(spark: SparkSession, d: str) -> DataFrame:
+    """A repository that tasks write, list and read: its source files in order, with their text."""
+    root = f"{shared_path(spark)}/repository-{uuid.uuid4().hex}"
+
+    def write(batches):
+        for pdf in batches:
+            for path, text in zip(pdf["path"], pdf["text"], strict=True):
+                at = os.path.join(root, path)
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "w", encoding="utf-8") as f:
+                    f.write(text)
+            yield pdf[["path"]]
+
+    made = _made_paths(_read(spark, d, "part")).select("path", F.concat(F.lit("# "), F.coalesce("p_name", F.lit(""))).alias("text"))
+    cut(made.mapInPandas(write, "path string"))
+    return source_files.scan_repository(spark, root).select("path", "language", "file_ord", "content")
+
+
 def store_changes(spark: SparkSession, d: str) -> DataFrame:
     """A store after inserts, a patch, a delete with all that is below, and a run put in place of an old one."""
     store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
@@ -571,7 +618,7 @@ QUERIES = [
     files_by_language, feature_map, code_flow, patch_update, cascade_delete, mapping_cascade, replace_by_path, request_violations, parse_python, parse_java, parse_node,
     parse_csharp, data_flow, interface_calls, csharp_scopes, csharp_chains, method_parameters, feature_prompts, data_flow_diagrams,
     java_rules, python_rules, node_rules, csharp_rules, csharp_methods, parse_report, source_paths, feature_methods, stable_ids, generated_questions,
-    store_changes, exports, analysis_response,
+    store_changes, exports, analysis_response, repository_scan, model_ledger,
 ]
 
 

@@ -24,6 +24,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession) -> str | None:
+    """The shared folder as a path for plain file calls of the driver and of tasks; none if it is no mounted folder."""
+    at = shared_dir(spark)
+    if at.startswith("file:"):
+        return "/" + at.removeprefix("file:").lstrip("/")
+    return None if ":" in at.split("/", 1)[0] else at
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed and written to the shared folder."""
     shared_dir(df.sparkSession)

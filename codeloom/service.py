@@ -13,13 +13,14 @@ from codeloom.errors import BadRequest, NotFound, Unprocessable
 from codeloom.functions.text import stable_id
 from codeloom.operators import dataflow, features, graph, lookup, prompts
 from codeloom.operators.extract import call_graph
+from codeloom.operators.ledger import Ledger
 from codeloom.operators.store import Store
 from codeloom.operators.validate import violations
-from codeloom.plans.staging import cut
+from codeloom.plans.staging import cut, is_local, shared_path
 from codeloom.schemas import TABLES
 from codeloom.sources import export
 from codeloom.sources.files import scan_repository
-from codeloom.sources.git import local_repository
+from codeloom.sources.git import is_git_url, local_repository
 
 
 #: Errors that a response lists.
@@ -38,20 +39,24 @@ class AnalysisResponse:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, client=prompts.offline_client):
-        self.spark, self.store, self.client = spark, Store(spark, root), client
+    """``shipped``: repositories lie in folders that only the driver sees. ``ledger``: a folder that all see, for a model's answers."""
+
+    def __init__(self, spark: SparkSession, root: str, client=prompts.offline_client, shipped: bool = False, ledger: str | None = None):
+        self.spark, self.store, self.client, self.shipped = spark, Store(spark, root), client, shipped
+        self.ledger = Ledger(spark, ledger) if ledger else None
 
     # -- analysis ---------------------------------------------------------
     def analyze(self, repository_path: str, out: str = "./output", **run_fields) -> AnalysisResponse:
         """Scan, extract, trace, map and store a repository; write its exports to ``out``."""
         if not repository_path or not repository_path.strip():
             raise BadRequest("a repository path is required")
-        with local_repository(repository_path) as folder:
+        with local_repository(repository_path, shared_path(self.spark)) as folder:
             return self._analyze(repository_path.strip().strip('"').strip(), folder, out, run_fields)
 
     def _analyze(self, named: str, folder: str, out: str, run_fields: dict) -> AnalysisResponse:
         now = F.lit(datetime.now(UTC))
-        files = cut(scan_repository(self.spark, folder))
+        apart = is_git_url(named) and shared_path(self.spark) is None and not is_local(self.spark)  # cloned where only the driver sees it
+        files = cut(scan_repository(self.spark, folder, shipped=self.shipped or apart))
         edges, methods, failed = call_graph(files)
         edges, methods, failed = cut(edges), cut(methods), cut(failed)
         run = self.spark.createDataFrame([(named, *run_fields.values())], "repository_path string" + "".join(f", {k} {TABLES['analysis_runs'][k].dataType.simpleString()}" for k in run_fields))
@@ -156,7 +161,7 @@ class Engine:
         if lookup.methods_of_feature(feature_id, maps, methods).isEmpty():
             raise Unprocessable("no method is mapped to the feature")
         context = prompts.feature_context(feature_id, self.store.table("feature_records"), maps, methods, self.store.table("call_graph_edges"))
-        return prompts.generate(prompts.feature_prompt(context, count, difficulty, focus), "feature_id", self.client, 0.3)
+        return self._questions(prompts.feature_prompt(context, count, difficulty, focus), "feature_id", 0.3)
 
     def questions_from_flow(self, flow_id: str, count: int, difficulty: str, example_ids: list[str] | None = None, extra: str | None = None) -> DataFrame:
         if count <= 0:
@@ -167,7 +172,12 @@ class Engine:
         examples = prompts.choose_examples(self.store.table("few_shot_examples"), example_ids, difficulty)
         steps = self.store.table("business_flow_steps").filter(F.col("business_flow_id") == flow_id)
         own = cut(prompts.flow_prompt(flows, steps, examples, count, difficulty, extra))
-        return prompts.generate(own, "id", self.client, 0.4).join(own.select("id", "total_steps", "few_shot_used"), "id")
+        return self._questions(own, "id", 0.4).join(own.select("id", "total_steps", "few_shot_used"), "id")
+
+    def _questions(self, asked: DataFrame, id_col: str, temperature: float) -> DataFrame:
+        if self.ledger is None:
+            return prompts.generate(asked, id_col, self.client, temperature)
+        return prompts.questions(self.ledger.ask(asked, id_col, self.client, temperature), id_col)
 
     # -- shared -----------------------------------------------------------
     def _required(self, table: str, row_id: str):

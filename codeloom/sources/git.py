@@ -50,13 +50,13 @@ def remove(path: str) -> None:
 
 
 @contextmanager
-def local_repository(path: str):
-    """A local folder for a path or git url; a clone is removed afterwards."""
+def local_repository(path: str, below: str | None = None):
+    """A folder for a path or git url; a clone goes to the folder ``below``, which tasks see, and is removed afterwards."""
     path = path.strip().strip('"').strip()
     if not path:
         raise BadRequest("a repository path is required")
     if is_git_url(path):
-        at = clone(path)
+        at = clone(path, below or "temp_repos")
         try:
             yield at
         finally:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Folders among which the listing is divided.
+#: Folders among which the listing is divided; they are dealt over four tasks a core.
 SUBTREES = 256
 #: Paths of a batch of the listing, bytes of a batch of contents, and of a task that reads them.
 BATCH_PATHS, BATCH_BYTES, TASK_BYTES = 10_000, 16 << 20, 128 << 20
@@ -54,8 +54,8 @@ def _batches(rows: Iterator[tuple[str, int | None, str | None]]) -> Iterator[pa.
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, root: str, skipped: frozenset[str]):
-        self.root, self.skipped = root, skipped
+    def __init__(self, root: str, skipped: frozenset[str], tasks: int):
+        self.root, self.skipped, self.tasks = root, skipped, tasks
 
     def entered(self, name: str) -> bool:
         return name.lower() not in self.skipped
@@ -72,8 +72,7 @@ class _Reader(DataSourceReader):
         while level and len(level) < SUBTREES:
             whole += level
             level = [own for at in level for own in self.folders(at)]
-        parts = [Subtree((at,), True) for at in level]
-        return parts + [Subtree(tuple(whole[i::SUBTREES]), False) for i in range(min(SUBTREES, len(whole)))]
+        return [Subtree(tuple(own[i :: self.tasks]), below) for own, below in ((level, True), (whole, False)) for i in range(min(self.tasks, len(own)))]
 
     def read(self, partition: Subtree) -> Iterator[pa.RecordBatch]:
         return _batches(row for at in partition.folders for row in self.files(at, partition.below))
@@ -106,8 +105,8 @@ def _git(root: str, *args: str, **more) -> bytes:
 
 
 class _GitReader(_Reader):
-    def __init__(self, root: str, rev: str, skipped: frozenset[str]):
-        super().__init__(root, skipped)
+    def __init__(self, root: str, rev: str, skipped: frozenset[str], tasks: int):
+        super().__init__(root, skipped, tasks)
         self.rev = rev
 
     def _entries(self, at: str) -> Iterator[tuple[str, str, str, str, str]]:
@@ -142,14 +141,14 @@ class TreeSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         skipped = frozenset(x for x in self.options.get("skipped", "").split("|") if x)
-        rev = self.options.get("rev")
-        return _GitReader(self.options["root"], rev, skipped) if rev else _FolderReader(self.options["root"], skipped)
+        root, rev, tasks = self.options["root"], self.options.get("rev"), int(self.options.get("tasks", "1"))
+        return _GitReader(root, rev, skipped, tasks) if rev else _FolderReader(root, skipped, tasks)
 
 
 def paths(spark: SparkSession, root: str, skipped: list[str], rev: str | None = None) -> DataFrame:
     """path, size, oid of every file below ``root`` but for skipped folders (any case)."""
     spark.dataSource.register(TreeSource)
-    read = spark.read.format("codeloom_tree").option("root", root).option("skipped", "|".join(skipped))
+    read = spark.read.format("codeloom_tree").option("root", root).option("skipped", "|".join(skipped)).option("tasks", str(4 * spark.sparkContext.defaultParallelism))
     if rev:  # one commit for all tasks, also if a branch moves
         read = read.option("rev", _git(root, "rev-parse", "--verify", f"{rev}^{{commit}}").decode().strip())
     return read.load()

@@ -41,8 +41,8 @@ def rows(df):
 def test_any_division_gives_the_same_files(spark, folder, subtrees, monkeypatch):
     monkeypatch.setattr(tree, "SUBTREES", subtrees)
     monkeypatch.setattr(tree, "BATCH_PATHS", 7)
-    parts = tree._FolderReader(str(folder), frozenset(SKIPPED)).partitions()
-    reader = tree._FolderReader(str(folder), frozenset(SKIPPED))
+    parts = tree._FolderReader(str(folder), frozenset(SKIPPED), 3).partitions()
+    reader = tree._FolderReader(str(folder), frozenset(SKIPPED), 3)
     got = sorted(p for part in parts for batch in reader.read(part) for p in batch.column(0).to_pylist())
     assert got == sorted(p for p in (os.path.relpath(os.path.join(a, n), folder) for a, _, names in os.walk(folder) for n in names) if "ode_" not in p)
     assert not any("ode_" in f for part in parts for f in part.folders)
