@@ -72,7 +72,7 @@ def test_flows(engine):
         engine.flow("nothing")
 
 
-def test_features_and_questions(engine):
+def test_features_and_questions(engine, spark, tmp_path):
     by_name = {r.feature_name: r.id for r in engine.features().collect()}
     assert [m.method_name for m in engine.code_flow(by_name["orders"]).methods] == ["list", "findAll"]
     assert engine.code_flow(by_name["none"]).methods == []
@@ -85,6 +85,11 @@ def test_features_and_questions(engine):
     assert (row.total_steps, row.few_shot_used) == (2, 0)
     with pytest.raises(BadRequest):
         engine.questions_from_flow(flow.id, 0, "hard")
+    kept = Engine(spark, engine.store.root, engine.client, ledger=str(tmp_path / "ledger"))
+    want = engine.questions_from_flow(flow.id, 3, "hard").collect()
+    assert kept.questions_from_flow(flow.id, 3, "hard").collect() == want
+    kept.client = None  # not called again
+    assert kept.questions_from_flow(flow.id, 3, "hard").collect() == want
 
 
 def test_a_second_analysis_replaces_the_first(engine, repo, tmp_path):
