@@ -702,3 +702,17 @@ def test_trie_walks_a_shorter_set_after_skipped_ones():
     assert [len(s) for s in sets] == [120, 120, 100]
     trie = ngram_join.Trie(sets)
     assert [trie.order[p] for p in trie.probe(x, 75)] == [2]
+
+
+@pytest.mark.parametrize("hashes", [0, 500_000])
+def test_near_copies_send_no_growing_table_whole(spark, odd, monkeypatch, hashes):
+    def result():
+        groups = sorted(map(str, ngram_join.NgramJoin(odd).groups().collect()))
+        return groups, sorted(map(str, ngram_join.one_of_each(odd).collect()))
+
+    plain, sent, broadcast = result(), [], ngram_join.F.broadcast
+    monkeypatch.setattr(ngram_join.F, "broadcast", lambda df: (sent.append(df.count()), broadcast(df))[1])
+    monkeypatch.setattr(ngram_join, "SEND_TABLE", 2, raising=False)
+    monkeypatch.setattr(ngram_join, "SEND_ROWS", hashes)
+    assert result() == plain
+    assert max(sent, default=0) <= 2
