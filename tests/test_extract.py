@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 
+from codeloom.operators import extract
 from codeloom.operators.extract import PARSERS, call_graph, extract_facts
 from codeloom.operators.extract.base import scan
 from codeloom.operators.extract.csharp import NAME as CSHARP
@@ -330,3 +332,22 @@ def test_long_chains_cost_in_proportion():
 
     took(50)
     assert took(8000) < 14 * max(took(1000), 0.02)
+
+
+def test_facts_are_handed_on_in_slices(monkeypatch):
+    monkeypatch.setattr(extract, "SLICE", 6)
+    text = "export class A {\n  load(id) {\n    store.fetch(id);\n  }\n}\n"
+    files = pd.DataFrame({"path": [f"f{i}.js" for i in range(40)], "language": NODE.name, "file_ord": range(40), "content": text})
+    each = len(list(scan(NODE, "f0.js", text)))
+    frames = list(extract._in_slices(dict(PARSERS))([files]))
+    assert max(len(f) for f in frames) < 6 + each and len(frames) > 5
+    assert sum(len(f) for f in frames) == 40 * each and pd.concat(frames)["path"].nunique() == 40
+
+
+def test_binding_sends_no_table_whole(spark):
+    """Estimates of facts are far too low to choose a broadcast by."""
+    text = "namespace S { public interface I { void Go(); } public class A : I { public void Go() { } } public class B { I _i; public void Run() { _i.Go(); } } }"
+    files = spark.createDataFrame([("a.cs", CSHARP, 0, text)], "path string, language string, file_ord long, content string")
+    edges = resolve(extract_facts(files))
+    assert {(r.caller_class, r.callee_class) for r in edges.collect()} == {("B", "I"), ("I", "A")}
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
