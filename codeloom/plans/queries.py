@@ -347,7 +347,7 @@ def interface_calls(spark: SparkSession, d: str) -> DataFrame:
         "'public class Customer', k, ' { private readonly IStore', k, ' _s; public void Load() { _s.Fetch(); } } }')"
     )
     files = c.select(F.concat("k", F.lit(".cs")).alias("path"), F.lit(csharp.NAME).alias("language"), "file_ord", text.alias("content"))
-    return csharp_bind.resolve(cut(extract_facts(files))).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
+    return csharp_bind.resolve(cut(extract_facts(_dealt(files)))).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
 
 
 def csharp_scopes(spark: SparkSession, d: str) -> DataFrame:
@@ -373,7 +373,7 @@ def csharp_scopes(spark: SparkSession, d: str) -> DataFrame:
     text = F.element_at(F.array(*texts), (F.col("c_custkey") % len(ways) + 1).cast("int"))
     files = _read(spark, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("path"), (F.col("c_custkey") + 100).alias("file_ord"), text.alias("content"))
     files = nation.unionByName(files).withColumn("language", F.lit(csharp.NAME))
-    return csharp_bind.resolve(cut(extract_facts(files))).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
+    return csharp_bind.resolve(cut(extract_facts(_dealt(files)))).select("file_ord", "caller_class", "caller_method", "callee_class", "callee_method")
 
 
 def csharp_chains(spark: SparkSession, d: str) -> DataFrame:
@@ -430,7 +430,7 @@ def _snippet_facts(spark: SparkSession, d: str, language: str, path: str, text:
     key = F.col("s_suppkey").cast("string")
     own = lambda t: F.replace(F.lit(t), F.lit("{k}"), key)
     files = _read(spark, d, "supplier").select(own(path).alias("path"), F.lit(language).alias("language"), F.col("s_suppkey").alias("file_ord"), own(text).alias("content"))
-    return extract_facts(files)
+    return extract_facts(_dealt(files))
 
 
 def _edges_and_methods(facts: DataFrame) -> DataFrame:
