@@ -12,9 +12,13 @@ suffix's distribution to longer ones.
 Distribution. All places of all documents go, packed, to the part of their nearest word, so a part holds
 whole subtrees: it counts the training places, retains contexts and scores the places of all documents,
 of which only sums return. The tree is never gathered or sent, has no bound but the corpus, and grows
-with it. A word with more than ``PART`` places is split: its contexts of one word are then those of the
-word after one of as many classes of words before it (a hash), each in a part of its own. Equal places
-of a document travel as one.
+with it. Equal places of a document travel as one.
+
+Split words. The places of a word with more than ``CLASS`` training places are dealt by classes of the word before
+it (a hash), each in a part of its own, which changes no result: contexts of two words are whole in a class, and what the
+context of the one word needs is counted over all its classes. Tasks send the distinct (split word, next word) of a batch, with the
+parts that hold them, to the pair's home, which counts it and sends the count to these parts; gains are summed
+by word, so the weight of a split word's context is known to all tasks.
 
 Counts of whole words are exact. Words that make up ``P_WORD`` of all words (at most 1 / P_WORD of them) are
 sent to all tasks; all other words of a document are joined with their counts in a shuffle. For those a
@@ -44,7 +48,7 @@ from codeloom.llm.textscan import mix, pieces, words_of
 DIVERGENCE = 3.0
 WEIGHTS = (0.5, 2.0, 8.0, 32.0, 128.0, 512.0, 2048.0, 8192.0)
 P_WORD = 2e-7
-#: Training places of a word from which its contexts are split, and places of a part on average.
+#: Training places of a word from which its places are split, and places of a part on average.
 CLASS, PART = 1 << 17, 1 << 19
 #: Most parts, so that a batch's share of one is worth a row; beyond them parts grow, and so must executors.
 PARTS = 1 << 16
@@ -103,6 +107,7 @@ class Words:
     n: int  #: training tokens
     v: int  #: distinct ones
     most: float  #: no other word is more frequent
+    weight: np.ndarray | None = None  #: of the one-word contexts of split words, by code
 
     def __post_init__(self):
         by_count = np.argsort(-self.count[1:], kind="stable")  # low codes for frequent words pack well
@@ -119,6 +124,17 @@ class Words:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.code[at], np.uint32(RARE))
 
+    def split(self, code: np.ndarray) -> np.ndarray:
+        return np.where(code == RARE, False, self.classes[np.minimum(code, len(self.classes) - 1)] > 1)
+
+    def p_of(self, ids: np.ndarray) -> np.ndarray:
+        """Probabilities of words by id, for those that are not frequent the largest that they can have."""
+        rare = ids >> np.uint64(63) > 0
+        return np.where(rare, self.p_most, self.p[np.where(rare, 0, ids).astype(np.int64)])
+
+    def part_of(self, near_ids: np.ndarray, nearest: np.ndarray, before_ids: np.ndarray, parts: int) -> np.ndarray:
+        return mix(near_ids + self.class_of(nearest, before_ids) * _K) % np.uint64(parts)
+
     def class_of(self, code: np.ndarray, before: np.ndarray) -> np.ndarray:
         """Class of the word before (by id), for words that are split."""
         classes = np.where(code == RARE, np.uint64(1), self.classes[np.minimum(code, len(self.classes) - 1)])
@@ -130,6 +146,25 @@ def _ids(code: np.ndarray, h: np.ndarray) -> np.ndarray:
     return np.where(code == RARE, h | np.uint64(1 << 63), code.astype(np.uint64))
 
 
+def _places(words: Words, n: np.ndarray, h: np.ndarray):
+    """doc, spot of each word, and of each place the word's code and id, the nearest word's, and the id of the one before."""
+    spot = np.arange(len(h)) + np.repeat(np.arange(len(n)), n)
+    code = np.full(len(h) + len(n), END, np.uint32)
+    hashes = np.zeros(len(code), np.uint64)
+    code[spot], hashes[spot] = words.codes(h), h
+    doc = np.repeat(np.arange(len(n)), n + 1)
+    ids = _ids(code, hashes)
+    nearest, near_ids, before, before_ids = np.full_like(code, START), np.zeros_like(ids), np.full_like(code, START), np.zeros_like(ids)
+    for k, c, i in ((1, nearest, near_ids), (2, before, before_ids)):
+        same = np.flatnonzero(doc[k:] == doc[:-k]) + k
+        c[same], i[same] = code[same - k], ids[same - k]
+    return doc, spot, code, ids, nearest, near_ids, before_ids
+
+
+def _pair_key(near: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(word + mix(near + _K))
+
+
 def _bytes(*columns: np.ndarray) -> bytes:
     """Columns byte by byte, which compresses well."""
     flat = b"".join(np.ascontiguousarray(c.view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
@@ -160,9 +195,9 @@ def _column(flat: np.ndarray, at: int, n: int, kind) -> tuple[np.ndarray, int]:
 
 
 #: ``n``, ``raw`` and ``places`` are of a part's places; the other columns of a batch's documents, in one row for each batch.
-SENT = "part long, batch long, n long, raw long, places binary, ids array<long>, no_id array<boolean>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, rest_doc array<int>, rest_key array<long>, rest_times array<int>"
+SENT = "part long, batch long, n long, raw long, places binary, ids array<long>, no_id array<boolean>, held array<boolean>, tokens array<long>, known array<long>, base array<double>, rest_doc array<int>, rest_key array<long>, rest_times array<int>, counts binary"
 _NAMES = [c.split()[0] for c in SENT.split(", ")]
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
 
 
 def _send_places(sent, parts: int):
@@ -179,19 +214,10 @@ def _send_places(sent, parts: int):
             n = np.concatenate([x[3] for x in held])
             h = np.concatenate([x[4] for x in held])
             row = np.repeat(np.arange(len(n)), n)
-            spot = np.arange(len(h)) + row
-            code = np.full(len(h) + len(n), END, np.uint32)
-            hashes = np.zeros(len(code), np.uint64)
-            code[spot], hashes[spot] = words.codes(h), h
-            doc = np.repeat(np.arange(len(n)), n + 1)
-            ids = _ids(code, hashes)
-            nearest, near_ids, before, before_ids = np.full_like(code, START), np.zeros_like(ids), np.full_like(code, START), np.zeros_like(ids)
-            for k, c, i in ((1, nearest, near_ids), (2, before, before_ids)):
-                same = np.flatnonzero(doc[k:] == doc[:-k]) + k
-                c[same], i[same] = code[same - k], ids[same - k]
+            doc, spot, code, ids, nearest, near_ids, before_ids = _places(words, n, h)
             learn = np.concatenate([x[2] for x in held])
             tag = (doc | np.where(learn, TRAINS, 0)[doc]).astype(np.uint16)
-            part = mix(near_ids + words.class_of(nearest, before_ids) * _K) % np.uint64(parts)
+            part = words.part_of(near_ids, nearest, before_ids, parts)
             # by part, nearest word, word and document: equal places meet, and columns pack well
             bits = lambda x, n, at: (mix(x) >> np.uint64(64 - n)) << np.uint64(at)
             at = np.argsort((part << np.uint64(48)) | bits(near_ids, 12, 36) | bits(ids, 14, 22) | (doc.astype(np.uint64) << np.uint64(7)) | bits(before_ids, 7, 0))
@@ -209,7 +235,7 @@ def _send_places(sent, parts: int):
                 rare = [k[a:b][c[a:b] == RARE] for k, c in zip(key, codes, strict=True)]
                 columns = [*(c[a:b] for c in codes), tag[a:b], times[a:b], *rare]
                 raw = sum(c.nbytes for c in columns)
-                rows.append((p, batch, b - a, raw, _bytes(*columns), *[None] * 9))
+                rows.append((p, batch, b - a, raw, _bytes(*columns), *[None] * 10))
             hit = code[spot] != RARE
             rest_row, rest_h = row[~hit], h[~hit]
             order = np.lexsort((rest_h, rest_row))
@@ -220,7 +246,7 @@ def _send_places(sent, parts: int):
             doc_ids = [i for x in held for i in x[0]]
             rows.append((
                 (task + made) % parts, batch, None, None, None, [i or 0 for i in doc_ids], [i is None for i in doc_ids], [i for x in held for i in x[1]], (n + 1).tolist(), known.tolist(), total.tolist(),
-                rest_row[lead].tolist(), rest_h[lead].view(np.int64).tolist(), np.diff(np.append(lead, len(order))).tolist(),
+                rest_row[lead].tolist(), rest_h[lead].view(np.int64).tolist(), np.diff(np.append(lead, len(order))).tolist(), None,
             ))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], _NAMES)
 
@@ -245,6 +271,101 @@ def _send_places(sent, parts: int):
     return run
 
 
+#: Distinct (split word, next word) of a batch and a part, with their training places; a part's counts of such pairs.
+PAIR = [("part", np.uint16), ("near", np.uint32), ("word", np.uint64), ("n", np.uint32)]
+COUNT = [("near", np.uint32), ("word", np.uint64), ("c", np.int64)]
+COUNTED = "part long, counts binary, near array<long>, gains array<array<double>>"
+
+
+def _send_pairs(sent, parts: int, homes: int):
+    """Pairs of split words and their next words by home, for each part that holds any of their places."""
+
+    def run(batches):
+        words: Words = sent.value
+        for batch in batches:
+            for piece in pieces(batch):
+                found = words_of(piece.column(2))
+                learn = ~np.array(piece.column(1).to_pylist(), bool)
+                n = np.diff(found.first)
+                doc, _, _, ids, nearest, near_ids, before_ids = _places(words, n, found.hash[found.first[0] : found.first[-1]])
+                at = np.flatnonzero(words.split(nearest))
+                if not len(at):
+                    continue
+                near, word, learned = near_ids[at], ids[at], learn[doc[at]]
+                part = words.part_of(near, nearest[at], before_ids[at], parts)
+                home = _pair_key(near, word) % np.uint64(homes)
+                order = np.lexsort((word, (part << np.uint64(32)) | near, home))
+                home, part, near, word, learned = (x[order] for x in (home, part, near, word, learned))
+                new = np.ones(len(home), bool)
+                new[1:] = (part[1:] != part[:-1]) | (near[1:] != near[:-1]) | (word[1:] != word[:-1])
+                first = np.flatnonzero(new)
+                count = np.add.reduceat(learned.astype(np.int64), first)
+                own, start = np.unique(home[first], return_index=True)
+                end = np.append(start, len(first))[1:]
+                blobs = [_packed(PAIR, part[first[a:b]], near[first[a:b]], word[first[a:b]], count[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(blobs, pa.binary())], ["home", "pairs"])
+
+    return run
+
+
+def _count_pairs(sent):
+    """Counts of one home's pairs for the parts that hold them, and the gains of its pairs by split word and weight."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        words: Words = sent.value
+        opened = [_opened(PAIR, x) for x in pdf["pairs"]]
+        part, near, word, n = (np.concatenate([x[name] for x in opened]) for name, _ in PAIR)
+        order = np.lexsort((part, word, near))
+        part, near, word, n = part[order], near[order], word[order], n[order].astype(np.int64)
+        new = np.ones(len(near), bool)
+        new[1:] = (near[1:] != near[:-1]) | (word[1:] != word[:-1])
+        pair, c = np.cumsum(new) - 1, np.add.reduceat(n, np.flatnonzero(new))
+        once = np.ones(len(near), bool)
+        once[1:] = new[1:] | (part[1:] != part[:-1])
+        at = np.flatnonzero(once & (c[pair] > 0))
+        at = at[np.argsort(part[at], kind="stable")]
+        own, start = np.unique(part[at], return_index=True)
+        out = []
+        for p, a, b in zip(own.tolist(), start.tolist(), np.append(start, len(at))[1:].tolist(), strict=True):
+            x = at[a:b]
+            out.append((p, _packed(COUNT, near[x], word[x], c[pair[x]]), None, None))
+        first = np.flatnonzero(new)[c > 0]
+        c, split, group = c[c > 0].astype(float), *np.unique(near[first], return_inverse=True)
+        p = words.p_of(word[first])
+        total = [np.bincount(group, weights=c * np.log((c - 1 + w * p) / ((words.count[split].astype(float)[group] - 1 + w) * p)), minlength=len(split)) for w in WEIGHTS]
+        out.append((None, None, split.astype(np.int64), np.stack(total, axis=1).tolist()))
+        return pd.DataFrame(out, columns=["part", "counts", "near", "gains"])
+
+    return run
+
+
+def _weights(words: Words, near: np.ndarray, gains: list[np.ndarray]) -> np.ndarray:
+    """The weights of split words' contexts by code, as :func:`retain` chooses them."""
+    best, weight = np.full(len(near), DIVERGENCE), np.zeros(len(near))
+    for w, total in zip(WEIGHTS, gains, strict=True):
+        better = total >= best
+        best[better], weight[better] = total[better], w
+    out = np.zeros(len(words.count))
+    out[near] = weight
+    return out
+
+
+def _after_split(words: Words, near_code: np.ndarray, near: np.ndarray, word: np.ndarray, blobs) -> tuple[np.ndarray, np.ndarray]:
+    """a and b of places after split words, whose pairs' counts are given."""
+    opened = [_opened(COUNT, x) for x in blobs]
+    known, word_of, count = (np.concatenate([np.zeros(0, kind), *[x[name] for x in opened]]) for name, kind in COUNT)
+    c = np.zeros(len(near))
+    if len(known):
+        key = _pair_key(known.astype(np.uint64), word_of)
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+        wanted = _pair_key(near, word)
+        at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        c = np.where(key[at] == wanted, count[at], 0).astype(float)
+    w, n = words.weight[near_code], words.count[near_code].astype(float)
+    return np.where(w > 0, c / np.where(w > 0, n + w, 1), 0.0), np.where(w > 0, w / np.where(w > 0, n + w, 1), 1.0)
+
+
 def retain(group: np.ndarray, n: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
     """The weight of each context towards its suffix, 0 if it is not retained.
 
@@ -287,7 +408,7 @@ def _score_part(sent):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         words: Words = sent.value
-        heads = pdf[pdf["places"].isna()]
+        heads = pdf[pdf["places"].isna() & pdf["counts"].isna()]
         names = [c.split()[0] for c in RETURNED.split(", ")]
         none = dict.fromkeys(names)
         out = [{**none, **dict(zip(_NAMES, r, strict=True))} for r in heads.itertuples(index=False, name=None)]
@@ -314,12 +435,15 @@ def _score_part(sent):
             learned = np.where(tag & TRAINS, times, 0).astype(float)
             symbols, symbol = np.unique(word, return_inverse=True)
             rare = symbols >> np.uint64(63) > 0
-            p = np.where(rare, words.p_most, words.p[np.where(rare, 0, symbols).astype(np.int64)])[symbol]
+            p = words.p_of(symbols)[symbol]
             _, one = np.unique(mix(nearest + words.class_of(near_code, before) * _K), return_inverse=True)
             _, two = np.unique(mix(before + mix(nearest + _K)), return_inverse=True)
             a, b = np.zeros(len(word)), np.ones(len(word))
+            split = np.flatnonzero(words.split(near_code))
             for context in (one, two):
                 a, b = _deeper(context, symbol, len(symbols), learned, a, b, p)
+                if context is one and len(split):
+                    a[split], b[split] = _after_split(words, near_code[split], nearest[split], word[split], pdf["counts"].dropna())
             unknown = rare[symbol]
             open_ = unknown & (a > 0)
             gain = np.where(open_, 0.0, np.log10(np.where(unknown, b, a / p + b))) * times
@@ -378,16 +502,28 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     c_end = end["n"] if end else 0
     often = words.filter((F.col("everywhere") >= P_WORD * everywhere) & (F.col("key") != int(END_WORD))).select("key", "n").toArrow()  # at most 1 / P_WORD
     key, count = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
-    sent = spark.sparkContext.broadcast(Words(key, np.concatenate(([c_end], count)), n, v, P_WORD * everywhere))
-    parts = min(PARTS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-everywhere // PART)))
+    known = Words(key, np.concatenate(([c_end], count)), n, v, P_WORD * everywhere)
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(PARTS, max(shuffled, -(-everywhere // PART)))
+    sent, pairs = spark.sparkContext.broadcast(known), None
+    if (known.classes > 1).any():
+        homes = max(shuffled, parts // 8)
+        pairs = texts.mapInArrow(_send_pairs(sent, parts, homes), "home long, pairs binary")
+        pairs = stage(pairs.groupBy("home").applyInPandas(_count_pairs(sent), COUNTED), "suffix-pairs")
+        gains = pairs.filter("gains is not null").select(F.explode(F.arrays_zip("near", "gains")).alias("x")).groupBy("x.near")
+        gains = gains.agg(*[F.sum(F.col("x.gains")[k]).alias(f"g{k}") for k in range(len(WEIGHTS))]).toArrow()  # split words, at most places / CLASS
+        known.weight = _weights(known, gains.column(0).to_numpy(), [gains.column(k + 1).to_numpy() for k in range(len(WEIGHTS))])
+        sent = spark.sparkContext.broadcast(known)
     places = texts.mapInArrow(_send_places(sent, parts), SENT)
+    if pairs is not None:
+        places = places.unionByName(pairs.filter("counts is not null").select("part", "counts"), allowMissingColumns=True)
     scored = places.groupBy("part").applyInPandas(_score_part(sent), RETURNED).groupBy("batch").applyInPandas(_assemble, SCORED)
     scored = stage(scored, "suffix-scored")
     p = F.expr(f"(coalesce(n, 0) + 0.5D) / ({n} + 0.5D * ({v} + 1))")
     unzipped = lambda names: scored.select(F.explode(F.arrays_zip(*names)).alias("x")).select("x.*")
     rest = unzipped(["rest_row", "rest_key", "rest_times", "rest_a", "rest_b"]).toDF("row", "key", "times", "a", "b")
-    known = words.filter("n > 0").select(F.col("key").bitwiseAND(BARE).alias("key"), "n")
-    rest = rest.join(known.groupBy("key").agg(F.sum("n").alias("n")), "key", "left").withColumn("p", p)
+    counts = words.filter("n > 0").select(F.col("key").bitwiseAND(BARE).alias("key"), "n")
+    rest = rest.join(counts.groupBy("key").agg(F.sum("n").alias("n")), "key", "left").withColumn("p", p)
     bare = F.col("a") < 0
     rest = rest.groupBy("row").agg(
         F.sum(F.when(bare, F.col("times") * F.log10("p"))).alias("rare_base"),

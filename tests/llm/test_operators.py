@@ -716,3 +716,14 @@ def test_near_copies_send_no_growing_table_whole(spark, odd, monkeypatch, hashes
     monkeypatch.setattr(ngram_join, "SEND_ROWS", hashes)
     assert result() == plain
     assert max(sent, default=0) <= 2
+
+
+def test_op7_split_words_change_no_score(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(i % 17, 120), "en", "a") for i in range(60)], "doc_id long, text string, lang string, source string")
+    score = lambda: {r.doc_id: (r.n_known, r.base_score, r.score) for r in suffix_lm.score_corpus(docs).collect()}
+    whole = score()
+    monkeypatch.setattr(suffix_lm, "CLASS", 25)
+    split = score()
+    assert split.keys() == whole.keys() and any(abs(s - b) > 1 for _, b, s in whole.values())
+    for i in whole:
+        assert split[i] == pytest.approx(whole[i], rel=1e-5)
