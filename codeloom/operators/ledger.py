@@ -4,7 +4,8 @@ The key of a prompt is a hash of its id, its text and the temperature. Prompts w
 asked (an anti-join). The others are dealt over tasks by key; a task writes each answer to a file of its own under ``pending``
 (written beside it and renamed) before it asks the next prompt, and asks none whose file is there. So a task that is run again, or a job after a lost driver,
 goes on where the last one ended; only the call that was on its way is made again, and two attempts of one task at the same time (speculation) may both make it.
-``compact`` moves what is pending to the table.
+``compact`` moves what is pending to the table. An answer whose call took ``SYNCED`` seconds or more is forced to the disk before the next
+prompt; a faster one is left to the file system, so a machine's crash (not a task's or a process's) may cost that call again.
 
 Rate: the budget of calls a minute is shared evenly by the tasks, so all of them together keep to it.
 
@@ -30,6 +31,8 @@ from codeloom.plans.staging import cut
 from codeloom.sources import tree
 
 ANSWERS = "key string, answer string"
+#: Seconds of a call from which its answer is forced to the disk at once.
+SYNCED = 0.05
 
 
 class Ledger:
@@ -63,13 +66,13 @@ class Ledger:
                     error = None
                     if answer is None:
                         sleep(max(0.0, last + pause - time.monotonic())) if pause else None
-                        last = time.monotonic()
+                        last = began = time.monotonic()
                         try:
                             answer = call_with_retry(client, prompt, temperature, sleep)
                         except Exception as e:
                             error = str(e)
                         else:
-                            _keep(pending, key, answer)
+                            _keep(pending, key, answer, time.monotonic() - began >= SYNCED)
                     rows.append((key, answer, error))
                 yield pd.DataFrame(rows, columns=["key", "answer", "error"])
 
@@ -83,7 +86,7 @@ class Ledger:
         files = cut(tree.paths(self.spark, self.pending, []).filter(F.col("path").endswith(".json")))
         raw = tree.contents(files, self.pending)
         read = F.from_json(F.decode("raw", "UTF-8"), ANSWERS)
-        rows = raw.filter("raw is not null").select(read.alias("a")).select("a.*")
+        rows = raw.filter("raw is not null").select(read.alias("a")).select("a.*").filter("key is not null")
         if files.isEmpty():
             return
         rows.write.mode("append").parquet("file://" + self.table)
@@ -109,16 +112,21 @@ def _kept(pending: str, key: str) -> str | None:
     try:
         with open(_place(pending, key), encoding="utf-8") as f:
             return json.load(f)["answer"]
-    except FileNotFoundError:
+    except (FileNotFoundError, ValueError):  # a file that a crash left without its text is no answer
         return None
 
 
-def _keep(pending: str, key: str, answer: str) -> None:
+def _keep(pending: str, key: str, answer: str, sync: bool = True) -> None:
     at = _place(pending, key)
-    os.makedirs(os.path.dirname(at), exist_ok=True)
-    beside = f"{at}.{uuid.uuid4().hex}"
-    with open(beside, "w", encoding="utf-8") as f:
-        json.dump({"key": key, "answer": answer}, f)
+    beside, text = f"{at}.{uuid.uuid4().hex}", json.dumps({"key": key, "answer": answer})
+    try:
+        f = open(beside, "w", encoding="utf-8")
+    except FileNotFoundError:
+        os.makedirs(os.path.dirname(at), exist_ok=True)
+        f = open(beside, "w", encoding="utf-8")
+    with f:
+        f.write(text)
         f.flush()
-        os.fsync(f.fileno())
+        if sync:
+            os.fsync(f.fileno())
     os.replace(beside, at)

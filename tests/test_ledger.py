@@ -79,3 +79,24 @@ def test_tasks_keep_to_the_rate(spark, tmp_path):
     slept = [float(x) for x in open(log).read().split()]
     tasks = spark.sparkContext.defaultParallelism
     assert len(slept) == 20 and sum(x > 0.9 * 60 * tasks / 6 for x in slept) >= 20 - tasks
+
+
+def test_a_file_without_its_text_is_no_answer(spark, tmp_path):
+    prompts, ledger, log = asked(spark, 5), L.Ledger(spark, str(tmp_path / "l")), tmp_path / "log"
+    ledger.ask(prompts, "id", Client(log), 0.4).count()
+    files = [os.path.join(d, f) for d, _, fs in os.walk(ledger.pending) for f in fs]
+    open(files[0], "w").close()
+    got = {r.id: r.answer for r in ledger.ask(prompts, "id", Client(log), 0.4).collect()}
+    assert got == {str(i): f"p{i}!" for i in range(5)} and len(Client(log).calls()) == 6
+    open(files[1], "w").close()
+    ledger.compact()
+    assert ledger.answers().count() == 4
+
+
+def test_only_slow_calls_are_forced_to_the_disk(tmp_path, monkeypatch):
+    synced = []
+    monkeypatch.setattr(L.os, "fsync", synced.append)
+    L._keep(str(tmp_path), "aa1", "x", False)
+    assert L._kept(str(tmp_path), "aa1") == "x" and not synced
+    L._keep(str(tmp_path), "aa2", "y")
+    assert L._kept(str(tmp_path), "aa2") == "y" and len(synced) == 1
