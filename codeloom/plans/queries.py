@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -235,9 +236,19 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
         "lineitem": item.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_orderkey"),
     }
     references = [("orders", "o_custkey", "customer"), ("lineitem", "l_orderkey", "orders")]
-    left = tables | without(tables.__getitem__, "customer", tables["customer"].filter("c_mktsegment = 'BUILDING'"), references)
-    counts = [left[t].agg(F.count("*").alias("n"), F.sum("id").alias("ids")).select(F.lit(t).alias("kept"), "n", F.col("ids").cast("long")) for t in tables]
-    return counts[0].union(counts[1]).union(counts[2])
+    return _kept(tables | without(tables.__getitem__, "customer", tables["customer"].filter("c_mktsegment = 'BUILDING'"), references))
+
+
+def _kept(tables: dict[str, DataFrame]) -> DataFrame:
+    """Number of rows and sum of ids by table.
+
+    Sums are added up as DECIMAL and are BIGINT in the result, as the SQL says. If one is beyond BIGINT, where the SQL fails, the
+    column stays DECIMAL(38, 0) and is exact.
+    """
+    sums = [rows.agg(F.count("*").alias("n"), F.sum(F.col("id").cast("decimal(28,0)")).alias("ids")).select(F.lit(t).alias("kept"), "n", "ids") for t, rows in tables.items()]
+    kept = cut(reduce(DataFrame.union, sums))  # one row a table
+    beyond = kept.filter(F.col("ids").isNotNull() & F.col("ids").try_cast("long").isNull())
+    return kept.withColumn("ids", F.col("ids").cast("long")) if beyond.isEmpty() else kept
 
 
 def mapping_cascade(spark: SparkSession, d: str) -> DataFrame:
@@ -254,8 +265,7 @@ def mapping_cascade(spark: SparkSession, d: str) -> DataFrame:
     }
     tables |= without(tables.get, "analysis_runs", tables["analysis_runs"].filter("n_regionkey = 1"))
     tables |= without(tables.get, "method_sources", tables["method_sources"].filter("p_size > 40"))
-    counts = [rows.agg(F.count("*").alias("n"), F.sum("id").cast("long").alias("ids")).select(F.lit(t).alias("kept"), "n", "ids") for t, rows in tables.items()]
-    return counts[0].union(counts[1]).union(counts[2]).union(counts[3])
+    return _kept(tables)
 
 
 def replace_by_path(spark: SparkSession, d: str) -> DataFrame:

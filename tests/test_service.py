@@ -8,6 +8,7 @@ import pytest
 from codeloom.errors import BadRequest, NotFound, Unprocessable, status_of
 from codeloom.operators import dataflow, lookup, prompts
 from codeloom.operators.store import Conflict, Store, cascade
+from codeloom.plans import queries as plans
 from codeloom.service import Engine
 from codeloom.sources import files, git
 from codeloom.sources.files import scan_repository
@@ -278,6 +279,50 @@ def test_a_cascade_follows_all_ways(spark):
     assert {t: sorted(r.id for r in ids.collect()) for t, ids in found.items()} == {"a": [1, 2, 3], "b": [10], "c": [20, 21]}
 
 
+def _tables(spark, root, **tables):
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+@pytest.mark.parametrize(("first", "kind"), [(4_611_686_016, "bigint"), (5_000_000_000, "decimal(38,0)")])
+def test_mappings_are_summed_beyond_bigint(spark, tmp_path, first, kind):
+    s1, s2, s3 = first + 1, first + 2, first + 3
+    d = _tables(
+        spark,
+        tmp_path,
+        nation=("n_nationkey int, n_regionkey int", [(0, 0), (1, 1)]),
+        supplier=("s_suppkey long, s_nationkey int", [(s1, 0), (s2, 0), (s3, 1)]),
+        part=("p_partkey long, p_size int", [(25, 1), (26, 1), (50, 41), (75, 40)]),
+        lineitem=("l_suppkey long, l_partkey long", [(s1, 25), (s1, 25), (s1, 50), (s2, 26), (s2, 75), (s3, 25)]),
+    )
+    got = plans.mapping_cascade(spark, d)
+    want = {("analysis_runs", 1, 0), ("feature_records", 2, s1 + s2), ("method_sources", 2, 100), ("feature_method_mappings", 2, (s1 + s2) * 1_000_000_000 + 100)}
+    assert {(r.kept, r.n, int(r.ids)) for r in got.collect()} == want
+    assert dict(got.dtypes)["ids"] == kind
+
+
+@pytest.mark.parametrize(("first", "kind"), [(10, "bigint"), (900_000_000_000_000_000, "decimal(38,0)")])
+def test_items_are_summed_beyond_bigint(spark, tmp_path, first, kind):
+    d = _tables(
+        spark,
+        tmp_path,
+        customer=("c_custkey long, c_mktsegment string", [(1, "BUILDING"), (2, "MACHINERY")]),
+        orders=("o_orderkey long, o_custkey long", [(first, 2), (first + 1, 1)]),
+        lineitem=("l_orderkey long, l_linenumber int", [(first, 1), (first, 2), (first + 1, 1)]),
+    )
+    got = plans.cascade_delete(spark, d)
+    assert {(r.kept, r.n, int(r.ids)) for r in got.collect()} == {("customer", 1, 2), ("orders", 1, first), ("lineitem", 2, first * 20 + 3)}
+    assert dict(got.dtypes)["ids"] == kind
+
+
+def test_sums_of_nothing_are_null(spark, tmp_path):
+    d = _tables(spark, tmp_path, customer=("c_custkey long, c_mktsegment string", []), orders=("o_orderkey long, o_custkey long", []), lineitem=("l_orderkey long, l_linenumber int", []))
+    got = plans.cascade_delete(spark, d)
+    assert {(r.kept, r.n, r.ids) for r in got.collect()} == {(t, 0, None) for t in ("customer", "orders", "lineitem")}
+    assert dict(got.dtypes)["ids"] == "bigint"
+
+
 DATA_FLOW = {
     "Java (Spring Boot)": ("int pay(int a) {\n  int x = a + 1;\n  this.y = x;\n  return x * 2;\n}", [("x", "this.y"), ("a + 1", "x"), ("x * 2", "RETURN_VALUE")]),
     "Node.js (Express)": (
