@@ -718,6 +718,23 @@ def test_near_copies_send_no_growing_table_whole(spark, odd, monkeypatch, hashes
     assert max(sent, default=0) <= 2
 
 
+def test_spark_sends_no_growing_table_of_its_own_accord(spark, tmp_path, monkeypatch):
+    from codeloom.llm import common
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (common, ngram_join):
+        monkeypatch.setattr(module, "SEND_TABLE", 3, raising=False)
+    plans, stage = [], C.stage
+    monkeypatch.setattr(C, "stage", lambda df, name: (plans.append(plan(df)), stage(df, name))[1])
+    links = spark.createDataFrame([(i, i + 1) for i in range(5)], "a long, b long")
+    assert {tuple(r) for r in C.components(links).collect()} == {(i, 0) for i in range(6)}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+    spark.range(5).write.parquet(f"{tmp_path}/ids")
+    ids = spark.read.parquet(f"{tmp_path}/ids")
+    assert "BroadcastExchange" not in plan(ids.join(ngram_join._small(ids), "id"))
+    assert "BroadcastExchange" in plan(ids.join(ngram_join._small(ids.filter("id < 3")), "id"))
+
+
 def test_op7_split_words_change_no_score(spark, monkeypatch):
     docs = spark.createDataFrame([(i, prose(i % 17, 120), "en", "a") for i in range(60)], "doc_id long, text string, lang string, source string")
     score = lambda: {r.doc_id: (r.n_known, r.base_score, r.score) for r in suffix_lm.score_corpus(docs).collect()}
